@@ -51,7 +51,7 @@ def gold_spans(text: Column, doc_id: Column) -> Column:
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = documents(spark, sf_dir)
     return d.select(
         F.format_string("s%08d", "doc_id").alias("id"), "doc_id", "lang", "source", "text",
         gold_spans(F.col("text"), F.col("doc_id")).alias("spans"),
@@ -75,3 +75,43 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
         "sample_id", F.format_string("c%d", "run").alias("candidate_id"), "run", "doc_id", "text",
         relabelled.alias("spans"), conf.cast("double").alias("model_confidence"),
     )
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Share a small input over all cores; inputs with a split per core or more stay as they are read.
+
+    A file with one row group is read by one task however many cores wait. The planner's size estimate decides,
+    so large tables never pay for this exchange.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores, key) if size < cores * (128 << 20) else df
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
+def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model responses of all candidates: well-formed, fenced, truncated, incomplete or with a document, by digest."""
+    from ..functions.markup import annotation_doc, spans_to_markup
+
+    c = candidates(spark, sf_dir)
+    h = hex1(joined("resp|", F.col("doc_id"), "|", F.col("run")))
+    markup = F.when(h == "7", F.lit("")).when(h == "6", F.lit("[old](Term)")).otherwise(spans_to_markup(F.col("spans")))
+    c = c.select("*", h.alias("h"), markup.alias("markup"))
+    expl = F.when(F.col("h") == "3", F.lit(" ")).otherwise(F.lit("long words"))
+    conf = F.col("model_confidence")
+    doc = annotation_doc(F.when(F.col("h") == "5", F.concat("text", F.lit("!"))).otherwise(F.col("text")), F.col("spans"))
+    plain = F.to_json(F.struct("text", F.col("markup").alias("annotation"), expl.alias("explanation"), conf.alias("confidence")))
+    partial = F.to_json(F.struct("text", F.col("markup").alias("annotation"), conf.alias("model_confidence")))
+    full = F.to_json(F.struct("text", doc.alias("annotation"), expl.alias("explanation"), conf.alias("model_confidence")))
+    raw = (
+        F.when(F.col("h") == "0", F.substring(plain, F.lit(1), F.length(plain) - 5))
+        .when(F.col("h") == "1", F.concat(F.lit("```json\n"), plain, F.lit("\n```")))
+        .when(F.col("h") == "2", partial)
+        .when(F.col("h").isin("4", "5"), full)
+        .otherwise(plain)
+    )
+    return c.select("sample_id", "candidate_id", "run", "doc_id", "text", "spans", "h", "model_confidence", raw.alias("raw"))

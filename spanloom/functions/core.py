@@ -117,7 +117,7 @@ def running_total(lengths: Column, block: int = 32) -> Column:
             lambda acc, part: F.concat(
                 acc, F.array(F.aggregate(part, F.array(last(last(acc))), lambda a, n: F.concat(a, F.array(last(a) + n))))
             ),
-            lambda acc: F.flatten(F.transform(F.slice(acc, 2, 2147483647), lambda x: F.slice(x, 2, block))),
+            lambda acc: F.flatten(F.transform(F.slice(acc, 2, 1 << 30), lambda x: F.slice(x, 2, block))),
         )
 
     return let(lengths, over)

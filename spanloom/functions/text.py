@@ -171,3 +171,53 @@ def sanitize_description(text: Column, fallback: Column) -> Column:
         return let(kept, clean)
 
     return F.when(raw == "", strip(fallback)).otherwise(let(lines(raw), body))
+
+
+# Headings that open a typed segment.
+HEADING_KINDS = [
+    ("概念描述", "task_definition"), ("concept description", "task_definition"), ("标签集合", "label_schema"), ("labels", "label_schema"),
+    ("label schema", "label_schema"), ("边界规则", "boundary_rules"), ("boundary rules", "boundary_rules"), ("排除规则", "negative_rules"),
+    ("负例规则", "negative_rules"), ("negative rules", "negative_rules"), ("输出格式", "output_format"), ("output format", "output_format"),
+    ("边界补充", "boundary_rules"), ("boundary supplement", "boundary_rules"),
+]
+FROZEN_KINDS = ["output_format", "label_schema"]
+
+
+def line_kind(line: Column, headings: list[tuple[str, str]] | None = None) -> Column:
+    bare = F.lower(F.regexp_replace(strip(line), "[:：]+$", ""))
+    out = F.lit(None).cast("string")
+    for prefix, kind in reversed(headings or HEADING_KINDS):
+        out = F.when(bare.startswith(prefix), kind).otherwise(out)
+    return out
+
+
+def segment_text(text: Column, headings: list[tuple[str, str]] | None = None) -> Column:
+    """array<struct<id, kind, text, index, mutable>>: parts between blank lines and headings; a kind lasts until the next heading."""
+    seg = "struct<kind:string,text:string>"
+    start = F.struct(
+        F.lit("task_definition").alias("kind"), F.array().cast("array<string>").alias("pend"), F.array().cast(f"array<{seg}>").alias("segs")
+    )
+
+    def flushed(acc: Column) -> Column:
+        done = F.struct(acc["kind"].alias("kind"), strip(F.array_join(acc["pend"], "\n")).alias("text"))
+        return F.when(F.size(acc["pend"]) > 0, F.concat(acc["segs"], F.array(done))).otherwise(acc["segs"])
+
+    def step(acc: Column, line: Column) -> Column:
+        blank = strip(line) == ""
+        kind = line_kind(line, headings)
+        cut = blank | kind.isNotNull()
+        empty = F.array().cast("array<string>")
+        return F.struct(
+            F.when(blank, acc["kind"]).otherwise(F.coalesce(kind, acc["kind"])).alias("kind"),
+            F.when(blank, empty).when(cut, F.array(rstrip(line))).otherwise(F.concat(acc["pend"], F.array(rstrip(line)))).alias("pend"),
+            F.when(cut, flushed(acc)).otherwise(acc["segs"]).alias("segs"),
+        )
+
+    segs = F.aggregate(lines(text), start, step, flushed)
+    return F.transform(
+        segs,
+        lambda s, i: F.struct(
+            F.format_string("seg-%02d-%s", i + 1, s["kind"]).alias("id"), s["kind"].alias("kind"), s["text"].alias("text"),
+            (i + 1).alias("index"), (~s["kind"].isin(FROZEN_KINDS)).alias("mutable"),
+        ),
+    )
