@@ -6,7 +6,7 @@ import importlib
 
 from . import registry
 
-_MODULES = ["text", "agreement"]
+_MODULES = ["text", "validate", "agreement"]
 
 
 def _load() -> None:

@@ -115,3 +115,48 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(plain)
     )
     return c.select("sample_id", "candidate_id", "run", "doc_id", "text", "spans", "h", "model_confidence", raw.alias("raw"))
+
+
+def dirty_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gold tasks with some spans broken by digest, plus relations and options of which some point nowhere."""
+    s = samples(spark, sf_dir)
+    doc, n = F.col("doc_id"), F.length("text")
+    h = lambda x: hex1(joined("dirty|", doc, "|", x["start"]))
+    broken = F.transform(
+        "spans",
+        lambda x: span(
+            F.when(h(x) == "4", "T1").otherwise(x["id"]),
+            F.when((h(x) == "0") & ~x["implicit"], x["start"] + 1).otherwise(x["start"]),
+            F.when((h(x) == "0") & ~x["implicit"], x["end"] + 1).when((h(x) == "2") & ~x["implicit"], n + 5).otherwise(x["end"]),
+            F.when(h(x) == "5", "").otherwise(x["text"]),
+            F.when(h(x) == "1", " ").otherwise(x["label"]),
+            (h(x) == "3") | x["implicit"],
+        ),
+    )
+    d = hex1(joined("refs|", doc))
+    rel = lambda i, lab, a, b: F.struct(
+        F.lit(i).alias("id"), F.lit(lab).alias("label"), a.alias("head_span_id"), b.alias("child_span_id"),
+        F.lit(None).cast("int").alias("head"), F.lit(None).cast("int").alias("child"),
+    )
+    null = F.lit(None).cast("string")
+    relations = F.array(
+        rel("R1", "links", F.lit("T1"), F.lit("T2")),
+        rel("R2", "links", F.lit("T1"), F.when(d < "3", "T99999").otherwise("T1")),
+        rel("R3", "links", F.when(d > "c", null).otherwise(F.lit("T1")), F.lit("T1")),
+    )
+    option = lambda i: F.struct(F.lit(i).alias("id"), F.lit(f"option {i}").alias("text"))
+    return s.select(
+        "id", "doc_id", "lang", "source", "text", broken.alias("spans"), F.when(F.size("spans") > 0, relations).otherwise(F.slice(relations, 1, 0)).alias("relations"),
+        F.array(option("A"), option("B")).alias("options"), F.array(F.when(d == "7", "Z").otherwise("A")).alias("accept"),
+    )
+
+
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates as predictions of one batch job; the rule risk is set by digest."""
+    c = candidates(spark, sf_dir)
+    h = hex1(joined("risk|", F.col("doc_id"), "|", F.col("run")))
+    return c.select(
+        F.concat_ws("-", F.lit("pred"), "sample_id", F.col("run").cast("string")).alias("prediction_id"), F.col("sample_id").alias("task_id"), "doc_id", "run",
+        F.lit("batch").alias("source"), F.lit("local-rule").alias("model"), "text", "spans", F.col("model_confidence").alias("score"),
+        F.when(h == "0", 1.0).when(h == "1", 0.25).otherwise(0.0).alias("rule_risk"),
+    )
