@@ -160,3 +160,52 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("batch").alias("source"), F.lit("local-rule").alias("model"), "text", "spans", F.col("model_confidence").alias("score"),
         F.when(h == "0", 1.0).when(h == "1", 0.25).otherwise(0.0).alias("rule_risk"),
     )
+
+
+def routed_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.review import route_tasks
+
+    return route_tasks(predictions(spark, sf_dir), "job-1")
+
+
+def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.review import build_reviews
+
+    return build_reviews(routed_tasks(spark, sf_dir))
+
+
+def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Review decisions from the quality labels: toxic texts are rejected, good ones accepted, some edited by hand."""
+    lab, doc = table(spark, sf_dir, "labels"), F.col("doc_id")
+    accept = (F.col("toxic") != 1) & (doc % 13 != 0) & (F.col("quality") == 1)
+    manual = (F.col("toxic") != 1) & (doc % 13 == 0)
+    decision = F.when(F.col("toxic") == 1, "reject").when(manual, "manual").when(F.col("quality") == 1, "accept").otherwise("skip")
+    hand = F.array(span(F.lit("T1"), F.lit(-1), F.lit(-1), F.lit("by hand"), F.lit("Term_A"), F.lit(True)))
+    return lab.select(
+        F.format_string("review-s%08d", "doc_id").alias("review_id"), decision.alias("decision"),
+        F.when(accept, F.char(65 + doc % 3)).alias("selected_option_id"), F.when(manual, hand).alias("manual_spans"),
+        F.concat(F.lit("note "), doc.cast("string")).alias("note"), (doc % 4 == 0).alias("hard_example"),
+        F.when(doc % 5 == 0, "boundary").otherwise("").alias("error_type"), (doc % 6 == 0).alias("promote_to_gold"),
+    )
+
+
+def gold_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document names a small gold set of its language's guideline; some listed tasks do not exist."""
+    doc = F.col("doc_id")
+    task = lambda c: F.format_string("s%08d", c)
+    return table(spark, sf_dir, "documents").select(
+        F.format_string("gold-%08d", doc).alias("gold_set_id"), F.concat(F.lit("guide-"), F.col("lang")).alias("guideline_id"), doc.alias("created_at"),
+        F.array(task(doc), task(doc * 2 + 1)).alias("task_ids"), F.lit(15).alias("target_count"),
+    )
+
+
+def guidelines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    langs = table(spark, sf_dir, "documents").select("lang").distinct()
+    return langs.select(F.concat(F.lit("guide-"), F.col("lang")).alias("guideline_id"), F.concat(F.lit("Long words, "), F.col("lang")).alias("name"))
+
+
+def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    langs = table(spark, sf_dir, "documents").select("lang").distinct()
+    return langs.select(
+        F.concat(F.lit("job-"), F.col("lang")).alias("job_id"), F.concat(F.lit("guide-"), F.col("lang")).alias("guideline_id"), F.lit("completed").alias("status")
+    )
