@@ -6,7 +6,7 @@ import importlib
 
 from . import registry
 
-_MODULES = ["text", "validate", "agreement"]
+_MODULES = ["text", "validate", "agreement", "stats"]
 
 
 def _load() -> None:

@@ -209,3 +209,67 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langs.select(
         F.concat(F.lit("job-"), F.col("lang")).alias("job_id"), F.concat(F.lit("guide-"), F.col("lang")).alias("guideline_id"), F.lit("completed").alias("status")
     )
+
+
+def decided_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All reviews with the state their decision left them in."""
+    from ..operators.review import apply_decisions
+
+    r = reviews(spark, sf_dir).withColumn("hard_example", F.lit(False))
+    t = samples(spark, sf_dir).select("id", "spans").withColumn("source_pool", F.lit("review"))
+    a = apply_decisions(r, decisions(spark, sf_dir), t, predictions(spark, sf_dir)).select(
+        "review_id", F.col("status").alias("s"), F.col("manually_edited").alias("m"), F.col("review_hard_example").alias("h"), "error_type", "review_note"
+    )
+    no = F.lit(False)
+    return r.drop("hard_example").join(a, "review_id", "left").select(
+        "review_id", "task_id", "job_id", "score", "route_reason", "created_at", F.coalesce("s", "status").alias("status"), F.coalesce("m", no).alias("manually_edited"),
+        F.coalesce("h", no).alias("hard_example"), F.coalesce("error_type", F.lit("")).alias("error_type"), F.coalesce("review_note", F.lit("")).alias("review_note"),
+    )
+
+
+def annotated_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tasks after routing and review: spans of the best prediction, or what the decision chose."""
+    from ..operators.review import apply_decisions, build_reviews
+
+    p = predictions(spark, sf_dir)
+    routed = routed_tasks(spark, sf_dir)
+    best = p.select(F.col("prediction_id").alias("best_prediction_id"), F.col("spans").alias("best_spans"))
+    docs = samples(spark, sf_dir)
+    base = routed.join(best, "best_prediction_id").join(docs.select(F.col("id").alias("task_id"), "doc_id", F.col("source").alias("project_id"), "text"), "task_id")
+    t = base.select(F.col("task_id").alias("id"), F.col("best_spans").alias("spans"), "source_pool")
+    a = apply_decisions(build_reviews(routed).withColumn("hard_example", F.lit(False)), decisions(spark, sf_dir), t, p).where("task_answer IS NOT NULL").select(
+        "task_id", "task_answer", "task_spans", "task_source_pool", "task_hard_example", "promote_to_gold"
+    )
+    no = F.lit(False)
+    return base.join(a, "task_id", "left").select(
+        F.col("task_id").alias("id"), "doc_id", "project_id", "text", F.coalesce("task_spans", "best_spans").alias("spans"), "route", "score", "agreement", "avg_confidence",
+        F.col("task_answer").isNotNull().alias("reviewed"), F.coalesce("task_hard_example", no).alias("hard_example"), F.coalesce("promote_to_gold", no).alias("promote_to_gold"),
+        F.coalesce("task_source_pool", "source_pool").alias("source_pool"), F.coalesce("task_answer", "answer").alias("answer"),
+    )
+
+
+def event_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+
+
+def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Concept versions out of the signup events; the sizes of their lists come from the event's number."""
+    k = F.col("k")
+    ids = lambda n: F.slice(F.array(*[F.lit(f"task-{i}") for i in range(4)]), 1, (k % n).cast("int"))
+    e = event_numbers(spark, sf_dir).where("event_type = 'signup'")
+    return e.select(
+        F.col("event_id").alias("version"), k.alias("pass_count"), ids(4).alias("failed_task_ids"), ids(3).alias("unstable_task_ids"), F.col("user_id").alias("round_index"),
+        F.col("ts").alias("created_at"), F.when(k % 10 == 0, F.concat(F.lit("failed "), k.cast("string"))).alias("failure_summary"),
+    )
+
+
+def candidate_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate evaluations of optimisation runs, one per event; the run is the user, the round the day."""
+    k = F.col("k")
+    text = lambda cond, name: F.when(cond, F.concat(F.lit(name), k.cast("string")))
+    return event_numbers(spark, sf_dir).select(
+        "event_id", F.col("user_id").alias("run_id"), F.col("event_type").alias("method"), F.date_trunc("day", "ts").alias("day"), "ts", "k", F.col("value").alias("loss"),
+        (k + 100).alias("description_length"), F.when(k < 10, "memorization_guard_blocked").when(k < 20, "memorization_repair_failed").otherwise("evaluated").alias("status"),
+        (k % 3).alias("repair_attempts"), (k >= 20).alias("memorization_passed"), (k % 4 == 0).alias("accepted"), text(k % 2 == 0, "critic ").alias("critic_diagnosis"),
+        text(k % 3 == 0, "turn ").alias("controller_direction"), text(k % 5 == 0, "seg-").alias("mask_segment_id"), F.when(k % 5 == 0, F.col("value") - 50).alias("mask_loss_delta"),
+    )

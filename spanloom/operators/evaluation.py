@@ -10,6 +10,7 @@ from ..functions.core import half_even
 from ..functions.markup import parse_markup
 from ..functions.spans import f1_from_counts, span_difference, span_key, span_keys
 from .ranking import top_k
+from .stats import one_row
 
 
 def span_prf(df: DataFrame, gold: str = "gold_spans", pred: str = "spans") -> DataFrame:
@@ -139,4 +140,4 @@ def experiment_metrics(reviews: DataFrame, tasks: DataFrame, compared: DataFrame
         share(key("spans", ["start", "end"]) == key("gold_spans", ["start", "end"])).alias("boundary_exact_match"),
         share(F.array_sort(span_keys(F.col("spans"), "metric")) == F.array_sort(span_keys(F.col("gold_spans"), "metric"))).alias("label_exact_match"),
     )
-    return a.crossJoin(b).crossJoin(c)  # one row each
+    return one_row(a, b, c)

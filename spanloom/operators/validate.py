@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.core import let, strip
 from ..functions.markup import markup_issue, parse_markup
 from ..functions.responses import doc_issue
+from .stats import one_row
 
 
 def span_issue(span: Column, text: Column) -> Column:
@@ -137,7 +138,7 @@ def gold_format_check(tasks: DataFrame, labels: list[str]) -> DataFrame:
     """One row: number of gold tasks checked, number of issues, status."""
     checked = tasks.agg(F.count(F.lit(1)).alias("checked_gold_count"))
     found = gold_format_issues(tasks, labels).agg(F.count(F.lit(1)).alias("issue_count"))
-    both = checked.crossJoin(F.broadcast(found))  # one row each
+    both = one_row(checked, found)
     return both.withColumn("status", F.when(F.col("issue_count") == 0, "passed").otherwise("failed"))
 
 
