@@ -6,7 +6,7 @@ import importlib
 
 from . import registry
 
-_MODULES = ["text", "validate", "agreement", "stats"]
+_MODULES = ["text", "validate", "agreement", "stats", "joins", "retrieval"]
 
 
 def _load() -> None:
