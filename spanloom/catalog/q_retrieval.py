@@ -95,7 +95,7 @@ SELECT printf('s%08d', q) AS query_id, printf('s%08d', e) AS example_id, {rnd('s
 UNION ALL SELECT printf('s%08d', q), printf('s%08d', e), {rnd('score', 6)}, true, 3 FROM h WHERE q IN (SELECT q FROM n)""")
 def select_examples(spark, d):
     s = rt.token_sets(samples(spark, d), "doc_id")
-    bank = s.join(table(spark, d, "labels").select("doc_id", (F.col("toxic") == 1).alias("hard")), "doc_id")
+    bank = rt.token_sets(samples(spark, d), "doc_id").join(table(spark, d, "labels").select("doc_id", (F.col("toxic") == 1).alias("hard")), "doc_id")
     e = rt.select_examples(s, bank, 3)
     return e.select("query_id", "example_id", half_even(F.col("score"), 6).alias("score"), "hard", F.col("rank").cast("long").alias("rank"))
 

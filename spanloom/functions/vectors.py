@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .core import half_even, strip
+from .core import collapse, half_even, let
 
 # Size and weights of the hashed profile.
 DIMENSIONS = 384
@@ -46,14 +46,22 @@ def word_ngrams(tokens: Column, n: int) -> Column:
 
 def hashed_features(text: Column) -> Column:
     """array<struct<kind, feature>> of word and character n-grams, for the JVM profile."""
+    feature = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("feature"))
+
+    def word_part(tokens: Column) -> Column:
+        return F.concat(*[F.transform(word_ngrams(tokens, n), lambda g: feature("w", g)) for n in WORD_NGRAMS])
+
+    def char_part(padded: Column) -> Column:
+        def grams(n: int) -> Column:
+            idx = F.when(F.length(padded) >= max(n, 3), F.sequence(F.lit(1), F.length(padded) - (n - 1))).otherwise(F.array().cast("array<int>"))
+            return F.transform(idx, lambda i: feature("c", F.substring(padded, i, F.lit(n))))
+
+        return F.concat(*[grams(n) for n in CHAR_NGRAMS])
+
     low = F.lower(text)
-    tokens = F.regexp_extract_all(low, F.lit("[a-z0-9_]+|[一-鿿]"), F.lit(0))
-    padded = F.concat(F.lit(" "), strip(F.regexp_replace(low, r"[\t-\r\x1c-\x20\x85\xa0  -     　]+", " ")), F.lit(" "))
-    parts = [F.transform(word_ngrams(tokens, n), lambda g: F.struct(F.lit("w").alias("kind"), g.alias("feature"))) for n in WORD_NGRAMS]
-    for n in CHAR_NGRAMS:
-        idx = F.when(F.length(padded) >= max(n, 3), F.sequence(F.lit(1), F.length(padded) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        parts.append(F.transform(idx, lambda i, n=n: F.struct(F.lit("c").alias("kind"), F.substring(padded, i, F.lit(n)).alias("feature"))))
-    return F.concat(*parts)
+    packed = F.concat(F.lit(" "), collapse(low), F.lit(" "))
+    # Bound once each: the n-gram lambdas would otherwise tokenise the text again for every position.
+    return F.concat(let(F.regexp_extract_all(low, F.lit("[a-z0-9_]+|[一-鿿]"), F.lit(0)), word_part), let(packed, char_part))
 
 
 _WORD = re.compile(r"[A-Za-z0-9_]+|[一-鿿]")
