@@ -6,7 +6,7 @@ import importlib
 
 from . import registry
 
-_MODULES = ["text", "validate", "agreement", "stats", "joins", "retrieval", "corpus"]
+_MODULES = ["text", "validate", "agreement", "stats", "joins", "retrieval", "corpus", "runs"]
 
 
 def _load() -> None:

@@ -51,17 +51,18 @@ def hashed_features(text: Column) -> Column:
     def word_part(tokens: Column) -> Column:
         return F.concat(*[F.transform(word_ngrams(tokens, n), lambda g: feature("w", g)) for n in WORD_NGRAMS])
 
-    def char_part(padded: Column) -> Column:
+    def char_part(chars: Column) -> Column:
+        # Single characters and constant-time access: a substring call would walk the text from its start each time.
         def grams(n: int) -> Column:
-            idx = F.when(F.length(padded) >= max(n, 3), F.sequence(F.lit(1), F.length(padded) - (n - 1))).otherwise(F.array().cast("array<int>"))
-            return F.transform(idx, lambda i: feature("c", F.substring(padded, i, F.lit(n))))
+            idx = F.when(F.size(chars) >= max(n, 3), F.sequence(F.lit(0), F.size(chars) - n)).otherwise(F.array().cast("array<int>"))
+            return F.transform(idx, lambda i: feature("c", F.concat(*[F.get(chars, i + j) for j in range(n)])))
 
         return F.concat(*[grams(n) for n in CHAR_NGRAMS])
 
     low = F.lower(text)
     packed = F.concat(F.lit(" "), collapse(low), F.lit(" "))
     # Bound once each: the n-gram lambdas would otherwise tokenise the text again for every position.
-    return F.concat(let(F.regexp_extract_all(low, F.lit("[a-z0-9_]+|[一-鿿]"), F.lit(0)), word_part), let(packed, char_part))
+    return F.concat(let(F.regexp_extract_all(low, F.lit("[a-z0-9_]+|[一-鿿]"), F.lit(0)), word_part), let(F.split(packed, ""), char_part))
 
 
 _WORD = re.compile(r"[A-Za-z0-9_]+|[一-鿿]")

@@ -14,10 +14,8 @@ def hashed_buckets(texts: DataFrame, key: str, dimensions: int = DIMENSIONS) ->
     Texts are spread by key before their features are exploded, so features are counted where they arise and never shuffled.
     """
     rows = texts.select(key, "text").repartition(key).select(key, F.explode(hashed_features(F.col("text"))).alias("f"))
-    rows = rows.groupBy(key, F.col("f.kind").alias("kind"), F.col("f.feature").alias("feature")).agg(F.count(F.lit(1)).alias("n"))
-    digest = F.md5(F.concat(F.col("kind"), F.lit(":"), F.col("feature")))
-    rows = rows.select(key, "kind", "n", digest.alias("m"))
-    signed = F.when(F.substring("m", 32, 1) < "8", F.col("n")).otherwise(-F.col("n"))
+    rows = rows.select(key, F.col("f.kind").alias("kind"), F.md5(F.concat("f.kind", F.lit(":"), "f.feature")).alias("m"))
+    signed = F.when(F.substring("m", 32, 1) < "8", 1).otherwise(-1)
     bucket = F.conv(F.substring("m", 1, 8), 16, 10).cast("long") % dimensions
     return rows.groupBy(key, bucket.alias("bucket")).agg(
         F.sum(F.when(F.col("kind") == "w", signed).otherwise(0)).alias("words"), F.sum(F.when(F.col("kind") == "c", signed).otherwise(0)).alias("chars"),
