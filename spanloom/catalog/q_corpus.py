@@ -185,3 +185,30 @@ def lexicon_predictions(spark, d):
     raw = t.select("task_id", F.lit(1).alias("run"), inf.lexicon_response(F.col("text"), LEXICON).alias("raw"), F.lit(None).cast("string").alias("error"))
     p = inf.responses_to_predictions(raw, t)
     return p.select("prediction_id", "score", F.size("spans").cast("long").alias("span_count"), F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["start"]).alias("start_sum"))
+
+
+@query("exact_duplicates", "SELECT sha256(text) AS text_key, min(doc_id) AS first_at, count(*) AS copies FROM documents GROUP BY 1")
+def exact_duplicates(spark, d):
+    from ..operators.dedup import exact_duplicates as dup
+
+    return dup(table(spark, d, "documents").select("text", F.col("doc_id").alias("at")))
+
+
+@query("greedy_dedup")
+def greedy_dedup(spark, d):
+    """Matching-block ratios have no statement; the test compares with brute force."""
+    from ..operators.dedup import greedy_dedup as dedup
+
+    doc = F.col("doc_id")
+    r = dedup(documents(spark, d).select(doc.alias("id"), doc.alias("task"), doc.alias("at"), "text"))
+    return r.select("id", "accepted", half_even(F.col("max_similarity"), 4).alias("max_similarity"))
+
+
+@query("sql_functions", """
+SELECT doc_id, greatest(1, length(text) // 4)::INT AS token_estimate, ('0x' || substr(sha1('job-1:' || doc_id), 1, 8))::BIGINT / 4294967295e0 < 0.3e0 AS audited FROM documents""")
+def sql_functions(spark, d):
+    from ..functions.registry import register_sql_functions
+
+    register_sql_functions(spark)
+    t = table(spark, d, "documents")
+    return t.select("doc_id", F.expr("anno_token_estimate(text)").alias("token_estimate"), F.expr("anno_audited('job-1', string(doc_id), 0.3D)").alias("audited"))
