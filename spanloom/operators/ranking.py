@@ -33,7 +33,7 @@ def rank_in_group(df: DataFrame, keys: list[str], order: list, name: str = "rank
     placed = with_position(df.join(F.broadcast(hot), keys, "left_semi"), [*keys, *order], "pos_")
     first = placed.groupBy(*keys).agg(F.min("pos_").alias("first_"))
     ranked = placed.join(F.broadcast(first), keys).withColumn(name, (F.col("pos_") - F.col("first_") + 1).cast("int")).drop("pos_", "first_")
-    return calm.unionByName(ranked)
+    return calm.unionByName(ranked).select(*df.columns, name)  # a join on names moves the keys to the front
 
 
 def top_k(df: DataFrame, keys: list[str], order: list, k: int, name: str = "rank") -> DataFrame:
