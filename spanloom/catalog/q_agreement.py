@@ -44,9 +44,7 @@ def consistency_scores(spark, d):
 
 @query("consistency_pairs", with_("cpairs") + "SELECT f1 AS span_f1, count(*) AS pair_count FROM cpairs GROUP BY 1")
 def consistency_pairs(spark, d):
-    own = ag.signature_groups(candidates(spark, d))
-    same = own.where("n > 1").select(F.lit(1.0).alias("f1"), (F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("weight"))
-    both = ag.pairwise_f1(own).select("f1", "weight").unionByName(same)
+    both = ag.pairwise_f1(ag.signature_groups(candidates(spark, d)))
     return both.groupBy(F.col("f1").alias("span_f1")).agg(F.sum("weight").alias("pair_count"))
 
 

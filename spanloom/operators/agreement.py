@@ -29,16 +29,23 @@ def signature_groups(candidates: DataFrame, key: str = "sample_id", order: str =
     )
 
 
-def pairwise_f1(groups: DataFrame, key: str = "sample_id") -> DataFrame:
-    """F1 of the distinct answers of each key, one row per unordered pair, weighted by the copies on both sides.
+def answer_pairs(groups: DataFrame, key: str = "sample_id") -> DataFrame:
+    """All pairs of distinct answers of a key, each answer also with itself; columns ``l_*`` and ``r_*``.
 
-    An equi-join on the key; adaptive execution splits a hot key over tasks, nothing is collected.
+    An equi-join on the key; adaptive execution splits a hot key over tasks, nothing is collected. Both sides must keep the same
+    columns: then they are one exchange, and the candidates are read and grouped once.
     """
-    left = groups.select(key, F.col("sig").alias("left_sig"), F.col("n").alias("left_n"))
-    right = groups.select(F.col(key).alias("right_key"), F.col("sig").alias("right_sig"), F.col("n").alias("right_n"))
-    pairs = left.join(right, (F.col(key) == F.col("right_key")) & (F.col("left_sig") < F.col("right_sig")))
-    f1 = key_f1(signature_keys(F.col("left_sig")), signature_keys(F.col("right_sig")), "consistency")
-    return pairs.select(key, f1.alias("f1"), (F.col("left_n") * F.col("right_n")).alias("weight"))
+    side = lambda p: groups.select(F.col(key).alias(f"{p}_key"), *[F.col(c).alias(f"{p}_{c}") for c in ("sig", "n", "first_at", "conf_units", "conf_n")])
+    return side("l").join(side("r"), (F.col("l_key") == F.col("r_key")) & (F.col("l_sig") <= F.col("r_sig"))).withColumnRenamed("l_key", key)
+
+
+def pairwise_f1(groups: DataFrame, key: str = "sample_id") -> DataFrame:
+    """(key, f1, weight): F1 of the candidates of each key, weighted by how many pairs of candidates have it."""
+    own = F.col("l_sig") == F.col("r_sig")
+    f1 = F.when(own, 1.0).otherwise(key_f1(signature_keys(F.col("l_sig")), signature_keys(F.col("r_sig")), "consistency"))
+    n = F.greatest("l_n", "r_n")
+    weight = F.when(own, (n * (n - 1) / 2).cast("long")).otherwise(F.col("l_n") * F.col("r_n"))
+    return answer_pairs(groups, key).select(key, f1.alias("f1"), weight.alias("weight")).where("weight > 0")
 
 
 def consistency_scores(
@@ -46,20 +53,18 @@ def consistency_scores(
     high: float = 0.95, medium: float = 0.6,
 ) -> DataFrame:
     """Mean pairwise F1, exact rate against the first candidate, mean confidence, uncertainty and route per sample."""
-    groups = signature_groups(candidates, key, order, confidence)
-    own = groups.select(
-        key, "n", (F.col("n") * (F.col("n") - 1) / 2 * 10000).cast("long").alias("f1_units"),
-        F.struct("first_at", "n").alias("lead"), "conf_units", "conf_n",
-    )
-    cross = pairwise_f1(groups, key).select(
-        key, F.lit(0).cast("long").alias("n"), (_units(F.col("f1")) * F.col("weight")).alias("f1_units"),
-        F.lit(None).cast("struct<first_at:bigint,n:bigint>").alias("lead"),
-        F.lit(0).cast("long").alias("conf_units"), F.lit(0).cast("long").alias("conf_n"),
-    )
-    own = own.withColumn("lead", F.col("lead").cast("struct<first_at:bigint,n:bigint>"))
-    per_key = own.unionByName(cross).groupBy(key).agg(
-        F.sum("n").alias("n"), F.sum("f1_units").alias("f1_units"), F.min("lead").alias("lead"),
-        F.sum("conf_units").alias("conf_units"), F.sum("conf_n").alias("conf_n"),
+    pairs = answer_pairs(signature_groups(candidates, key, order, confidence), key)
+    own = F.col("l_sig") == F.col("r_sig")
+    n = F.greatest("l_n", "r_n")
+    f1 = key_f1(signature_keys(F.col("l_sig")), signature_keys(F.col("r_sig")), "consistency")
+    units = F.when(own, (n * (n - 1) / 2 * 10000).cast("long")).otherwise(_units(f1) * F.col("l_n") * F.col("r_n"))
+    # Figures of one answer are taken from its pair with itself, using both sides so that neither loses a column.
+    mine = lambda col: F.when(own, col)
+    per_key = pairs.select(
+        key, mine(n).alias("n"), units.alias("f1_units"), mine(F.struct(F.least("l_first_at", "r_first_at").alias("at"), n.alias("n"))).alias("lead"),
+        mine(F.greatest("l_conf_units", "r_conf_units")).alias("conf_units"), mine(F.greatest("l_conf_n", "r_conf_n")).alias("conf_n"),
+    ).groupBy(key).agg(
+        F.sum("n").alias("n"), F.sum("f1_units").alias("f1_units"), F.min("lead").alias("lead"), F.sum("conf_units").alias("conf_units"), F.sum("conf_n").alias("conf_n"),
     )
     n = F.col("n")
     pairs = n * (n - 1) / 2
@@ -94,38 +99,48 @@ def _sig_f1(left: Column, right: Column) -> Column:
     return f1_from_counts(F.size(F.array_intersect(a, b)), F.size(a), F.size(b), "batch")
 
 
-def _answers(predictions: DataFrame, key: str) -> DataFrame:
-    return predictions.select(key, batch_signature(F.col("spans")).alias("sig"), "score", "rule_risk").groupBy(key, "sig").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(_units(F.col("score"))).alias("conf_units"), F.count("score").alias("conf_n"),
-        F.sum("rule_risk").alias("risk"),
+def _answers(predictions: DataFrame, key: str, best: bool = False) -> DataFrame:
+    """Distinct answers per task with counts and sums; with ``best``, also the best-scored prediction (the first on ties)."""
+    extra = []
+    if best:
+        rank = F.struct(F.coalesce("score", F.lit(0.0)).alias("s"), (-F.col("run")).alias("o"), F.col("prediction_id").alias("id"))
+        extra = [F.max(rank).alias("best")]
+    return predictions.withColumn("sig", batch_signature(F.col("spans"))).groupBy(key, "sig").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(_units(F.col("score"))).alias("conf_units"), F.count("score").alias("conf_n"), F.sum("rule_risk").alias("risk"), *extra,
     )
 
 
 def _consensus(answers: DataFrame, key: str) -> DataFrame:
+    best = [F.max("best").alias("best")] if "best" in answers.columns else []
     return answers.groupBy(key).agg(
         F.min(F.struct((-F.col("n")).alias("neg"), F.col("sig"))).alias("top"), F.sum("n").alias("total"),
-        F.sum("conf_units").alias("conf_units"), F.sum("conf_n").alias("conf_n"), F.sum("risk").alias("risk"),
-    ).select(key, F.col("top.sig").alias("consensus"), (-F.col("top.neg")).alias("best_count"), "total", "conf_units", "conf_n", "risk")
+        F.sum("conf_units").alias("conf_units"), F.sum("conf_n").alias("conf_n"), F.sum("risk").alias("risk"), *best,
+    ).select(key, F.col("top.sig").alias("consensus"), (-F.col("top.neg")).alias("best_count"), "total", "conf_units", "conf_n", "risk", *(["best"] if best else []))
 
 
-def consensus_scores(predictions: DataFrame, key: str = "task_id") -> DataFrame:
-    """Score of each task from its most common answer (ties: the smallest answer)."""
-    answers = _answers(predictions, key)
+def consensus_scores(predictions: DataFrame, key: str = "task_id", with_best: bool = False) -> DataFrame:
+    """Score of each task from its most common answer (ties: the smallest answer); ``with_best`` adds ``best_prediction_id``."""
+    answers = _answers(predictions, key, with_best)
     top = _consensus(answers, key)
-    f1 = (
-        answers.select(key, "sig", "n").join(top.select(key, "consensus"), key)
-        .groupBy(key).agg(F.sum(_sig_f1(F.col("sig"), F.col("consensus")) * F.col("n")).alias("f1_sum"))
+    own = answers.select(F.col(key).alias("a_key"), F.col("sig").alias("a_sig"), *[F.col(c).alias(f"a_{c}") for c in answers.columns if c not in (key, "sig")])
+    rows = own.join(top, F.col("a_key") == F.col(key))
+    first = lambda c: F.max(c)
+    # The task's sums arrive with the consensus and once more from the answers: both sides then read the same columns and share one exchange.
+    both = lambda total, part: F.greatest(F.max(total), F.sum(part))
+    best = [F.greatest(F.max("best"), F.max("a_best")).alias("best")] if with_best else []
+    sums = rows.groupBy(key).agg(
+        F.sum(_sig_f1(F.col("a_sig"), F.col("consensus")) * F.col("a_n")).alias("f1_sum"), first("best_count").alias("best_count"), both("total", "a_n").alias("total"),
+        both("conf_units", "a_conf_units").alias("conf_units"), both("conf_n", "a_conf_n").alias("conf_n"), both("risk", "a_risk").alias("risk"), *best,
     )
-    joined = top.drop("consensus").join(f1, key)
     total = F.col("total")
     agreement, exact = F.col("f1_sum") / total, F.col("best_count") / total
     conf = F.when(F.col("conf_n") > 0, F.col("conf_units") / (F.col("conf_n") * F.lit(10000.0))).otherwise(0.5)
     risk = F.col("risk") / total
-    return joined.select(
+    return sums.select(
         key, total.alias("candidate_count"),
         half_even(agreement * 0.5 + exact * 0.2 + conf * 0.2 + (1 - risk) * 0.1, 4).alias("score"),
         half_even(agreement, 4).alias("agreement"), half_even(exact, 4).alias("exact_match_rate"),
-        half_even(conf, 4).alias("avg_confidence"), half_even(risk, 4).alias("avg_rule_risk"),
+        half_even(conf, 4).alias("avg_confidence"), half_even(risk, 4).alias("avg_rule_risk"), *([F.col("best.id").alias("best_prediction_id")] if with_best else []),
     )
 
 

@@ -27,12 +27,11 @@ def best_predictions(predictions: DataFrame, key: str = "task_id", order: str =
 
 
 def route_tasks(predictions: DataFrame, job_id: str, threshold: float = 0.75, audit_rate: float = 0.05, key: str = "task_id", scores: DataFrame | None = None) -> DataFrame:
-    scores = consensus_scores(predictions, key) if scores is None else scores
+    scores = consensus_scores(predictions, key, with_best=True) if scores is None else scores.join(best_predictions(predictions, key), key)
     audit = audit_sample(F.lit(job_id), F.col(key), audit_rate)
     sure = F.col("score") >= threshold
-    routed = scores.join(best_predictions(predictions, key), key)
     auto = sure & ~audit
-    return routed.select(
+    return scores.select(
         key, F.lit(job_id).alias("job_id"), "score", "agreement", "exact_match_rate", "avg_confidence", F.col("avg_rule_risk").alias("rule_risk"),
         F.when(auto, "auto_accept").otherwise("review").alias("route"),
         F.when(audit & sure, wording.ROUTE_REASON_AUDIT).otherwise(wording.ROUTE_REASON_SCORE).alias("route_reason"),
