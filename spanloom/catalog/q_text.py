@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import markup as mk
 from ..functions import responses as rs
 from ..functions import text as tx
-from ..functions.core import lines
+from ..functions.core import SPACE_CLASS, lines
 from .derived import candidates, documents, responses, samples, table
 from .registry import TRIM, WS, collapse, cte, query, rnd, shorten, strip, with_
 
@@ -40,7 +40,8 @@ FROM placed WHERE NOT regexp_matches(piece, '^[{WS}]$')
 SELECT doc_id, count(*) AS token_count, sum(st)::BIGINT AS start_sum, max(en)::BIGINT AS last_end,
        md5(string_agg(tok || '@' || st, ' ' ORDER BY pos)) AS digest FROM alltok GROUP BY doc_id""")
 def tokenize(spark, d):
-    t = documents(spark, d).select("doc_id", tx.tokenize(F.col("text")).alias("t")).where(F.size("t") > 0)
+    # Texts with a token are found by a pattern: a filter on the token array would tokenise twice.
+    t = documents(spark, d).where(F.col("text").rlike(f"[^{SPACE_CLASS}]")).select("doc_id", tx.tokenize(F.col("text")).alias("t"))
     return t.select(
         "doc_id", F.size("t").cast("long").alias("token_count"),
         F.aggregate("t", F.lit(0).cast("long"), lambda a, x: a + x["start"]).alias("start_sum"),
@@ -53,7 +54,7 @@ def tokenize(spark, d):
 SELECT doc_id, count(*) AS token_count, count(DISTINCT tok) AS distinct_count,
        md5(string_agg(tok || '@' || st, ' ' ORDER BY pos)) AS digest FROM words GROUP BY doc_id""")
 def tokenize_words(spark, d):
-    t = documents(spark, d).select("doc_id", "text", tx.tokenize_words(F.col("text")).alias("t")).where(F.size("t") > 0)
+    t = documents(spark, d).where(F.col("text").rlike("[A-Za-z0-9_一-鿿]")).select("doc_id", "text", tx.tokenize_words(F.col("text")).alias("t"))
     return t.select(
         "doc_id", F.size("t").cast("long").alias("token_count"), F.size(tx.word_set(F.col("text"))).cast("long").alias("distinct_count"),
         F.md5(F.array_join(F.transform("t", lambda x: F.concat(x["text"], F.lit("@"), x["start"].cast("string"))), " ")).alias("digest"),

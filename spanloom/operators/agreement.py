@@ -21,7 +21,7 @@ def signature_groups(candidates: DataFrame, key: str = "sample_id", order: str =
     distinct answers, not as its rows.
     """
     rows = candidates.select(
-        key, F.col(order).alias("order_"), F.col(confidence).alias("conf_"), signature(F.col("spans"), "consistency").alias("sig"),
+        key, F.col(order).alias("order_"), F.col(confidence).alias("conf_"), F.coalesce(signature(F.col("spans"), "consistency"), F.lit("")).alias("sig"),  # never NULL: no filter that would compute it twice
     )
     return rows.groupBy(key, "sig").agg(
         F.count(F.lit(1)).alias("n"), F.min("order_").alias("first_at"),
