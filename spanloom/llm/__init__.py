@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["quality"]
+_MODULES = ["quality", "binary", "decontaminate", "packing"]
 
 
 def queries() -> dict:
