@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["quality", "binary", "jaccard", "decontaminate", "packing"]
+_MODULES = ["quality", "secrets", "binary", "jaccard", "decontaminate", "packing"]
 
 
 def queries() -> dict:
