@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["quality", "secrets", "binary", "jaccard", "decontaminate", "packing"]
+_MODULES = ["quality", "langid", "secrets", "binary", "jaccard", "decontaminate", "toxicity", "warc", "packing"]
 
 
 def queries() -> dict:
