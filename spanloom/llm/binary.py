@@ -33,6 +33,7 @@ HEAD = "<BqI"
 BLOCK = 8 << 20
 INDEX = "file string, doc_id long, place long, length long, n_tokens long, before long"
 READ = "doc_id long, start long, n_tokens long, ids binary"
+SUMS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
 def masked(data: bytes) -> int:
@@ -100,10 +101,10 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int) -> DataFram
     return docs.sparkSession.read.schema(INDEX).parquet(f"{folder}/index")
 
 
-def read(index: DataFrame, folder: str) -> DataFrame:
+def read(index: DataFrame, folder: str, sums: bool = False) -> DataFrame:
     """The documents of an index (all of it or some rows, in any order) with their ids and the number of ids before them.
 
-    Rows meet by file and are read in the order of the file, so that neighbouring records come in one request.
+    With ``sums`` the checksum of the ids stands for them, taken where they are read. Rows meet by file and are read in the order of the file, so that neighbouring records come in one request.
     """
     sizes = index.sparkSession.read.schema(INDEX).parquet(f"{folder}/index").groupBy("file").agg({"n_tokens": "sum"}).toDF("file", "n").collect()  # one row per file
     first, total = {}, 0
@@ -141,23 +142,12 @@ def read(index: DataFrame, folder: str) -> DataFrame:
                     doc_id, ids = parse(unframe(data[at : at + row["length"]]))
                     if len(ids) != row["n_tokens"] or doc_id != row["doc_id"]:
                         raise ValueError(f"index and {name} do not belong together")
-                    out.append((doc_id, first[name] + row["before"], len(ids), ids.tobytes()))
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), [pa.int64(), pa.int64(), pa.int64(), pa.binary()])], names=["doc_id", "start", "n_tokens", "ids"])
+                    out.append((doc_id, first[name] + row["before"], len(ids), zlib.crc32(ids) if sums else ids.tobytes()))
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), [pa.int64(), pa.int64(), pa.int64(), pa.int64() if sums else pa.binary()])], names=["doc_id", "start", "n_tokens", "ids_crc32" if sums else "ids"])
         if source is not None:
             source.close()
 
-    return index.repartition("file").sortWithinPartitions("file", "place").mapInArrow(fetch, READ)
-
-
-def digest(rows: DataFrame) -> DataFrame:
-    """The ids replaced by their checksum."""
-
-    def crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sums = pa.array([zlib.crc32(x.as_buffer()) for x in b.column("ids")], pa.int64())
-            yield pa.record_batch([b.column("doc_id"), b.column("start"), b.column("n_tokens"), sums], names=["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return rows.mapInArrow(crc, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return index.repartition("file").sortWithinPartitions("file", "place").mapInArrow(fetch, SUMS if sums else READ)
 
 
 def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,7 +156,7 @@ def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     folder = scratch(spark)
     index = write(spark.read.parquet(f"{sf_dir}/documents.parquet"), folder, public_tokenizers.path("word_bpe_49k.json"), 2)
-    return digest(read(index, folder))
+    return read(index, folder, sums=True)
 
 
 QUERIES = {"op4_token_records": op4_token_records}

@@ -12,10 +12,11 @@ import json
 import os
 import re
 import unicodedata
+from array import array
 
 import numpy as np
 
-KEPT = 400_000  # pieces and chunks a worker remembers; beyond that it starts anew
+KEPT = 300_000  # pieces a worker remembers twice over
 
 # The parts of the tokenizer file under which pieces are independent.
 NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
@@ -69,25 +70,21 @@ class Encoder:
         )
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
-        self.pieces: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
-
-    def _piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
-        if found is None:
-            if len(self.pieces) >= KEPT:
-                self.pieces.clear()
-            word = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
-            found = self.pieces[piece] = np.array([t.id for t in self.model.tokenize(word)], "<u4").tobytes()
-        return found
-
-    def _chunk(self, chunk: str) -> bytes:
-        found = self.chunks.get(chunk)
-        if found is None:
-            if len(self.chunks) >= KEPT:
-                self.chunks.clear()
-            found = self.chunks[chunk] = b"".join(map(self._piece, _PIECES.findall(chunk)))
-        return found
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Takes in the ids of new pieces. When full, the known ones become the older ones, from which those still in use come back."""
+        if len(self.known) >= KEPT:
+            self.known, self.older = {}, self.known
+        known = self.known
+        for piece in [p for p in pieces if p not in known]:
+            if piece not in known:
+                ids = self.older.get(piece)
+                if ids is None:
+                    word = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+                    ids = array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+                known[piece] = ids
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers, without special tokens."""
@@ -95,11 +92,14 @@ class Encoder:
             return b""
         if not self.by_piece or _OTHER.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        chunks = text.lower().split()
+        pieces = _PIECES.findall(text.lower())
+        known = self.known
         try:
-            return b"".join([self.chunks[c] for c in chunks])
+            return b"".join([known[p] for p in pieces])
         except KeyError:
-            return b"".join(map(self._chunk, chunks))
+            self._learn(pieces)
+            known = self.known
+            return b"".join([known[p] for p in pieces])
 
 
 def encoder(path: str) -> Encoder:
