@@ -149,7 +149,7 @@ def contamination(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int
 def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents without a hit word, with the columns they came with. Rows of one doc_id go together."""
     bad = stored(contamination(docs, items).where("n_hit > 0").select(F.col("doc_id").alias("bad_")).distinct())
-    return docs.join(bad, F.expr("doc_id <=> bad_"), "left_anti")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_"]), "left_anti")
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,8 +7,8 @@ once, at the length reached. Groups only say who is compared: similarity is then
 
 Texts of equal words are one class and go on as one. Classes that meet in some group form neighbourhoods (components of the
 group stars, found by joins). A neighbourhood is compared in blocks of bounded count and bytes: each pair of blocks is one group
-of work that returns, for each class, its number of linked documents and one pair that ties it to the least class it is linked
-with. So no list of all pairs is ever written, and a block pair holds only classes of one neighbourhood.
+of work that returns, for each class, its number of linked documents and one pair that ties it to the least class that it reaches
+over them. So no list of all pairs is ever written, and a block pair holds only classes of one neighbourhood.
 
 Words are runs of digits, letters and characters outside ASCII, without case for A-Z; a text of fewer than five words is one
 shingle. NULL, empty and wordless texts are linked to nothing. Rows without doc_id are linked to nothing and have no class. Repeated
@@ -165,9 +165,11 @@ def _compare(num: int, den: int):
         ok = _common(sets, a, b) * (num + den) >= num * (n[a] + n[b])
         a, b = a[ok], b[ok]
         links = np.bincount(a, size[b], len(rows)) + np.bincount(b, size[a], len(rows))
-        least = rep.copy()
-        np.minimum.at(least, a, rep[b])
-        np.minimum.at(least, b, rep[a])
+        least, before = rep.copy(), None
+        while before is None or (least != before).any():  # along links, until each class knows the least one it reaches in this block pair
+            before = least.copy()
+            np.minimum.at(least, a, least[b])
+            np.minimum.at(least, b, least[a])
         some = links > 0
         return pd.DataFrame({"rep": rep[some], "links": links[some].astype(np.int64), "least": least[some]})
 
@@ -203,7 +205,7 @@ def linked(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, trees: int =
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents without those that are linked, directly or over others, to a document of smaller id. Rows of one doc_id stay or go together."""
     gone = stored(linked(docs).where("doc_id <> class_id").select(F.col("doc_id").alias("gone_")).distinct())
-    return docs.join(gone, F.col("doc_id") == F.col("gone_"), "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone["gone_"], "left_anti")
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
