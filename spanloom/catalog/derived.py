@@ -78,15 +78,11 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Share a small input over all cores; inputs with a split per core or more stay as they are read.
+    """Rows dealt out by key before their texts are taken apart, so that what is made of a text is made where there is room.
 
-    A file with one row group is read by one task however many cores wait. The planner's size estimate decides,
-    so large tables never pay for this exchange.
+    The same exchange at every size; adaptive execution merges partitions that come out small.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores, key) if size < cores * (128 << 20) else df
+    return df.repartition(key)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -203,9 +203,12 @@ SELECT review_id, task_id, CASE kind WHEN 'skip' THEN 'ignored' WHEN 'reject' TH
   CASE WHEN kind = 'reject' AND err = '' THEN 'all_candidates_wrong' ELSE err END AS error_type, kind IN ('manual', 'accept') AND promote AS promote_to_gold,
   CASE kind WHEN 'skip' THEN NULL WHEN 'reject' THEN 'reject' ELSE 'accept' END AS task_answer,
   CASE WHEN kind IN ('manual', 'accept') AND promote THEN 'gold_like' ELSE 'review' END AS task_source_pool,
-  CASE kind WHEN 'manual' THEN 1 WHEN 'accept' THEN chosen_n ELSE -1 END::BIGINT AS new_span_count FROM decided""")
+  CASE kind WHEN 'manual' THEN 1 WHEN 'accept' THEN chosen_n ELSE -1 END::BIGINT AS new_span_count, CASE WHEN kind = 'accept' AND chosen IS NULL THEN 'invalid_option' END AS error FROM decided
+UNION ALL
+SELECT 'review-' || r.task_id, NULL, NULL, NULL, NULL, false, false, NULL, false, NULL, NULL, -2, 'unknown_review'
+FROM routed r JOIN psig p ON r.task_id = p.task_id AND p.run = 1 JOIN labels l ON p.doc_id = l.doc_id WHERE r.route <> 'review'""")
 def apply_decisions(spark, d):
     t = samples(spark, d).select("id", "spans").withColumn("source_pool", F.lit("review"))
     a = rv.apply_decisions(reviews(spark, d).withColumn("hard_example", F.lit(False)), decisions(spark, d), t, predictions(spark, d))
-    n = F.when(F.col("status") == "accepted", F.size("task_spans")).otherwise(-1).cast("long")
-    return a.withColumn("new_span_count", n).drop("task_spans", "review_note", "task_hard_example", "error")
+    n = F.when(F.col("status") == "accepted", F.size("task_spans")).when(F.col("status").isNotNull(), -1).otherwise(-2).cast("long")
+    return a.withColumn("new_span_count", n).fillna(False, ["manually_edited", "review_hard_example", "promote_to_gold"]).drop("task_spans", "review_note", "task_hard_example")

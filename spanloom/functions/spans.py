@@ -19,8 +19,16 @@ FIELD_SEP = "\x1f"
 KEY_SEP = "\x1e"
 
 
+def _plain(field: Column) -> Column:
+    """A field without separators of its own; NULL differs from every text."""
+    value = F.replace(field.cast("string"), F.lit("\x1d"), F.lit("\x1d0"))
+    value = F.replace(F.replace(value, F.lit(KEY_SEP), F.lit("\x1d1")), F.lit(FIELD_SEP), F.lit("\x1d2"))
+    return F.coalesce(value, F.lit("\x1dn"))
+
+
 def span_key(span: Column, profile: str) -> Column:
-    return F.concat_ws(FIELD_SEP, *[span[f].cast("string") for f in PROFILES[profile]])
+    free = {"text", "label"}
+    return F.concat_ws(FIELD_SEP, *[_plain(span[f]) if f in free else F.coalesce(span[f].cast("string"), F.lit("\x1dn")) for f in PROFILES[profile]])
 
 
 def span_keys(spans: Column, profile: str) -> Column:
@@ -86,19 +94,8 @@ def extra_keys(gold: Column, pred: Column) -> Column:
 
 def span_difference(left: Column, right: Column) -> Column:
     """Spans of ``left`` whose key is not in ``right``, distinct, ordered by (start, end, text, label, implicit)."""
-    def by_key(ks: Column) -> Column:
-        parts = F.transform(ks, lambda k: F.split(k, FIELD_SEP))
-        return F.array_sort(
-            F.transform(
-                parts,
-                lambda p: F.struct(
-                    p[0].cast("int").alias("start"), p[1].cast("int").alias("end"), p[2].alias("text"), p[3].alias("label"),
-                    (p[4] == "true").alias("implicit"),
-                ),
-            )
-        )
-
-    return let(F.array_except(span_keys(left, "gold"), span_keys(right, "gold")), by_key)
+    fields = lambda spans: F.transform(spans, lambda s: F.struct(*[s[f].alias(f) for f in PROFILES["gold"]]))
+    return F.array_sort(F.array_except(fields(left), fields(right)))
 
 
 def empty_spans() -> Column:

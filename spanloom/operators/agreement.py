@@ -9,6 +9,9 @@ from ..functions.core import half_even
 from ..functions.spans import f1_from_counts, key_f1, signature, signature_keys, span_key
 
 
+PARTS = 16
+
+
 def _units(col: Column) -> Column:
     """Four-place decimals as whole units, so that sums do not depend on their order."""
     return F.round(col * 10000).cast("long")
@@ -32,19 +35,29 @@ def signature_groups(candidates: DataFrame, key: str = "sample_id", order: str =
 def answer_pairs(groups: DataFrame, key: str = "sample_id") -> DataFrame:
     """All pairs of distinct answers of a key, each answer also with itself; columns ``l_*`` and ``r_*``.
 
-    An equi-join on the key; adaptive execution splits a hot key over tasks, nothing is collected. Both sides must keep the same
-    columns: then they are one exchange, and the candidates are read and grouped once.
+    An equi-join on the key, nothing is collected. Adaptive execution splits a hot key over tasks as long as nothing above asks for the
+    rows of a key together; see ``_parts``. Both sides must keep the same columns: then they are one exchange, and the candidates
+    are read and grouped once.
     """
     side = lambda p: groups.select(F.col(key).alias(f"{p}_key"), *[F.col(c).alias(f"{p}_{c}") for c in ("sig", "n", "first_at", "conf_units", "conf_n")])
     return side("l").join(side("r"), (F.col("l_key") == F.col("r_key")) & (F.col("l_sig") <= F.col("r_sig"))).withColumnRenamed("l_key", key)
 
 
+def _parts(rows: DataFrame, key: str, by: str) -> DataFrame:
+    """Rows dealt anew by key and a part of it.
+
+    With this exchange above a join on the key, the join may be split where a key is hot, and a hot key is then summed up in ``PARTS``
+    tasks before its parts meet.
+    """
+    return rows.withColumn("part_", F.pmod(F.xxhash64(by), F.lit(PARTS))).drop(by).repartition(key, "part_")
+
+
 def pairwise_f1(groups: DataFrame, key: str = "sample_id") -> DataFrame:
     """(key, f1, weight): F1 of the candidates of each key, weighted by how many pairs of candidates have it."""
     own = F.col("l_sig") == F.col("r_sig")
     f1 = F.when(own, 1.0).otherwise(key_f1(signature_keys(F.col("l_sig")), signature_keys(F.col("r_sig")), "consistency"))
     n = F.greatest("l_n", "r_n")
-    weight = F.when(own, (n * (n - 1) / 2).cast("long")).otherwise(F.col("l_n") * F.col("r_n"))
+    weight = F.when(own, F.shiftright(n * (n - 1), 1)).otherwise(F.col("l_n") * F.col("r_n"))
     return answer_pairs(groups, key).select(key, f1.alias("f1"), weight.alias("weight")).where("weight > 0")
 
 
@@ -57,15 +70,15 @@ def consistency_scores(
     own = F.col("l_sig") == F.col("r_sig")
     n = F.greatest("l_n", "r_n")
     f1 = key_f1(signature_keys(F.col("l_sig")), signature_keys(F.col("r_sig")), "consistency")
-    units = F.when(own, (n * (n - 1) / 2 * 10000).cast("long")).otherwise(_units(f1) * F.col("l_n") * F.col("r_n"))
+    units = F.when(own, n * (n - 1) * F.lit(5000)).otherwise(_units(f1) * F.col("l_n") * F.col("r_n"))
     # Figures of one answer are taken from its pair with itself, using both sides so that neither loses a column.
     mine = lambda col: F.when(own, col)
-    per_key = pairs.select(
-        key, mine(n).alias("n"), units.alias("f1_units"), mine(F.struct(F.least("l_first_at", "r_first_at").alias("at"), n.alias("n"))).alias("lead"),
+    figures = pairs.select(
+        key, "l_sig", mine(n).alias("n"), units.alias("f1_units"), mine(F.struct(F.least("l_first_at", "r_first_at").alias("at"), n.alias("n"))).alias("lead"),
         mine(F.greatest("l_conf_units", "r_conf_units")).alias("conf_units"), mine(F.greatest("l_conf_n", "r_conf_n")).alias("conf_n"),
-    ).groupBy(key).agg(
-        F.sum("n").alias("n"), F.sum("f1_units").alias("f1_units"), F.min("lead").alias("lead"), F.sum("conf_units").alias("conf_units"), F.sum("conf_n").alias("conf_n"),
     )
+    added = [F.sum("n").alias("n"), F.sum("f1_units").alias("f1_units"), F.min("lead").alias("lead"), F.sum("conf_units").alias("conf_units"), F.sum("conf_n").alias("conf_n")]
+    per_key = _parts(figures, key, "l_sig").groupBy(key, "part_").agg(*added).groupBy(key).agg(*added)
     n = F.col("n")
     pairs = n * (n - 1) / 2
     f1 = F.when(n == 1, 1.0).otherwise(half_even(F.col("f1_units") / (pairs * 10000), 4))
@@ -124,14 +137,14 @@ def consensus_scores(predictions: DataFrame, key: str = "task_id", with_best: bo
     top = _consensus(answers, key)
     own = answers.select(F.col(key).alias("a_key"), F.col("sig").alias("a_sig"), *[F.col(c).alias(f"a_{c}") for c in answers.columns if c not in (key, "sig")])
     rows = own.join(top, F.col("a_key") == F.col(key))
-    first = lambda c: F.max(c)
     # The task's sums arrive with the consensus and once more from the answers: both sides then read the same columns and share one exchange.
-    both = lambda total, part: F.greatest(F.max(total), F.sum(part))
-    best = [F.greatest(F.max("best"), F.max("a_best")).alias("best")] if with_best else []
-    sums = rows.groupBy(key).agg(
-        F.sum(_sig_f1(F.col("a_sig"), F.col("consensus")) * F.col("a_n")).alias("f1_sum"), first("best_count").alias("best_count"), both("total", "a_n").alias("total"),
-        both("conf_units", "a_conf_units").alias("conf_units"), both("conf_n", "a_conf_n").alias("conf_n"), both("risk", "a_risk").alias("risk"), *best,
-    )
+    both = {"total": "a_n", "conf_units": "a_conf_units", "conf_n": "a_conf_n", "risk": "a_risk"}
+    once = ["best_count", *both, *(["best", "a_best"] if with_best else [])]
+    rows = rows.select(key, "a_sig", (_sig_f1(F.col("a_sig"), F.col("consensus")) * F.col("a_n")).alias("f1_sum"), *once, *both.values())
+    added = [F.sum("f1_sum").alias("f1_sum"), *[F.max(c).alias(c) for c in once], *[F.sum(c).alias(c) for c in both.values()]]
+    sums = _parts(rows, key, "a_sig").groupBy(key, "part_").agg(*added).groupBy(key).agg(*added)
+    best = [F.greatest("best", "a_best").alias("best")] if with_best else []
+    sums = sums.select(key, "f1_sum", "best_count", *[F.greatest(a, b).alias(a) for a, b in both.items()], *best)
     total = F.col("total")
     agreement, exact = F.col("f1_sum") / total, F.col("best_count") / total
     conf = F.when(F.col("conf_n") > 0, F.col("conf_units") / (F.col("conf_n") * F.lit(10000.0))).otherwise(0.5)

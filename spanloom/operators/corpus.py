@@ -168,7 +168,7 @@ def normalize_generated(items: DataFrame, plan: str, schema: str = "qa") -> Data
     fields = ("question", "answer") if schema == "qa" else ("instruction", "response")
     lineage = F.struct(F.lit(plan).alias("spec_name"), "task_id", F.lit("brief+evidence+terms+failures").alias("compression_mode"), F.col("allowed_ids").alias("retrieved_chunk_ids"))
     return items.select(
-        F.format_string("%s-item-%03d", "task_id", F.col("item_index").cast("int")).alias("id"), F.lit(schema).alias("schema"), "language", "domain", F.col("genre_name").alias("genre"), "focus",
+        F.format_string("%s-item-%03d", "task_id", F.col("item_index").cast("long")).alias("id"), F.lit(schema).alias("schema"), "language", "domain", F.col("genre_name").alias("genre"), "focus",
         ids.alias("source_chunk_ids"), lineage.alias("lineage"), *[strip(F.coalesce(F.col(f), F.lit(""))).alias(f) for f in fields],
     )
 
@@ -190,7 +190,7 @@ def budget_pack(chunks: DataFrame, budget: int, summary: str = "", fresh: str =
 def normalize_articles(articles: DataFrame, titles: DataFrame, stage: str, key: str = "position") -> DataFrame:
     """Articles with a title by position where they have none, ids and length estimates."""
     rows = articles.join(titles.select(key, F.col("title").alias("planned")), key, "left")
-    number = F.col(key).cast("int")
+    number = F.col(key).cast("long")
     title = F.coalesce(F.nullif(strip(F.coalesce("title", F.lit(""))), F.lit("")), "planned", F.concat(F.lit("Untitled-"), number.cast("string")))
     body = strip(F.coalesce("body", F.lit("")))
     return rows.select(

@@ -8,32 +8,17 @@ from pyspark.sql import functions as F
 
 from ..sources.positions import with_position
 
-SMALL_BYTES = 1 << 30
-HOT_ROWS = 1_000_000
 
+def rank_in_group(df: DataFrame, keys: list[str], order: list, name: str = "rank") -> DataFrame:
+    """1-based rank in each group, whatever its size.
 
-def plan_bytes(df: DataFrame) -> int:
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-
-
-def rank_in_group(df: DataFrame, keys: list[str], order: list, name: str = "rank", hot_rows: int = HOT_ROWS, small_bytes: int = SMALL_BYTES) -> DataFrame:
-    """1-based rank in each group.
-
-    Groups of ordinary size are ranked by a window. A group with more than ``hot_rows`` rows would tie up one task, so such
-    groups are range-sorted over all tasks and ranked from their global position. There are at most rows/hot_rows of them, which
-    bounds the broadcast. Inputs the planner puts below ``small_bytes`` skip the count.
+    Rows are range-sorted by key and order over all tasks, and a rank is the distance to the first position of the group. A hot
+    group is so spread over as many tasks as its rows ask for; only the first positions, a row per group, are joined back.
     """
-    window = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
-    if plan_bytes(df) < small_bytes:
-        return df.withColumn(name, window)
-    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_")).where(F.col("n_") > hot_rows).select(*keys)
-    if not hot.take(1):
-        return df.withColumn(name, window)
-    calm = df.join(F.broadcast(hot), keys, "left_anti").withColumn(name, window)
-    placed = with_position(df.join(F.broadcast(hot), keys, "left_semi"), [*keys, *order], "pos_")
-    first = placed.groupBy(*keys).agg(F.min("pos_").alias("first_"))
-    ranked = placed.join(F.broadcast(first), keys).withColumn(name, (F.col("pos_") - F.col("first_") + 1).cast("int")).drop("pos_", "first_")
-    return calm.unionByName(ranked).select(*df.columns, name)  # a join on names moves the keys to the front
+    placed = with_position(df, [*keys, *order], "pos_")
+    first = placed.groupBy(*[F.col(k).alias(f"{k}_of_") for k in keys]).agg(F.min("pos_").alias("first_"))
+    same = [F.col(k).eqNullSafe(F.col(f"{k}_of_")) for k in keys]
+    return placed.join(first, same).withColumn(name, F.col("pos_") - F.col("first_") + 1).select(*df.columns, name)
 
 
 def top_k(df: DataFrame, keys: list[str], order: list, k: int, name: str = "rank") -> DataFrame:

@@ -53,10 +53,15 @@ def option_text(spans: Column) -> Column:
     return F.coalesce(F.nullif(text, F.lit("")), F.lit(wording.OPTION_EMPTY))
 
 
+def lettered(predictions: DataFrame, key: str = "task_id", order: str = "run", limit: int = 26) -> DataFrame:
+    """The first predictions of each task with their rank, which is what option letters stand for."""
+    return top_k(predictions, [key], [order, "prediction_id"], limit)
+
+
 def review_options(reviews: DataFrame, predictions: DataFrame, key: str = "task_id", order: str = "run", limit: int = 5) -> DataFrame:
     """Lettered options of each review (the first ``limit`` predictions) and the manual option."""
-    mine = predictions.join(reviews.select(key, "review_id"), key)
-    first = top_k(mine, ["review_id"], [order], limit).select(
+    mine = lettered(predictions.join(reviews.select(key), key, "left_semi"), key, order, limit)
+    first = mine.join(reviews.select(key, "review_id"), key).select(
         "review_id", F.col("rank").alias("position"), F.char(64 + F.col("rank")).alias("option_id"), option_text(F.col("spans")).alias("text"),
     )
     manual = reviews.select("review_id", F.lit(limit + 1).alias("position"), F.lit("manual").alias("option_id"), F.lit(wording.OPTION_MANUAL).alias("text"))
@@ -113,21 +118,23 @@ def review_bundle(reviews: DataFrame, tasks: DataFrame, predictions: DataFrame,
 def apply_decisions(reviews: DataFrame, decisions: DataFrame, tasks: DataFrame, predictions: DataFrame, order: str = "run") -> DataFrame:
     """One row per decided review: its new state, and the new state of its task (``task_answer`` is NULL for a skip).
 
-    The option letter names the position of a prediction, so the chosen spans come from an equi-join on (task, position).
-    ``error`` is set for a letter without a prediction.
+    The option letter names the rank of a prediction of its task, as ``review_options`` shows it, so the chosen spans come from an
+    equi-join on (task, rank); only predictions of decided tasks are ranked. ``error`` is set for a letter without a prediction and for
+    a decision on a review or task that is not there, which changes nothing.
     """
     r = reviews.select("review_id", "task_id", F.coalesce("hard_example", F.lit(False)).alias("was_hard"))
     t = tasks.select(F.col("id").alias("task_id"), F.col("spans").alias("task_spans"), F.col("source_pool").alias("old_pool"))
-    p = predictions.select("task_id", F.col(order).cast("long").alias("choice"), F.col("prediction_id").alias("chosen_id"), F.col("spans").alias("chosen_spans"))
     option, decision = F.col("selected_option_id"), F.col("decision")
     kind = (
         F.when(decision == "skip", "skip").when(decision == "reject", "reject")
         .when((decision == "manual") | F.coalesce(option == "manual", F.lit(False)), "manual").otherwise("accept")
     )
     letter = F.coalesce(option, F.lit("A"))
-    rows = decisions.join(r, "review_id").withColumn("kind", kind)
+    rows = decisions.join(r.withColumn("known", F.lit(True)), "review_id", "left").withColumn("kind", kind)
     rows = rows.withColumn("choice", F.when(F.col("kind") == "accept", (F.ascii(F.upper(letter)) - 64).cast("long")))
-    rows = rows.join(t, "task_id").join(p, ["task_id", "choice"], "left")
+    decided = predictions.join(rows.where("kind = 'accept'").select("task_id").distinct(), "task_id", "left_semi")
+    p = lettered(decided, "task_id", order).select("task_id", F.col("rank").cast("long").alias("choice"), F.col("prediction_id").alias("chosen_id"), F.col("spans").alias("chosen_spans"))
+    rows = rows.join(t.withColumn("has_task", F.lit(True)), "task_id", "left").join(p, ["task_id", "choice"], "left")
     kind = F.col("kind")
     by = lambda skip, reject, manual, accept: F.when(kind == "skip", skip).when(kind == "reject", reject).when(kind == "manual", manual).otherwise(accept)
     null = F.lit(None).cast("string")
@@ -135,18 +142,21 @@ def apply_decisions(reviews: DataFrame, decisions: DataFrame, tasks: DataFrame,
     hard, err = F.coalesce("hard_example", no), F.coalesce("error_type", F.lit(""))
     reject_err = F.coalesce(F.nullif(err, F.lit("")), F.lit("all_candidates_wrong"))
     promote = by(no, no, F.coalesce("promote_to_gold", no), F.coalesce("promote_to_gold", no))
-    return rows.select(
+    out = rows.select(
         "review_id", "task_id",
         by(F.lit("ignored"), F.lit("rejected"), F.lit("accepted"), F.lit("accepted")).alias("status"),
         by(F.lit("skip"), F.coalesce(option, F.lit("reject")), F.lit("manual"), letter).alias("answer"),
         by(null, F.coalesce(option, F.lit("reject")), F.lit("manual"), F.col("chosen_id")).alias("selected_candidate_id"),
         by(no, no, F.lit(True), no).alias("manually_edited"),
-        by(hard, hard | F.col("was_hard"), hard, hard).alias("review_hard_example"),
+        by(hard, hard | F.coalesce("was_hard", no), hard, hard).alias("review_hard_example"),
         by(err, reject_err, err, err).alias("error_type"), promote.alias("promote_to_gold"), F.coalesce("note", F.lit("")).alias("review_note"),
         by(null, F.lit("reject"), F.lit("accept"), F.lit("accept")).alias("task_answer"),
         by(F.col("task_spans"), F.col("task_spans"), F.col("manual_spans"), F.col("chosen_spans")).alias("task_spans"),
         by(F.col("old_pool"), F.coalesce("old_pool", F.lit("reviewed")), F.when(promote, "gold_like").otherwise(F.coalesce("old_pool", F.lit("reviewed"))),
            F.when(promote, "gold_like").otherwise(F.coalesce("old_pool", F.lit("reviewed")))).alias("task_source_pool"),
         by(no, hard, hard, hard).alias("task_hard_example"),
-        F.when((kind == "accept") & F.col("chosen_id").isNull(), "invalid_option").alias("error"),
+        F.when(F.col("known").isNull(), "unknown_review").when(F.col("has_task").isNull(), "unknown_task")
+        .when((kind == "accept") & F.col("chosen_id").isNull(), "invalid_option").alias("error"),
     )
+    lost = F.coalesce(F.col("error").startswith("unknown_"), F.lit(False))
+    return out.select("review_id", *[F.when(~lost, F.col(c)).alias(c) for c in out.columns if c not in ("review_id", "error")], "error")

@@ -31,7 +31,7 @@ def local_session(cores: int | str = "*", app: str = "spanloom", memory: str = "
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; a temporary one only where the session names none (tests)."""
+    """The shared folder of the session. A local master that names none gets a temporary one; a cluster has to name it."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if configured:
         if spark.sparkContext.getCheckpointDir() is None:
@@ -39,6 +39,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return configured
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir: executors have working folders of their own")
         current = tempfile.mkdtemp(prefix="run-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(current)
     return current

@@ -65,7 +65,7 @@ def json_to_tasks(df: DataFrame, line: str = "value", position: str = "position"
         F.create_map(F.lit("source"), F.lit(source), F.lit("source_format"), F.lit("jsonl")),
     )
     return parsed.select(
-        F.coalesce("r.id", F.format_string(f"{prefix}-%05d", F.col(position).cast("int"))).alias("id"), text.alias("text"),
+        F.coalesce("r.id", F.format_string(f"{prefix}-%05d", F.col(position).cast("long"))).alias("id"), text.alias("text"),
         F.coalesce("r.tokens", numbered_tokens(text)).alias("tokens"), F.coalesce("r.spans", _empty(SPAN_DDL)).alias("spans"),
         F.coalesce("r.relations", _empty(RELATION_DDL)).alias("relations"), F.col("r.label").alias("label"), F.coalesce("r.options", _empty(OPTION_DDL)).alias("options"),
         F.coalesce("r.accept", F.array().cast("array<string>")).alias("accept"), F.col("r.answer").alias("answer"), meta.alias("meta"), error.alias("error"),
@@ -100,7 +100,7 @@ def rows_to_tasks(df: DataFrame, text_column: str = "text", position: str = "pos
     place = F.col(position).cast("string")
     meta = F.create_map(*pairs, F.lit("source"), F.lit(source), F.lit("source_format"), F.lit("csv"), F.lit("row_index"), place)
     return df.where(text != "").select(
-        F.format_string(f"{prefix}-%05d", F.col(position).cast("int")).alias("id"), text.alias("text"), numbered_tokens(text).alias("tokens"), meta.alias("meta"),
+        F.format_string(f"{prefix}-%05d", F.col(position).cast("long")).alias("id"), text.alias("text"), numbered_tokens(text).alias("tokens"), meta.alias("meta"),
     )
 
 
@@ -151,7 +151,7 @@ def json_to_samples(df: DataFrame, line: str = "value", position: str = "positio
     )
     error = F.when(F.col("r").isNull() | F.col("r._bad").isNotNull(), "invalid_json").when(text == "", "empty_text")
     return rows.select(
-        strip(F.coalesce(F.nullif("r.id", F.lit("")), F.format_string("sample-%04d", F.col(position).cast("int")))).alias("id"), text.alias("text"), spans.alias("spans"),
+        strip(F.coalesce(F.nullif("r.id", F.lit("")), F.format_string("sample-%04d", F.col(position).cast("long")))).alias("id"), text.alias("text"), spans.alias("spans"),
         F.coalesce("r.meta", "r.metadata", F.create_map().cast("map<string,string>")).alias("meta"), error.alias("error"),
     )
 
@@ -181,7 +181,7 @@ def json_to_candidates(df: DataFrame, line: str = "value", position: str = "posi
     rows = rows.select("*", spans.alias("sp_"), conf.alias("c_"), error.alias("error"))
     return rows.select(
         strip(F.col("r.sample_id")).alias("sample_id"),
-        strip(F.coalesce(F.nullif("r.candidate_id", F.lit("")), F.nullif("r.run_id", F.lit("")), F.format_string("candidate-%03d", F.col(position).cast("int")))).alias("candidate_id"),
+        strip(F.coalesce(F.nullif("r.candidate_id", F.lit("")), F.nullif("r.run_id", F.lit("")), F.format_string("candidate-%03d", F.col(position).cast("long")))).alias("candidate_id"),
         F.col(position).cast("long").alias("run"), F.col("t_").alias("text"),
         F.when((F.col("m_") == "") & (F.size("sp_") > 0), mk.spans_to_markup(F.col("sp_"))).otherwise(F.col("m_")).alias("annotation_markup"),
         F.col("sp_").alias("spans"), strip(F.coalesce("r.explanation", F.lit(""))).alias("explanation"),
@@ -201,7 +201,7 @@ def read_candidates(spark: SparkSession, path: str, strict: bool = False) -> Dat
 def seed_rows(df: DataFrame, position: str = "position") -> DataFrame:
     """Seed documents with trimmed fields and defaults; ``error`` marks rows the rules refuse."""
     text = F.coalesce(strip(F.col("text")), F.lit(""))
-    doc_id = F.coalesce(blank_to_null(F.col("id")), F.format_string("seed-%04d", F.col(position).cast("int")))
+    doc_id = F.coalesce(blank_to_null(F.col("id")), F.format_string("seed-%04d", F.col(position).cast("long")))
     tags = F.coalesce("tags", F.array().cast("array<string>"))
     default = lambda c, v: F.coalesce(blank_to_null(F.col(c)), F.lit(v))
     error = F.when(text == "", "empty_text").when(F.exists(tags, lambda t: t.isNull() | (strip(t) == "")), "bad_tags")
