@@ -116,11 +116,26 @@ def infer_labels(spark, d):
   LEFT JOIN (SELECT id, list(DISTINCT {{a: st, b: en}} ORDER BY {{a: st, b: en}}) AS p, list(DISTINCT {{a: st, b: en, c: label}} ORDER BY {{a: st, b: en, c: label}}) AS l FROM gold GROUP BY 1) g ON r.sample_id = g.id
   LEFT JOIN (SELECT sample_id, run, list(DISTINCT {{a: st, b: en}} ORDER BY {{a: st, b: en}}) AS p, list(DISTINCT {{a: st, b: en, c: label}} ORDER BY {{a: st, b: en, c: label}}) AS l FROM cspans GROUP BY 1, 2) c ON r.sample_id = c.sample_id AND r.run = c.run)
 SELECT (SELECT {rnd("avg(CASE WHEN route = 'review' THEN 1 ELSE 0 END)")} FROM tfinal) AS review_rate, (SELECT {rnd("avg(CASE WHEN status = 'accepted' AND NOT manually_edited THEN 1 ELSE 0 END)")} FROM rfinal) AS candidate_accept_rate,
- (SELECT {rnd("avg(CASE WHEN manually_edited THEN 1 ELSE 0 END)")} FROM rfinal) AS manual_rewrite_rate, (SELECT {rnd("avg(CASE WHEN bm THEN 1 ELSE 0 END)")} FROM b) AS boundary_exact_match, (SELECT {rnd("avg(CASE WHEN lm THEN 1 ELSE 0 END)")} FROM b) AS label_exact_match""")
+ (SELECT {rnd("avg(CASE WHEN manually_edited THEN 1 ELSE 0 END)")} FROM rfinal) AS manual_rewrite_rate,
+ (SELECT {rnd("avg(CASE WHEN is_audit AND status IN ('accepted', 'rejected') THEN CASE WHEN status = 'rejected' OR manually_edited THEN 1 ELSE 0 END END)")} FROM rfinal) AS high_confidence_audit_error_rate, (SELECT {rnd("avg(CASE WHEN bm THEN 1 ELSE 0 END)")} FROM b) AS boundary_exact_match, (SELECT {rnd("avg(CASE WHEN lm THEN 1 ELSE 0 END)")} FROM b) AS label_exact_match""")
 def experiment_metrics(spark, d):
     return ev.experiment_metrics(decided_reviews(spark, d), annotated_tasks(spark, d), _compared(spark, d))
 
 
+@query("export_filters", with_("tfinal") + """
+SELECT kind AS export_kind, task_id AS id FROM (SELECT task_id, unnest(list_filter([
+  'all', CASE WHEN answer = 'accept' THEN 'confirmed' END, CASE WHEN route = 'auto_accept' THEN 'auto' END, CASE WHEN reviewed THEN 'reviewed' END,
+  CASE WHEN hard_example THEN 'hard' END, CASE WHEN route = 'review' THEN 'low_confidence' END], lambda x: x IS NOT NULL)) AS kind FROM tfinal)
+UNION ALL SELECT 'project', task_id FROM tfinal WHERE project_id = 'src3' AND coalesce(score, 0) BETWEEN 0.5e0 AND 0.9e0""")
+def export_filters(spark, d):
+    """What each export filter keeps, and one project with a range of scores."""
+    from ..operators import validate as va
+
+    t = annotated_tasks(spark, d)
+    rows = va.export_kinds(t).select("export_kind", "id")
+    return rows.unionByName(va.project_score_filter(t, "src3", 0.5, 0.9).select(F.lit("project").alias("export_kind"), "id"))
+
+
 cte("vcount", "SELECT sample_id, candidate_id, count(*) AS n FROM vissues GROUP BY 1, 2", ["vissues"])
 
 

@@ -119,13 +119,14 @@ def select_best_method(spark, d):
 
 @query("mask_ablation", with_("clog") + f"""
 , c AS (SELECT run_id, max(loss) AS current_loss FROM clog WHERE NOT mask GROUP BY 1)
-SELECT event_id, l.run_id, {rnd('l.loss - c.current_loss')} AS mask_loss_delta, CASE WHEN {rnd('l.loss - c.current_loss')} > 0.5 THEN 'high_contribution_keep_or_refine' WHEN {rnd('l.loss - c.current_loss')} < -0.5 THEN 'negative_contribution_rewrite_or_remove' ELSE 'low_or_uncertain_contribution_small_step' END AS mask_interpretation
+SELECT event_id, l.run_id, {rnd('l.loss - c.current_loss')} AS mask_loss_delta, CASE WHEN {rnd('l.loss - c.current_loss')} > 0.5 THEN 'high_contribution_keep_or_refine' WHEN {rnd('l.loss - c.current_loss')} < -0.5 THEN 'negative_contribution_rewrite_or_remove' ELSE 'low_or_uncertain_contribution_small_step' END AS mask_interpretation,
+  row_number() OVER (PARTITION BY l.run_id ORDER BY {rnd('l.loss - c.current_loss')} DESC, event_id) AS mask_rank
 FROM clog l JOIN c USING (run_id) WHERE mask""")
 def mask_ablation(spark, d):
     log = candidate_log(spark, d)
     current = log.where("mask_segment_id IS NULL").groupBy("run_id").agg(F.max("loss").alias("loss"))
     m = ru.mask_ablation(log.where("mask_segment_id IS NOT NULL").select("event_id", "run_id", "loss"), current, ["run_id"])
-    return m.select("event_id", "run_id", "mask_loss_delta", "mask_interpretation")
+    return m.select("event_id", "run_id", "mask_loss_delta", "mask_interpretation", F.col("mask_rank").cast("long").alias("mask_rank"))
 
 
 @query("segment_scores", with_("segs") + f"""
@@ -160,6 +161,18 @@ def stale_runs(spark, d):
     return s.select("run_id", F.unix_micros("started_at").alias("started_at"), F.unix_micros("stale_at").alias("stale_at"), "event_count")
 
 
+NOW = "2024-01-30 12:00:00"
+
+
+@query("idle_runs", with_("rev") + f"""
+SELECT run_id, epoch_us(max(ts)) AS last_at, (epoch(TIMESTAMP '{NOW}') - epoch(date_trunc('second', max(ts))))::BIGINT AS idle_seconds FROM rev WHERE ts < TIMESTAMP '{NOW}' GROUP BY 1
+HAVING (epoch(TIMESTAMP '{NOW}') - epoch(date_trunc('second', max(ts))))::BIGINT > 120""")
+def idle_runs(spark, d):
+    """Runs that at a given time had no event for longer than the limit."""
+    s = sj.stale_runs(_events(spark, d).where(F.col("ts") < F.lit(NOW).cast("timestamp")), NOW)
+    return s.select("run_id", F.unix_micros("last_ts").alias("last_at"), F.col("idle_seconds").cast("long").alias("idle_seconds"))
+
+
 @query("history_export", """
 SELECT conv_id, history_count, chars FROM (SELECT conv_id, count(*) AS history_count, sum(length(text))::BIGINT AS chars FROM conversations GROUP BY 1)""")
 def history_export(spark, d):

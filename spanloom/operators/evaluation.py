@@ -131,9 +131,11 @@ def experiment_metrics(reviews: DataFrame, tasks: DataFrame, compared: DataFrame
     """One row of declared experiment rates over tasks, decided reviews and the comparison with gold."""
     share = lambda c: half_even(F.avg(c.cast("int")), 4)
     a = tasks.agg(share(F.col("route") == "review").alias("review_rate"))
+    audited = (F.col("route_reason") == wording.ROUTE_REASON_AUDIT) & F.col("status").isin("accepted", "rejected")  # decided audits of sure tasks
     b = reviews.agg(
         share(F.coalesce((F.col("status") == "accepted") & ~F.col("manually_edited"), F.lit(False))).alias("candidate_accept_rate"),
         share(F.col("manually_edited")).alias("manual_rewrite_rate"),
+        share(F.when(audited, (F.col("status") == "rejected") | F.col("manually_edited"))).alias("high_confidence_audit_error_rate"),
     )
     key = lambda c, fields: F.array_sort(F.array_distinct(F.transform(c, lambda s: F.concat_ws("\x1f", *[s[f].cast("string") for f in fields]))))
     c = compared.agg(

@@ -125,14 +125,18 @@ def no_improvement(rounds: DataFrame, group: list[str], patience: int, max_round
     return rows.withColumn("no_improvement_streak", streak).withColumn("stop_reason", reason).drop("island_")
 
 
-def mask_ablation(masked: DataFrame, current: DataFrame, group: list[str]) -> DataFrame:
-    """Loss change when a segment is masked, its reading, and the rank of the segment."""
+def mask_ablation(masked: DataFrame, current: DataFrame, group: list[str], tie: str = "event_id") -> DataFrame:
+    """Loss change when a segment is masked, its reading, and the rank of the segment in its group, largest change first.
+
+    A group has a row per segment of one prompt, so its window stays small.
+    """
     rows = masked.join(current.select(*group, F.col("loss").alias("current_loss")), group)
     delta = half_even(F.col("loss") - F.col("current_loss"), 4)
     rows = rows.withColumn("mask_loss_delta", delta)
     d = F.col("mask_loss_delta")
     reading = F.when(d > 0.5, "high_contribution_keep_or_refine").when(d < -0.5, "negative_contribution_rewrite_or_remove").otherwise("low_or_uncertain_contribution_small_step")
-    return rows.withColumn("mask_interpretation", reading).withColumnRenamed("loss", "masked_loss")
+    rank = F.row_number().over(W.partitionBy(*group).orderBy(F.desc("mask_loss_delta"), tie))
+    return rows.withColumns({"mask_interpretation": reading, "mask_rank": rank}).withColumnRenamed("loss", "masked_loss")
 
 
 def segment_scores(segments: DataFrame, missing: Column, extra: Column, failed: Column, unstable: Column, loss: Column) -> DataFrame:

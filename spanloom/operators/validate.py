@@ -158,6 +158,12 @@ def export_filter(tasks: DataFrame, kind: str) -> DataFrame:
     return tasks.where(EXPORT_KINDS[kind]())
 
 
+def export_kinds(tasks: DataFrame) -> DataFrame:
+    """A row for each task and each export filter that keeps it, in one pass."""
+    kinds = F.filter(F.array(*[F.when(test(), name) for name, test in EXPORT_KINDS.items()]), lambda k: k.isNotNull())
+    return tasks.withColumn("export_kind", F.explode(kinds))
+
+
 def project_score_filter(tasks: DataFrame, project: str | None = None, low: float = 0.0, high: float = 1.0) -> DataFrame:
     """Tasks of one project (``None``: those without one count as their own bucket) with a score in range; no score counts as 0."""
     out = tasks.where(F.coalesce(F.col("score"), F.lit(0.0)).between(low, high))

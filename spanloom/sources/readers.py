@@ -33,8 +33,12 @@ def text_to_tasks(df: DataFrame, *keep: str, text: str = "text", prefix: Column
 
 
 def read_text_tasks(spark: SparkSession, path: str, prefix: str = "txt") -> DataFrame:
-    raw = spark.read.text(path, wholetext=True).select(F.col("value").alias("text"), F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file_"))
-    return text_to_tasks(raw, text="text", prefix=prefix, source=F.col("file_"))
+    """Tasks of one file or a folder of files; with several files the ids carry the file name, so that they stay apart."""
+    raw = spark.read.text(path, wholetext=True)
+    several = len(raw.inputFiles()) > 1
+    rows = raw.select(F.col("value").alias("text"), F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file_"))
+    name = F.concat(F.lit(f"{prefix}-"), F.regexp_replace("file_", r"\.[^.]*$", "")) if several else prefix
+    return text_to_tasks(rows, text="text", prefix=name, source=F.col("file_"))
 
 
 def _span(raw: Column, index: Column) -> Column:

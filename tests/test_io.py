@@ -113,3 +113,11 @@ def test_history_export(spark):
     h = spark.createDataFrame([(1, 2, "b", "y"), (1, 1, "a", "x")], "conv int, turn int, role string, text string")
     j = json.loads(reports.history_export(h, "2024-01-01", "conv", "turn").first().value)
     assert j["history_count"] == 2 and [e["text"] for e in j["history"]] == ["x", "y"]
+
+
+def test_text_folder_keeps_ids_apart(spark, folder):
+    for name in ("a.txt", "b.txt"):
+        with open(f"{folder}/{name}", "w") as f:
+            f.write("One here. Two there.")
+    assert sorted(r.id for r in readers.read_text_tasks(spark, folder).collect()) == ["txt-a-00001", "txt-a-00002", "txt-b-00001", "txt-b-00002"]
+    assert sorted(r.id for r in readers.read_text_tasks(spark, f"{folder}/a.txt").collect()) == ["txt-00001", "txt-00002"]

@@ -2,6 +2,7 @@ from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
 
+from spanloom.functions import spans
 from spanloom.operators import agreement, dedup, joins, leakage, ranking, reflection, retrieval, review, runs, stats
 from spanloom.schema import SPAN_DDL
 from spanloom.sources.positions import with_position
@@ -90,24 +91,58 @@ def test_dedup_equals_brute_force(spark):
     texts = base + [noisy(rnd.choice(base), rnd.choice([0.01, 0.03, 0.05, 0.09])) for _ in range(70)] + base[:3]
     rnd.shuffle(texts)
     rows = [(i, i // 2, i, t) for i, t in enumerate(texts)]
-    accepted, verdict, task, waiting = [], {}, -1, []
+    accepted, verdict, task, waiting, nearest = [], {}, -1, [], {}
     for i, k, _, t in rows:
         if k != task:
             accepted, waiting, task = accepted + waiting, [], k
-        verdict[i] = all(SequenceMatcher(None, t, o).ratio() < 0.92 for o in accepted)
+        best = max((SequenceMatcher(None, t, o).ratio() for o in accepted), default=0.0)
+        verdict[i], nearest[i] = best < 0.92, None if best < 0.92 else round(best, 9)
         if verdict[i]:
             waiting.append(t)
     got = dedup.greedy_dedup(spark.createDataFrame(rows, "id int, task int, at int, text string"), block=16)
-    assert {r.id: r.accepted for r in got.collect()} == verdict and not all(verdict.values())
+    rows = got.collect()
+    assert {r.id: r.accepted for r in rows} == verdict and not all(verdict.values())
+    assert {r.id: r.max_similarity and round(r.max_similarity, 9) for r in rows} == nearest
 
 
 def test_positions_and_ranks(spark):
     df = spark.range(0, 1000, 1, 7).select(F.col("id"), (F.col("id") % 3 == 0).alias("hot"))
     rows = with_position(df, [F.desc("id")]).collect()
     assert all(r.position == 1000 - r.id for r in rows)
-    ranked = ranking.rank_in_group(df, ["hot"], ["id"], hot_rows=400, small_bytes=0)
-    plain = ranking.rank_in_group(df, ["hot"], ["id"])
-    assert sorted(map(tuple, ranked.collect())) == sorted(map(tuple, plain.collect()))
+    ranked = ranking.rank_in_group(df, ["hot"], ["id"])
+    ids = {hot: sorted(i for i in range(1000) if (i % 3 == 0) is hot) for hot in (True, False)}
+    assert sorted(map(tuple, ranked.collect())) == sorted((i, hot, k + 1) for hot, group in ids.items() for k, i in enumerate(group))
+
+
+def test_option_letters_follow_ranks(spark):
+    reviews = spark.createDataFrame([("r1", "t1", False), ("r2", "t2", False)], "review_id string, task_id string, hard_example boolean")
+    predictions = spark.createDataFrame([("t1", f"p{k}", k, [sp(k, k + 1, "x")]) for k in (2, 5)] + [("t3", "q", 1, [])], f"task_id string, prediction_id string, run int, spans array<{SPAN_DDL}>")
+    tasks = spark.createDataFrame([("t1", [], None)], f"id string, spans array<{SPAN_DDL}>, source_pool string")
+    rows = [(r, "accept", o, None, None, False, "", False) for r, o in (("r1", "B"), ("r1", "C"), ("r2", "A"), ("r9", "A"))]
+    decisions = spark.createDataFrame(rows, f"review_id string, decision string, selected_option_id string, manual_spans array<{SPAN_DDL}>, note string, hard_example boolean, error_type string, promote_to_gold boolean")
+    assert {r.option_id: r.position for r in review.review_options(reviews.where("review_id = 'r1'"), predictions).collect()} == {"A": 1, "B": 2, "manual": 6}
+    got = {(r.review_id, r.answer): (r.selected_candidate_id, r.error) for r in review.apply_decisions(reviews, decisions, tasks, predictions).collect()}
+    assert got == {("r1", "B"): ("p5", None), ("r1", "C"): (None, "invalid_option"), ("r2", None): (None, "unknown_task"), ("r9", None): (None, "unknown_review")}
+
+
+def test_hot_key_is_summed_in_parts(spark):
+    """With one hot sample the join of its answers and their sum use more than one task."""
+    rows = [("hot", f"c{k}", k, [sp(k, k + 1, "x")], 0.9) for k in range(120)] + [(f"s{k}", "c", 1, [], 0.5) for k in range(20)]
+    df = spark.createDataFrame(rows, CAND)
+    figures = agreement.consistency_scores(df)
+    assert {r.sample_id: r.candidate_count for r in figures.collect()}["hot"] == 120
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    parts = agreement._parts(agreement.answer_pairs(agreement.signature_groups(df)).select("sample_id", "l_sig"), "sample_id", "l_sig").where("sample_id = 'hot'")
+    tasks = {r[0] for r in parts.select(F.spark_partition_id()).collect()}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(tasks) > 1
+
+
+def test_span_difference_keeps_fields_apart(spark):
+    a = [sp(0, 1, "x\x1fy"), sp(2, 3, "z", None)]
+    df = spark.createDataFrame([(a, [sp(0, 1, "x")])], f"a array<{SPAN_DDL}>, b array<{SPAN_DDL}>")
+    got = df.select(spans.span_difference(F.col("a"), F.col("b")).alias("d"), F.size(spans.span_keys(F.col("a"), "gold")).alias("n"), F.size(spans.signature_keys(spans.signature(F.col("a"), "gold"))).alias("m")).first()
+    assert [(s.start, s.text, s.label) for s in got.d] == [(0, "x\x1fy", "Term"), (2, "z", None)] and got.n == got.m == 2
 
 
 def test_running_values_do_not_depend_on_buckets(spark):
