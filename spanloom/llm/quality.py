@@ -52,8 +52,12 @@ def measure(docs: DataFrame, *also: str) -> DataFrame:
     window_hashes = F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(at(i), at(i + 1), at(i + 2)))).otherwise(F.array().cast("array<bigint>"))
     lines = F.filter(F.split("text_", "\n"), lambda x: x.rlike(f"[^{BLANK}]"))
     rows = rows.withColumn("windows_", window_hashes).withColumn("lines_", lines)
-    rows = rows.select(
-        "doc_id", "lang", "source", *also,
+    # A generator, not a projection: a filter on the measures must not be moved below, where it would compute them once per word.
+    return rows.select("doc_id", "lang", "source", *also, F.inline(F.array(_measures(n))))
+
+
+def _measures(n: Column) -> Column:
+    counted = F.struct(
         n.cast("long").alias("n_words"),
         F.char_length(F.regexp_replace("text_", f"[{BLANK}]+", "")).cast("long").alias("word_chars"),
         F.char_length(F.regexp_replace("text_", f"[^{SYMBOLS}]+", "")).cast("long").alias("n_symbols"),
@@ -61,14 +65,15 @@ def measure(docs: DataFrame, *also: str) -> DataFrame:
         (F.size("lines_") - F.size(F.array_distinct("lines_"))).cast("long").alias("n_dup_lines"),
         _repeated(F.col("windows_")).cast("long").alias("n_repeat_words"),
     )
-    return rows.select(
-        "*",
-        F.expr("1000 * n_symbols div greatest(word_chars, 1)").alias("symbol_rate"),
-        F.expr("1000 * n_dup_lines div greatest(n_lines, 1)").alias("dup_line_rate"),
-        F.expr("1000 * n_repeat_words div greatest(n_words, 1)").alias("repeat_rate"),
-        F.expr("100 * word_chars div greatest(n_words, 1)").alias("word_length"),
-        F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words").alias("base_failed"),
-    )
+    share = lambda times, part, whole: F.call_function("div", times * part, F.greatest(whole, F.lit(1)))
+    return let(counted, lambda c: F.struct(
+        *[c[name].alias(name) for name in ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")],
+        share(1000, c["n_symbols"], c["word_chars"]).alias("symbol_rate"),
+        share(1000, c["n_dup_lines"], c["n_lines"]).alias("dup_line_rate"),
+        share(1000, c["n_repeat_words"], c["n_words"]).alias("repeat_rate"),
+        share(100, c["word_chars"], c["n_words"]).alias("word_length"),
+        ((c["n_words"] < 50) | (100 * c["n_repeat_words"] > 50 * c["n_words"])).alias("base_failed"),
+    ))
 
 
 # The statements below run on Spark and, as they stand, on DuckDB.

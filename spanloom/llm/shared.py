@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession) -> str:
@@ -26,6 +27,12 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sampled(df: DataFrame, key: str, n: int, rows: int) -> DataFrame:
+    """About n of a table's rows, by a hash of their key; all of them where it has no more."""
+    place = F.pmod(F.xxhash64(key), F.lit(1 << 32))
+    return df.where(place * rows < F.lit(n << 32).cast("decimal(38,0)"))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64: spreads every input bit over the whole word."""
     x = x.astype(np.uint64, copy=True)
