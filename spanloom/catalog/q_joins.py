@@ -374,3 +374,21 @@ def import_preview(spark, d):
     t = table(spark, d, "documents")
     pick = lambda df, m: df.select(F.concat(F.lit("c"), (F.col("doc_id") % m).cast("string")).alias("name"))
     return tb.import_preview(pick(t.where("lang = 'en'"), 300), pick(t.where("lang <> 'en'"), 400))
+
+
+@query("catalog_issues", """
+SELECT doc_id AS id, CASE doc_id % 9 WHEN 1 THEN 'prompt' WHEN 2 THEN 'is_default' WHEN 3 THEN 'examples' WHEN 8 THEN '' WHEN 4 THEN 'examples[0].explanation' WHEN 5 THEN 'examples[0].explanation' ELSE 'examples[0].annotation' END AS field,
+  CASE doc_id % 9 WHEN 1 THEN 'missing_field' WHEN 4 THEN 'missing_field' WHEN 5 THEN 'blank' WHEN 6 THEN 'invalid_markup' WHEN 8 THEN 'invalid_json' ELSE 'wrong_type' END AS issue_code
+FROM documents WHERE doc_id % 9 > 0""")
+def catalog_issues(spark, d):
+    """Catalogue entries made from the documents, most of them broken in one way, and what is found wrong with each."""
+    from ..operators import validate as va
+
+    way, text = F.col("doc_id") % 9, F.substring(F.regexp_replace("text", r"[\[\]{}\\\\]", " "), 1, 40)
+    note = F.when(way == 6, F.lit('"[old](Term)"')).when(way == 7, F.lit("7")).otherwise(F.to_json(F.struct(F.concat(F.lit("[term]{Term_A} "), text).alias("a"))).substr(F.lit(6), F.length(F.to_json(F.struct(F.concat(F.lit("[term]{Term_A} "), text).alias("a")))) - 6))
+    explanation = F.when(way == 4, F.lit("")).when(way == 5, F.lit(', "explanation": "  "')).otherwise(F.lit(', "explanation": "why"'))
+    examples = F.when(way == 3, F.lit('"none"')).otherwise(F.concat(F.lit('[{"text": "t", "annotation": '), note, explanation, F.lit("}]")))
+    entry = F.concat(
+        F.lit('{"name": "n", '), F.when(way == 1, F.lit("")).otherwise(F.lit('"prompt": "p", ')), F.lit('"category": "c", "is_default": '),
+        F.when(way == 2, F.lit('"no"')).otherwise(F.lit("false")), F.lit(', "examples": '), examples, F.when(way == 8, F.lit("")).otherwise(F.lit("}")))
+    return va.validate_catalog(documents(spark, d).select(F.col("doc_id").alias("id"), entry.alias("payload")))

@@ -81,6 +81,47 @@ def validate_documents(df: DataFrame, doc: str = "doc") -> DataFrame:
     return df.withColumn("issue_code", let(F.try_parse_json(F.col(doc)), lambda v: F.when(v.isNull(), "invalid_json").otherwise(doc_issue(v))))
 
 
+# The fields a catalogue entry and its examples must have, with their JSON types (None: checked on its own).
+CONCEPT_FIELDS = {"name": "STRING", "prompt": "STRING", "examples": "ARRAY", "category": "STRING", "is_default": "BOOLEAN"}
+EXAMPLE_FIELDS = {"text": "STRING", "annotation": None, "explanation": "STRING"}
+
+
+def _field_issues(value: Column, fields: dict[str, str | None], prefix: Column) -> Column:
+    """Array of (field, issue_code) for the fields of a JSON object that are missing or of another type."""
+
+    def issue(name: str, kind: str | None) -> Column:
+        found = F.variant_get(value, f"$.{name}", "variant")
+        wrong = F.lit(False) if kind is None else ~F.schema_of_variant(found).startswith(kind)
+        code = F.when(found.isNull(), "missing_field").when(wrong, "wrong_type")
+        return F.struct(F.concat(prefix, F.lit(name)).alias("field"), code.alias("issue_code"))
+
+    return F.filter(F.array(*[issue(n, k) for n, k in fields.items()]), lambda x: x["issue_code"].isNotNull())
+
+
+def _example_issues(example: Column, index: Column) -> Column:
+    prefix = F.concat(F.lit("examples["), index.cast("string"), F.lit("]."))
+    note = F.variant_get(example, "$.annotation", "variant")
+    kind = F.schema_of_variant(note)
+    markup = markup_issue(F.try_variant_get(example, "$.annotation", "string"))
+    annotation = F.when(kind == "STRING", F.when(markup.isNotNull(), "invalid_markup")).when(kind.startswith("OBJECT"), F.when(doc_issue(note).isNotNull(), "invalid_document")).when(note.isNotNull(), "wrong_type")
+    blank = strip(F.try_variant_get(example, "$.explanation", "string")) == ""
+    own = F.array(
+        F.struct(F.concat(prefix, F.lit("annotation")).alias("field"), annotation.alias("issue_code")),
+        F.struct(F.concat(prefix, F.lit("explanation")).alias("field"), F.when(blank, "blank").alias("issue_code")),
+    )
+    return F.concat(_field_issues(example, EXAMPLE_FIELDS, prefix), F.filter(own, lambda x: x["issue_code"].isNotNull()))
+
+
+def validate_catalog(concepts: DataFrame, key: str = "id", payload: str = "payload") -> DataFrame:
+    """(key, field, issue_code): what is wrong with the JSON of each catalogue entry, all of it, without a shuffle."""
+    rows = concepts.select(key, F.try_parse_json(payload).alias("v"))
+    whole = lambda field, code: F.array(F.struct(F.lit(field).alias("field"), F.lit(code).alias("issue_code")))
+    examples = F.coalesce(F.try_variant_get("v", "$.examples", "array<variant>"), F.array().cast("array<variant>"))
+    inside = F.concat(_field_issues(F.col("v"), CONCEPT_FIELDS, F.lit("")), F.flatten(F.transform(examples, _example_issues)))
+    issues = F.when(F.col("v").isNull(), whole("", "invalid_json")).when(~F.schema_of_variant("v").startswith("OBJECT"), whole("", "not_an_object")).otherwise(inside)
+    return rows.select(key, F.explode(issues).alias("i")).select(key, "i.field", "i.issue_code")
+
+
 def verify_responses(df: DataFrame, rules: list[tuple[str, list[str]]], sample_text: str = "sample_text") -> DataFrame:
     """Issue rows (all input columns, code, severity, detail) for parsed responses with text, annotation, explanation and ``warning``.
 
