@@ -266,6 +266,32 @@ def test_secret_scan(spark):
     assert secrets.redacted(frame(spark, [])).count() == 0 and secrets.findings(frame(spark, [])).count() == 0
 
 
+def test_secrets_of_other_forms_are_no_negatives(spark):
+    rng = random.Random(8)
+    key = lambda n: "".join(rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(n - 1)) + "7"
+    at = lambda text: [text[s:e] for s, e in secrets.candidates(text)]
+    live = "sk_live_" + key(24)
+    assert at(f"export API_KEY={live} x") == [live] and at(f"user_name=ab12cd34 --set=token={live}") == ["ab12cd34", live]
+    assert at("c2VjcmV0IHZhbHVlIDE2Mw== and") == ["c2VjcmV0IHZhbHVlIDE2Mw=="] and at("auth: password=Hunter2abc") == ["Hunter2abc"]
+    hexes = [hashlib.sha1(str(k).encode()).hexdigest() for k in range(60)]
+    forms = ["password: {}\n", "API_KEY={} ", "https://h.example/?access_key={}&x=1 ", "Authorization: Bearer {} ", "db_secret_v: {} ", "https://u:{}@h.example/ "]
+    hidden = [key(24) for _ in range(60)]
+    rows = [(k, f'{sentence(rng, 30)} token = "{h}" {sentence(rng, 20)}', "en", "a", 0) for k, h in enumerate(hexes)]
+    rows += [(100 + k, f"{sentence(rng, 30)} {forms[k % 6].format(h)}{sentence(rng, 20)}", "en", "a", 0) for k, h in enumerate(hidden)]
+    rows += [(200 + k, f"{sentence(rng, 30)} mail user@mail{k}.example.com card 4{k:015d} file /usr/share/doc{k}/readme.txt {sentence(rng, 9)}", "en", "a", 0) for k in range(60)]
+    both = key(30)
+    rows += [(300, f"aaa {both} bbb", "en", "a", 0), (301, f'x token = "{both}" y', "en", "a", 0), (302, f"aaa {live} bbb", "en", "a", 0), (303, 'secret = "correcthorsebattery"', "en", "a", 0)]
+    docs = frame(spark, rows)
+    found = secrets.findings(docs).cache()
+    labels = {r["value"]: r["label"] for r in secrets.labelled(found).collect()}
+    real = {*hexes, *hidden, both, live, "correcthorsebattery"}
+    assert not [v for v, y in labels.items() if y == 0 and any(r in v for r in real)] and labels[both] == labels[live] == 1
+    assert sum(not y for y in labels.values()) >= 60
+    got = {r["value"] for r in secrets.judged(found, secrets.trained(docs, found)).collect() if r["secret"]}
+    missed = [v for v in (*hexes, *hidden, both, live) if not any(v in g for g in got)]
+    assert not missed and not any("mail" in g or g.startswith("4000") or "readme" in g for g in got)
+
+
 PAGES = [
     (1, "http://a.example/x y", '<html lang="fr"><head><title> A &amp; B </title><style>p{}</style></head><body><p>One<b>two</b></p><!-- no --><script>x<y</script><a href="/l?a&amp;b">link</a><br>end</body></html>'),
     (2, None, None), (3, "u", ""), (None, "u", "text < only &lt;p&gt;"), (4, "v", "<script>never closed"), (4, "v", "<script>never closed"),
