@@ -1,6 +1,7 @@
 """Derived records of web archives: for each response a metadata record and a plain-text conversion record that refer to it.
 
-A response is a row of record_id, target_uri, date and the payload (HTML text); ``responses`` makes such rows from pages. The metadata
+A response is a row of record_id, target_uri, date and the payload (HTML text); ``responses`` makes such rows from pages. Its HTTP headers
+may stand in ``headers``, an array of name and value in their order; the metadata record copies each one. The metadata
 record keeps the source's headers and payload digest and lists title, language and links; the conversion record holds the visible
 text. Both carry WARC-Refers-To with the response's id, its URI and date, and digests of their own blocks. ``write`` stores the
 records as gzip members, several files each complete or absent.
@@ -8,7 +9,9 @@ records as gzip members, several files each complete or absent.
 Everything up to the files is SQL expressions on one row, so nothing is shuffled. Ids follow from the response's id, so a repeated
 task makes the same records. NULL html is an empty payload; NULL url and id are empty strings; blanks and control characters in a
 URI become %20. Text is what remains without comments, scripts, styles, templates and tags, blocks on lines of their own, the
-common entities decoded. Repeated rows give repeated records. An empty table gives none. Other columns are ignored.
+common entities decoded. A head ends at </head> or before the first text or element that cannot stand in one; comments, scripts
+and styles without an end run to the end of the text, of a noscript or template without an end only the tag goes. The statement
+ends a head, noscript or template at its end tag only, so it agrees where these are closed. Repeated rows give repeated records. An empty table gives none. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ DATE = "2024-01-01T00:00:00Z"  # capture time of tables that name none
 
 # Elements without visible text, and elements that start a line.
 HIDDEN = ["script", "style", "noscript", "template", "head"]
+# What a head may hold: white space, titles, declarations, and the tags of these elements.
+HEAD = r"\s++|<title\b[^>]*+>.*?</title\s*+>|<[!?][^>]*+>|</?(?:base|basefont|bgsound|html|link|meta|noframes|noscript|script|style|template|title)\b[^>]*+>"
 BLOCKS = "address|article|aside|blockquote|br|dd|div|dl|dt|figure|footer|form|h1|h2|h3|h4|h5|h6|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul"
 ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")]
 
@@ -77,10 +82,20 @@ def _plain(q: _Sql, expr: str) -> str:
     return expr
 
 
-def _visible(q: _Sql, expr: str) -> str:
+def _shown(q: _Sql, expr: str) -> str:
+    """The text without hidden elements. Spark's patterns take what starts first, so a comment's sign inside a script hides nothing else."""
+    if q.spark:
+        expr = q.sub(expr, r"(?is)<(?:!--.*?(?:-->|\z)|(script|style)\b.*?(?:</\1[ \t\n\r\f]*>|\z))", " ")
+        expr = q.sub(expr, r"(?is)<(noscript|template)\b.*?(?:</\1[ \t\n\r\f]*>|(?=</head\b|<body\b))", " ")
+        return q.sub(expr, rf"(?is)<head(?=[\s/>])[^>]*+>(?:{HEAD})*+(?:</head\s*+>)?", " ")
     expr = q.sub(expr, r"(?s)<!--.*?(?:-->|\z)", " ")
     for tag in HIDDEN:
         expr = q.sub(expr, rf"(?is)<{tag}\b.*?(?:</{tag}[ \t\n\r\f]*>|\z)", " ")
+    return expr
+
+
+def _visible(q: _Sql, expr: str) -> str:
+    expr = _shown(q, expr)
     expr = q.sub(expr, r"[ \t\r\n\f]+", " ")
     expr = q.sub(expr, rf"(?i)</?(?:{BLOCKS})\b[^>]*>", r"\n")
     expr = q.sub(expr, r"<[a-zA-Z/!?][^>]*>", "")
@@ -90,22 +105,24 @@ def _visible(q: _Sql, expr: str) -> str:
     return f"trim({q.sub(expr, r'^[ \n]+|[ \n]+$', '')})"
 
 
-def _steps(q: _Sql, source: str) -> str:
+def _steps(q: _Sql, source: str, headers: bool = False) -> str:
     uri = q.sub("coalesce(target_uri, '')", r"[\x00-\x20\x7F]", "%20")
     title = f"trim({_plain(q, q.sub(q.find('html', '(?is)<title[^>]*>(.*?)</title'), '[ \\t\\r\\n\\f]+', ' '))})"
     lang = q.find("html", '(?i)<html[^>]*[ ]lang="?([A-Za-z-]+)')
     links = q.all("html", '(?i)<a[ \\t\\r\\n\\f][^>]*href="([^"]*)"')
     outlinks = q.joined(q.each(links, "u", _line("'outlink: '", q.sub(_plain(q, "u"), r"[\x00-\x20\x7F]", "%20"), "' L a/@href'")))
+    clean = lambda field: q.sub(f"coalesce({field}, '')", r"[\x00-\x1F\x7F]+", " ")
+    copied = [f"coalesce({q.joined(q.each('headers', 'h', _line(chr(39) + 'source-http-header: ' + chr(39), clean('h.name'), chr(39) + ': ' + chr(39), clean('h.value'))))}, '')"] if headers else []
     meta = "concat(" + ", ".join([
         _line("'source-record-id: '", "source_id"), _line("'source-content-type: '", "content_type"), _line("'source-payload-digest: '", "payload_digest"),
-        _line("'source-payload-length: '", "CAST(payload_length AS STRING)"), _line("'title: '", "title"), _line("'language: '", "language"), "outlinks"]) + ")"
+        _line("'source-payload-length: '", "CAST(payload_length AS STRING)"), *copied, _line("'title: '", "title"), _line("'language: '", "language"), "outlinks"]) + ")"
     head = lambda kind, extra, body: "concat(" + ", ".join([
         _line("'WARC/1.1'"), _line(f"'WARC-Type: {kind}'"), _line("'WARC-Record-ID: '", f"{kind}_id"), _line("'WARC-Refers-To: '", "source_id"), _line("'WARC-Target-URI: '", "target_uri"), _line("'WARC-Date: '", "date"),
         _line("'WARC-Source-Payload-Digest: '", "payload_digest"), _line("'WARC-Block-Digest: '", f"{kind}_digest"), _line(f"'Content-Type: {extra}'"), _line("'Content-Length: '", f"CAST({kind}_length AS STRING)"),
         "chr(13)", "chr(10)", body, "chr(13)", "chr(10)", "chr(13)", "chr(10)"]) + ")"
     return f"""
 WITH source AS (
-  SELECT page_id, record_id AS source_id, {uri} AS target_uri, date, content_type, coalesce(html, '') AS html FROM {source}
+  SELECT page_id, record_id AS source_id, {uri} AS target_uri, date, content_type, {"headers, " if headers else ""}coalesce(html, '') AS html FROM {source}
 ), parts AS (
   SELECT *, concat('sha256:', {q.sha("html")}) AS payload_digest, {q.size("html")} AS payload_length, {title} AS title, {lang} AS language, {outlinks} AS outlinks, {_visible(q, "html")} AS conversion_block,
          {_uuid(q, "metadata", "source_id")} AS metadata_id, {_uuid(q, "conversion", "source_id")} AS conversion_id
@@ -124,19 +141,19 @@ SELECT page_id, 'conversion', conversion_id, source_id, target_uri, payload_dige
 """
 
 
-def _pages(q: _Sql, source: str) -> str:
+def _pages(q: _Sql, source: str, headers: bool = False) -> str:
     seed = "concat(coalesce(CAST(page_id AS STRING), ''), '|', coalesce(url, ''))"
-    return f"SELECT page_id, {_uuid(q, 'response', seed)} AS record_id, url AS target_uri, '{DATE}' AS date, 'text/html; charset=utf-8' AS content_type, html FROM {source}"
+    return f"SELECT page_id, {_uuid(q, 'response', seed)} AS record_id, url AS target_uri, '{DATE}' AS date, 'text/html; charset=utf-8' AS content_type, {'headers, ' if headers else ''}html FROM {source}"
 
 
 def responses(pages: DataFrame) -> DataFrame:
-    """Response rows of a table of pages: page_id, record_id, target_uri, date, content_type and html."""
-    return pages.sparkSession.sql(_pages(_Sql(True), "{pages}"), pages=pages)
+    """Response rows of a table of pages: page_id, record_id, target_uri, date, content_type, headers where pages have them, and html."""
+    return pages.sparkSession.sql(_pages(_Sql(True), "{pages}", "headers" in pages.columns), pages=pages)
 
 
 def derived(rows: DataFrame) -> DataFrame:
     """Two records for each response, whole as text in ``record``, with their headers beside."""
-    return rows.sparkSession.sql(_steps(_Sql(True), "{rows}"), rows=rows)
+    return rows.sparkSession.sql(_steps(_Sql(True), "{rows}", "headers" in rows.columns), rows=rows)
 
 
 def write(records: DataFrame, folder: str) -> DataFrame:

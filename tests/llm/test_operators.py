@@ -317,3 +317,28 @@ def test_warc_records(spark):
     data = b"".join(gzip.decompress(open(f"{folder.removeprefix('file://')}/{f['file']}", "rb").read()) for f in files)
     assert sum(f["n"] for f in files) == len(records) == data.count(b"WARC/1.1\r\n")
     assert warc.derived(warc.responses(pages.limit(0))).count() == 0
+
+
+def test_warc_text_of_pages_that_leave_out_end_tags(spark):
+    long = "word " * 40000
+    htmls = {
+        1: "<head><title>A</title><body><p>text</p>", 2: "<html><head><meta charset=utf-8><title>A</title>\n<p>text</p>", 3: "<head><title>A < B</title>text",
+        4: "<head><title>A</title><noscript><link href=x></head><body>text", 5: "<body>text<template><p>more", 6: "<head><title>A</title></head><header>top</header>text",
+        7: "<head><style>p{}</style><noscript><img src=x>gone</noscript><body>text<noscript>gone</noscript>", 8: "<head><template><div>gone</div></template><title>A</title><div>text</div>",
+        9: "<head><title>A</title><script>var a;", 10: "<head>" + "<meta a=b>" * 20000 + f"<body>{long}",
+        11: "<body><script>x = '<!--'</script>text<style>a::after{content: '<script>'}</style>",
+    }
+    want = {k: "text" for k in htmls} | {5: "text\nmore", 6: "top\ntext", 9: "", 10: long.strip()}
+    pages = spark.createDataFrame([(k, "u", h) for k, h in htmls.items()], "page_id long, url string, html string")
+    got = {r["page_id"]: r["record"].split("\r\n\r\n")[1] for r in warc.derived(warc.responses(pages)).where("record_type = 'conversion'").collect()}
+    assert got == want
+
+
+def test_warc_source_headers(spark):
+    rows = [(1, "u", "<p>a", [("Server", "x/1"), ("Set-Cookie", "a=1"), ("Set-Cookie", "b=\r\n 2"), ("Empty", None)]), (2, "u", "<p>a", []), (3, "u", "<p>a", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, headers array<struct<name: string, value: string>>")
+    records = warc.derived(warc.responses(pages)).where("record_type = 'metadata'").collect()
+    blocks = {r["page_id"]: r["record"].split("\r\n\r\n")[1] for r in records}
+    copied = {k: [x.removeprefix("source-http-header: ") for x in b.split("\r\n") if x.startswith("source-http-header: ")] for k, b in blocks.items()}
+    assert copied == {1: ["Server: x/1", "Set-Cookie: a=1", "Set-Cookie: b=  2", "Empty: "], 2: [], 3: []}
+    assert all(r["content_length"] == len((blocks[r["page_id"]] + "\r\n").encode()) or r["content_length"] == len(blocks[r["page_id"]].encode()) for r in records)
