@@ -163,7 +163,7 @@ def trained(docs: DataFrame, per_lang: int = PER_LANG) -> dict:
     rows = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
     counts = rows.groupBy("lang").count()  # a row per language
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
-    sample = rows.join(F.broadcast(counts), "lang").where(place * F.col("count") < F.lit(per_lang * (1 << 40)).cast("decimal(38,0)")).select("doc_id", "lang", "text")
+    sample = rows.join(F.broadcast(counts), "lang").where(place.cast("decimal(38,0)") * F.col("count") < F.lit(per_lang * (1 << 40)).cast("decimal(38,0)")).select("doc_id", "lang", "text")
     picked = sorted((r["doc_id"], r["lang"], r["text"]) for r in sample.collect())
     return train([r[2] for r in picked], [r[1] for r in picked])
 

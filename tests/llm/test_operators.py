@@ -237,6 +237,13 @@ def test_toxicity_accuracy(spark):
     assert {r["score"] for r in toxicity.scored(frame(spark), none).collect()} == {0.0}
 
 
+def test_language_sample_of_a_large_language(spark, monkeypatch):
+    """The bound of the sample holds beyond 2^23 texts of a language."""
+    docs = spark.range(9_000_000, numPartitions=4).selectExpr("id AS doc_id", "'abc def' AS text", "'en' AS lang")
+    monkeypatch.setattr(langid, "train", lambda texts, langs: len(texts))
+    assert 20 <= langid.trained(docs, 60) <= 120
+
+
 def test_toxicity_parts(monkeypatch):
     """A text in several parts scores as in one."""
     rng = np.random.default_rng(1)
