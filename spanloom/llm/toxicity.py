@@ -52,13 +52,17 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def units(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where words start and end in the bytes of texts; rows of single letters, each unlike the one before, count as one word."""
+    """Where words start and end in the bytes of texts; rows of single letters count as one word, but three or more equal ones stay apart."""
     space = np.ones(len(raw) + 2, bool)
     space[1:-1] = SPACE[raw]
     edges = np.flatnonzero(space[1:] != space[:-1])
     starts, ends = edges[::2], edges[1::2]
     single = (ends - starts == 1) & (CODE[raw[starts]] < OTHER)
-    joined = single[1:] & single[:-1] & (starts[1:] - ends[:-1] == 1) & (CODE[raw[starts[1:]]] != CODE[raw[starts[:-1]]])
+    joined = single[1:] & single[:-1] & (starts[1:] - ends[:-1] == 1)
+    equal = joined & (CODE[raw[starts[1:]]] == CODE[raw[starts[:-1]]])
+    more = np.zeros(len(equal) + 2, bool)
+    more[1:-1] = equal
+    joined &= ~(equal & (more[:-2] | more[2:]))
     first, last = np.concatenate(([True], ~joined)), np.concatenate((~joined, [True]))
     return (starts[first], ends[last]) if len(starts) else (starts, ends)
 

@@ -244,6 +244,18 @@ def test_language_sample_of_a_large_language(spark, monkeypatch):
     assert 20 <= langid.trained(docs, 60) <= 120
 
 
+def test_toxicity_of_spaced_words_with_double_letters():
+    parts = lambda text: [text[s:e] for s, e in zip(*(a.tolist() for a in toxicity.units(np.frombuffer(text.encode(), np.uint8))))]
+    assert parts("such real c l o D d i s h one") == ["such", "real", "c l o D d i s h", "one"]
+    assert parts("x x") == ["x x"] and parts("x x x") == ["x", "x", "x"] and parts("q x x x x p") == ["q x", "x", "x", "x p"] and parts("") == []
+    rng = random.Random(2)
+    clean = [sentence(rng, 60, "aeinrst") for _ in range(100)]
+    bad = [" ".join((s := sentence(rng, 60, "aeinrst").split())[:30] + [rng.choice(["mugwump", "blackguard", "cloddish"])] + s[30:]) for _ in range(50)]
+    model = toxicity.train(clean + bad, np.array([0] * 100 + [1] * 50))
+    spaced, plain, half = toxicity.probabilities(model, [b"you c l o d d i s h here", b"you cloddish here", b"you clod dish here"])
+    assert spaced == plain > half and spaced >= 0.5
+
+
 def test_toxicity_parts(monkeypatch):
     """A text in several parts scores as in one."""
     rng = np.random.default_rng(1)
