@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["quality", "langid", "secrets", "binary", "suffix", "jaccard", "decontaminate", "toxicity", "warc", "packing"]
+_MODULES = ["quality", "langid", "secrets", "binary", "suffix", "jaccard", "decontaminate", "toxicity", "warc", "packing", "centroids", "neighbours", "whitening"]
 
 
 def queries() -> dict:
