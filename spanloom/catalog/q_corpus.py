@@ -204,6 +204,28 @@ def greedy_dedup(spark, d):
     return r.select("id", "accepted", half_even(F.col("max_similarity"), 4).alias("max_similarity"))
 
 
+@query("near_duplicates", with_("words", recursive=True) + f"""
+, counted AS (SELECT doc_id, count(*) AS n, string_agg(tok, ' ' ORDER BY pos) FILTER (WHERE pos <= 5) AS start FROM words GROUP BY 1),
+shingle AS MATERIALIZED (SELECT DISTINCT doc_id, s FROM (
+  SELECT doc_id, concat_ws(' ', tok, lead(tok, 1) OVER w, lead(tok, 2) OVER w, lead(tok, 3) OVER w, lead(tok, 4) OVER w) AS s, lead(tok, 4) OVER w IS NOT NULL AS whole FROM words WINDOW w AS (PARTITION BY doc_id ORDER BY pos))
+  WHERE whole UNION ALL SELECT doc_id, start FROM counted WHERE n < 5),
+sizes AS (SELECT doc_id, count(*) AS m FROM shingle GROUP BY 1),
+edges AS MATERIALIZED (SELECT p.id, p.other, p.c::DOUBLE / (a.m + b.m - p.c) AS similarity FROM (SELECT x.doc_id AS id, y.doc_id AS other, count(*) AS c FROM shingle x JOIN shingle y ON x.s = y.s AND y.doc_id < x.doc_id GROUP BY 1, 2) p
+  JOIN sizes a ON a.doc_id = p.id JOIN sizes b ON b.doc_id = p.other WHERE p.c::DOUBLE / (a.m + b.m - p.c) >= 0.8e0),
+behind AS MATERIALIZED (SELECT id, list(other) AS others, row_number() OVER (ORDER BY id) AS i FROM edges GROUP BY 1),
+decided AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS gone UNION ALL
+  SELECT b.i, CASE WHEN len(list_filter(b.others, lambda o: NOT list_contains(d.gone, o))) > 0 THEN list_append(d.gone, b.id) ELSE d.gone END FROM decided d JOIN behind b ON b.i = d.i + 1),
+gone AS (SELECT unnest(gone) AS id FROM (SELECT gone FROM decided ORDER BY i DESC LIMIT 1)),
+kept AS (SELECT id, first(other ORDER BY similarity DESC, other) AS kept_id, max(similarity) AS similarity FROM edges WHERE id IN (SELECT id FROM gone) AND other NOT IN (SELECT id FROM gone) GROUP BY 1)
+SELECT d.doc_id AS id, k.id IS NULL AS accepted, coalesce(k.kept_id, d.doc_id) AS kept_id, {rnd('k.similarity')} AS similarity FROM documents d LEFT JOIN kept k ON k.id = d.doc_id""")
+def near_duplicates(spark, d):
+    from ..operators.shingles import near_duplicates as near
+
+    doc = F.col("doc_id")
+    r = near(documents(spark, d).select(doc.alias("id"), doc.alias("task"), doc.alias("at"), "text"))
+    return r.select("id", "accepted", F.coalesce("kept_id", "id").alias("kept_id"), half_even(F.col("similarity"), 4).alias("similarity"))
+
+
 @query("sql_functions", """
 SELECT doc_id, greatest(1, length(text) // 4)::INT AS token_estimate, ('0x' || substr(sha1('job-1:' || doc_id), 1, 8))::BIGINT / 4294967295e0 < 0.3e0 AS audited FROM documents""")
 def sql_functions(spark, d):
