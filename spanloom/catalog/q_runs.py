@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.core import half_even
 from ..operators import runs as ru
 from ..plans import reports as rep
+from ..session import checkpoint_dir
+from ..sources.generations import read_state
+from ..streaming import alerts as sa
 from ..streaming import jobs as sj
 from .derived import annotated_tasks, candidate_log, decided_reviews, documents, jobs, predictions, table, versions
 from .q_text import HEADINGS
@@ -155,7 +160,7 @@ def stream_throughput(spark, d):
 
 @query("stale_runs", with_("rev") + """
 SELECT run_id, epoch_us(min(ts)) AS started_at, epoch_us(max(ts)) + 120000000 AS stale_at, count(*) AS event_count FROM (
-  SELECT *, sum(n) OVER (PARTITION BY run_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY run_id ORDER BY ts, event_id) < 120000000 THEN 0 ELSE 1 END AS n FROM rev)) GROUP BY run_id, g""")
+  SELECT *, sum(n) OVER (PARTITION BY run_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY run_id ORDER BY ts, event_id) <= 120000000 THEN 0 ELSE 1 END AS n FROM rev)) GROUP BY run_id, g""")
 def stale_runs(spark, d):
     s = sj.active_sessions(_events(spark, d))
     return s.select("run_id", F.unix_micros("started_at").alias("started_at"), F.unix_micros("stale_at").alias("stale_at"), "event_count")
@@ -173,6 +178,42 @@ def idle_runs(spark, d):
     return s.select("run_id", F.unix_micros("last_ts").alias("last_at"), F.col("idle_seconds").cast("long").alias("idle_seconds"))
 
 
+def _feed(spark, d, place):
+    """The events as a folder of four files, written one after the other by ``place`` (0 to below 1), and room for the stream's state."""
+    base = f"{checkpoint_dir(spark)}/feed-{uuid.uuid4().hex}"
+    events = table(spark, d, "events").withColumn("piece", F.floor(place * 4))
+    for k in range(4):  # a stream takes files by the time they were written
+        events.where(F.col("piece") == k).drop("piece").write.mode("append").parquet(f"{base}/events")
+    return base
+
+
+@query("task_state", """
+SELECT kind, item_id, status, value, updated_at, event_id FROM (SELECT *, row_number() OVER (PARTITION BY kind, item_id ORDER BY updated_at DESC, event_id DESC) AS r FROM (
+  SELECT CASE WHEN event_type IN ('purchase', 'error') THEN 'review' ELSE 'task' END AS kind, user_id AS item_id, value, epoch_us(ts) AS updated_at, event_id,
+    CASE event_type WHEN 'purchase' THEN 'accepted' WHEN 'error' THEN 'rejected' WHEN 'signup' THEN 'created' ELSE 'pending' END AS status FROM events)) WHERE r = 1""")
+def task_state(spark, d):
+    """State of tasks and reviews after a feed of changes, batch by batch, in an order that has nothing to do with their versions."""
+    base = _feed(spark, d, F.pmod(F.xxhash64("event_id"), F.lit(1000)) / 1000)
+    changes = sj.task_changes(sj.read_events(spark, f"{base}/events"))
+    sj.upsert_stream(changes, f"{base}/state", ["kind", "item_id"], ["updated_at", "event_id"], f"{base}/stream").awaitTermination()
+    return read_state(spark, f"{base}/state", changes.schema)
+
+
+@query("silence_alerts", with_("rev") + """
+, s AS (SELECT run_id, min(ts) AS a, max(ts) AS b, count(*) AS event_count FROM (
+  SELECT *, sum(n) OVER (PARTITION BY run_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY run_id ORDER BY ts, event_id) <= 120000000 THEN 0 ELSE 1 END AS n FROM rev)) GROUP BY run_id, g)
+SELECT run_id, epoch_us(a) AS started_at, epoch_us(b) AS last_at, epoch_us(b) + 120000000 AS alert_at, event_count FROM s WHERE (epoch_us(b) + 120000000) // 1000 + 1 < (SELECT epoch_us(max(ts)) // 1000 - 600000 FROM rev)""")
+def silence_alerts(spark, d):
+    """What the running stream has reported once it has seen all events, four files one after the other."""
+    first, last = table(spark, d, "events").selectExpr("unix_micros(CAST(min(ts) AS TIMESTAMP))", "unix_micros(CAST(max(ts) AS TIMESTAMP))").first()
+    base = _feed(spark, d, (F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(first)) / F.lit(float(max((last or 0) - (first or 0), 1)) * (1 + 1e-9)))
+    alerts = sa.silence_alerts(sj.run_events(sj.read_events(spark, f"{base}/events")))
+    alerts.writeStream.format("parquet").option("path", f"{base}/alerts").option("checkpointLocation", f"{base}/stream").trigger(availableNow=True).start().awaitTermination()
+    a = spark.read.schema(alerts.schema).parquet(f"{base}/alerts")
+    us = lambda c: F.unix_micros(c)
+    return a.select("run_id", us("started_at").alias("started_at"), us("last_ts").alias("last_at"), us("alert_at").alias("alert_at"), "event_count")
+
+
 @query("history_export", """
 SELECT conv_id, history_count, chars FROM (SELECT conv_id, count(*) AS history_count, sum(length(text))::BIGINT AS chars FROM conversations GROUP BY 1)""")
 def history_export(spark, d):

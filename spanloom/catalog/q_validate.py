@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import responses as rs
 from ..functions.spans import rule_risk
 from ..functions.markup import spans_to_markup
 from ..operators import validate as va
+from ..plans.corpus import generate
+from ..session import checkpoint_dir
 from .derived import candidates, dirty_tasks, documents, hex1, joined, responses, samples, table
 from .registry import TRIM, WS, cte, query, rnd, strip, with_
 
@@ -172,40 +176,55 @@ BANNED = ["ciónmi", "thouon", "secret"]
 TERMS = ["tion", "ment", "ung", "ción"]
 
 
-@query("judge_items", rf"""
-WITH i AS (SELECT d.doc_id, {strip("coalesce(regexp_extract(text, '^[^\\n]*', 0), '')")} AS p, {strip('text')} AS r, lang, source,
-  CASE WHEN doc_id % 11 = 0 THEN []::BIGINT[] WHEN doc_id % 7 = 0 THEN [doc_id, doc_id + 1] ELSE [doc_id] END AS ids FROM documents d)
-SELECT i.doc_id, array_to_string(list_filter([
+def _items(docs):
+    """Documents as generated items, to be judged."""
+    doc = F.col("doc_id")
+    ids = F.when(doc % 11 == 0, F.array().cast("array<string>")).when(doc % 7 == 0, F.array(doc.cast("string"), (doc + 1).cast("string"))).otherwise(F.array(doc.cast("string")))
+    return docs.select(
+        "doc_id", F.regexp_extract("text", r"^[^\n]*", 0).alias("prompt"), F.col("text").alias("response"), F.col("lang").alias("language"),
+        F.col("source").alias("domain"), ids.alias("source_chunk_ids"), F.array(doc.cast("string")).alias("allowed_ids"), F.array(*[F.lit(t) for t in TERMS]).alias("term_pack"),
+    )
+
+
+_JUDGED = rf"""
+ i AS (SELECT d.doc_id, {strip("coalesce(regexp_extract(text, '^[^\\n]*', 0), '')")} AS p, {strip('text')} AS r, lang, source,
+  CASE WHEN doc_id % 11 = 0 THEN []::BIGINT[] WHEN doc_id % 7 = 0 THEN [doc_id, doc_id + 1] ELSE [doc_id] END AS ids FROM documents d),
+judged AS (SELECT i.doc_id, array_to_string(list_filter([
   CASE WHEN p = '' THEN 'missing_prompt' WHEN length(p) < 20 THEN 'short_prompt' END, CASE WHEN r = '' THEN 'missing_response' WHEN length(r) < 400 THEN 'short_response' END,
   CASE WHEN lang <> 'en' THEN 'language_mismatch' END, CASE WHEN source <> 'src3' THEN 'domain_mismatch' END,
   CASE WHEN len(ids) = 0 THEN 'missing_lineage' WHEN len(ids) > 1 THEN 'invalid_source' END,
   CASE WHEN contains(p || chr(10) || r, 'ciónmi') THEN 'banned_term:ciónmi' WHEN contains(p || chr(10) || r, 'thouon') THEN 'banned_term:thouon' WHEN contains(p || chr(10) || r, 'secret') THEN 'banned_term:secret' END,
   CASE WHEN NOT (contains(p || chr(10) || r, 'tion') OR contains(p || chr(10) || r, 'ment') OR contains(p || chr(10) || r, 'ung') OR contains(p || chr(10) || r, 'ción')) THEN 'weak_grounding' END
-  ], lambda x: x IS NOT NULL), ',') AS issues, coalesce(q.quality, -1) AS quality FROM i LEFT JOIN labels q ON i.doc_id = q.doc_id""")
+  ], lambda x: x IS NOT NULL), ',') AS issues FROM i)
+"""
+
+
+@query("judge_items", "WITH" + _JUDGED + "SELECT j.doc_id, j.issues, coalesce(q.quality, -1) AS quality FROM judged j LEFT JOIN labels q ON j.doc_id = q.doc_id")
 def judge_items(spark, d):
-    doc = F.col("doc_id")
-    ids = F.when(doc % 11 == 0, F.array().cast("array<string>")).when(doc % 7 == 0, F.array(doc.cast("string"), (doc + 1).cast("string"))).otherwise(F.array(doc.cast("string")))
-    items = documents(spark, d).select(
-        "doc_id", F.regexp_extract("text", r"^[^\n]*", 0).alias("prompt"), F.col("text").alias("response"), F.col("lang").alias("language"),
-        F.col("source").alias("domain"), ids.alias("source_chunk_ids"), F.array(doc.cast("string")).alias("allowed_ids"), F.array(*[F.lit(t) for t in TERMS]).alias("term_pack"),
-    )
-    judged = va.judge_items(items, "en", "src3", BANNED, min_prompt=20, min_response=400)
+    judged = va.judge_items(_items(documents(spark, d)), "en", "src3", BANNED, min_prompt=20, min_response=400)
     return judged.join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left").select(
         "doc_id", F.array_join("issues", ",").alias("issues"), F.coalesce("quality", F.lit(-1)).alias("quality")
     )
 
 
-@query("event_filter", """
-SELECT event_id, event_type, user_id FROM events WHERE event_type = 'error' AND contains(lower(props), '"k": 7')""")
-def event_filter(spark, d):
-    return va.event_filter(table(spark, d, "events"), event_type="error", keyword='"K": 7', in_columns=("props",)).select("event_id", "event_type", "user_id")
+@query("resumed_run", "WITH" + _JUDGED + """
+SELECT printf('task-%08d', doc_id) AS task_id, CASE WHEN doc_id % 13 = 0 THEN 0 WHEN doc_id % 4 < 2 THEN 1 ELSE 2 END AS attempt, CASE WHEN doc_id % 13 = 0 THEN 0 ELSE 1 END AS item_count,
+  CASE WHEN doc_id % 13 = 0 THEN '' WHEN issues = '' THEN 'accepted' ELSE 'review' END AS status, CASE WHEN doc_id % 13 = 0 THEN '' ELSE issues END AS issues FROM judged""")
+def resumed_run(spark, d):
+    """A corpus run that is stopped after two of its four parts and started again: no task is done twice, none is left out, and one without items counts too."""
+    docs = documents(spark, d)
+    tasks = docs.select(F.format_string("task-%08d", "doc_id").alias("task_id"), F.col("doc_id").alias("task_index"))
 
+    def attempt(number):
+        def work(todo, so_far):
+            some = _items(docs.where("doc_id % 13 <> 0")).withColumn("task_id", F.format_string("task-%08d", "doc_id")).join(todo.select("task_id"), "task_id", "left_semi")
+            judged = va.judge_items(some, "en", "src3", BANNED, min_prompt=20, min_response=400)
+            return judged.select("task_id", "status", F.array_join("issues", ",").alias("issues"), F.lit(number).alias("attempt"))
 
-@query("task_preview", with_("alltok") + """
-SELECT printf('s%08d', d.doc_id) AS id, d.text, coalesce(t.n, 0) AS token_count FROM documents d
-LEFT JOIN (SELECT doc_id, count(*) AS n FROM alltok GROUP BY 1) t ON d.doc_id = t.doc_id ORDER BY 1 LIMIT 5""")
-def task_preview(spark, d):
-    from ..sources.readers import numbered_tokens
+        return work
 
-    t = samples(spark, d).select("id", "text", numbered_tokens(F.col("text")).alias("tokens"), F.create_map(F.lit("lang"), F.col("lang")).alias("meta"))
-    return va.preview(t).select("id", "text", F.col("token_count").cast("long").alias("token_count"))
+    target = f"{checkpoint_dir(spark)}/corpus-{uuid.uuid4().hex}"
+    generate(tasks, attempt(1), target, stop_after=2)
+    one = F.get("items", F.lit(0))
+    text = lambda c: F.coalesce(one[c], F.lit("")).alias(c)
+    return generate(tasks, attempt(2), target).select("task_id", F.coalesce(one["attempt"], F.lit(0)).alias("attempt"), F.size("items").alias("item_count"), text("status"), text("issues"))

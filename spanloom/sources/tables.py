@@ -8,13 +8,12 @@ from pyspark.sql import functions as F
 from ..functions import markup as mk
 from ..operators.stats import one_row
 from ..schema import SPAN_DDL, TERMINAL_RUN_STATUSES
+from .generations import newest
 
 
 def latest(df: DataFrame, keys: list[str], version: str) -> DataFrame:
-    """The newest row per key. One aggregate with partial results, so rewrites of one key collapse before the shuffle."""
-    rest = [c for c in df.columns if c not in keys]
-    newest = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(version)).alias("row_"))
-    return newest.select(*keys, *[F.col(f"row_.{c}").alias(c) for c in rest]).select(*df.columns)
+    """The newest row per key; rows of one version are decided by their other columns. Rewrites of one key collapse before the shuffle."""
+    return newest(df, keys, [version])
 
 
 def upsert(table: DataFrame, updates: DataFrame, keys: list[str], version: str) -> DataFrame:
@@ -25,7 +24,7 @@ def upsert(table: DataFrame, updates: DataFrame, keys: list[str], version: str)
 def upsert_partitions(table: DataFrame, updates: DataFrame, keys: list[str], version: str, partition: str) -> DataFrame:
     """The rows of the touched partitions after an upsert, ready for a dynamic partition overwrite."""
     touched = updates.select(partition).distinct()
-    return upsert(table.join(touched, partition, "left_semi"), updates, keys, version)
+    return upsert(table.join(touched, partition, "left_semi").select(*table.columns), updates, keys, version)
 
 
 def lookup(df: DataFrame, where: dict[str, object], order: list[Column | str], limit: int | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.core import half_even
-from ..sources.tables import latest
+from ..sources.generations import BUCKETS, upsert_generation
 
 EVENT_DDL = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 STALE_SECONDS = 120
@@ -64,15 +64,13 @@ def stale_runs(events: DataFrame, now: object, limit_seconds: int = STALE_SECOND
     return last.withColumn("idle_seconds", idle).where(F.col("idle_seconds") > limit_seconds)
 
 
-def upsert_stream(events: DataFrame, target: str, keys: list[str], version: str, checkpoint: str, order_tie: str = "event_id") -> StreamingQuery:
-    """Keeps the newest row per key in a Parquet table. Each batch writes a new generation named by its id, so a repeated batch writes the same one."""
-    spark = events.sparkSession
+def upsert_stream(events: DataFrame, target: str, keys: list[str], order: list[str], checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
+    """Keeps the newest row per key in a bucketed table; ``read_state`` reads it. A batch rewrites only the buckets of its keys.
 
+    Rows are newest by ``order`` (a version, then what tells rows of one version apart). A repeated batch writes the same generation again.
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.dropDuplicates([order_tie])
-        if batch_id > 0:
-            rows = spark.read.parquet(f"{target}/gen={batch_id - 1}").unionByName(rows)
-        latest(rows, keys, version).write.mode("overwrite").parquet(f"{target}/gen={batch_id}")
+        upsert_generation(batch, target, batch_id, keys, order, buckets)
 
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -87,3 +85,12 @@ def run_to_memory(df: DataFrame, name: str, mode: str, checkpoint: str) -> DataF
 def process_once(events: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Hands every file to ``handle`` once; after a restart the checkpoint skips what is finished."""
     return events.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def task_changes(events: DataFrame) -> DataFrame:
+    """Changes of tasks and reviews out of raw events: (kind, item_id, status, value, updated_at, event_id)."""
+    review = F.col("event_type").isin("purchase", "error")
+    status = F.when(F.col("event_type") == "purchase", "accepted").when(F.col("event_type") == "error", "rejected").when(F.col("event_type") == "signup", "created").otherwise("pending")
+    return events.select(
+        F.when(review, "review").otherwise("task").alias("kind"), F.col("user_id").alias("item_id"), status.alias("status"), "value",
+        F.unix_micros(F.col("ts").cast("timestamp")).alias("updated_at"), "event_id")

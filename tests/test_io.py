@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from spanloom.plans import annotation, bootstrap, reports
 from spanloom.schema import SPAN_DDL
-from spanloom.sources import readers, tables, writers
+from spanloom.sources import generations, readers, tables, writers
 from spanloom.streaming import jobs
 
 
@@ -75,11 +75,10 @@ def test_streams_equal_batch(spark, folder):
 
 def test_stream_upsert_and_resume(spark, folder):
     batch, stream = stream_folder(spark, folder)
-    jobs.upsert_stream(stream, f"{folder}/state", ["run_id"], "event_id", f"{folder}/ck").awaitTermination()
-    last = max(int(n.split("=")[1]) for n in os.listdir(f"{folder}/state"))
-    got = spark.read.parquet(f"{folder}/state/gen={last}").select("run_id", "event_id").collect()
+    jobs.upsert_stream(stream, f"{folder}/state", ["run_id"], ["event_id"], f"{folder}/ck").awaitTermination()
+    got = generations.read_state(spark, f"{folder}/state", stream.schema).select("run_id", "event_id").collect()
     want = batch.groupBy("run_id").agg(F.max("event_id")).collect()
-    assert last == 3 and sorted(map(tuple, got)) == sorted(map(tuple, want))
+    assert generations.last_commit(spark, f"{folder}/state") == 3 and sorted(map(tuple, got)) == sorted(map(tuple, want))
     seen = []
     jobs.process_once(stream, lambda df, i: seen.append(df.count()), f"{folder}/ck4").awaitTermination()
     jobs.process_once(stream, lambda df, i: seen.append(df.count()), f"{folder}/ck4").awaitTermination()
