@@ -14,7 +14,7 @@ from ..functions import text as tx
 from ..functions.core import blank_to_null, half_even, strip
 from ..functions.spans import empty_spans
 from ..schema import CANDIDATE_LINE_DDL, OPTION_DDL, RAW_DOC_DDL, RAW_SPAN_DDL, RELATION_DDL, SAMPLE_LINE_DDL, SEED_LINE_DDL, SPAN_DDL, TASK_DDL
-from .positions import with_position
+from .positions import with_file_position
 
 
 def numbered_tokens(text: Column) -> Column:
@@ -59,14 +59,15 @@ def _empty(ddl: str) -> Column:
     return F.array().cast(f"array<{ddl}>")
 
 
-def json_to_tasks(df: DataFrame, line: str = "value", position: str = "position", prefix: str = "jsonl", source: str = "uploaded.jsonl") -> DataFrame:
+def json_to_tasks(df: DataFrame, line: str = "value", position: str = "position", prefix: str = "jsonl", source: Column | str = "uploaded.jsonl") -> DataFrame:
     """Task rows from JSON lines: defaults for missing fields, a positional id where none is given, ``error`` for bad lines."""
+    source = F.lit(source) if isinstance(source, str) else source
     parsed = df.where(strip(F.col(line)) != "").select("*", F.from_json(line, f"{TASK_DDL}, _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("r"))
     text = F.col("r.text")
     error = F.when(F.col("r").isNull() | F.col("r._bad").isNotNull(), "invalid_json").when(text.isNull(), "missing_text")
     meta = F.map_concat(
         F.map_filter(F.coalesce(F.col("r.meta"), F.create_map().cast("map<string,string>")), lambda k, v: ~k.isin("source", "source_format")),
-        F.create_map(F.lit("source"), F.lit(source), F.lit("source_format"), F.lit("jsonl")),
+        F.create_map(F.lit("source"), source, F.lit("source_format"), F.lit("jsonl")),
     )
     return parsed.select(
         F.coalesce("r.id", F.format_string(f"{prefix}-%05d", F.col(position).cast("long"))).alias("id"), text.alias("text"),
@@ -76,10 +77,14 @@ def json_to_tasks(df: DataFrame, line: str = "value", position: str = "position"
     )
 
 
+def file_name(path: Column) -> Column:
+    return F.url_decode(F.element_at(F.split(path, "/"), -1))
+
+
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines with their place in the input. The place is the file's own order, so ids are stable between runs."""
-    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file_"), F.col("_metadata.file_block_start").alias("block_"))
-    return with_position(raw.withColumn("row_", F.monotonically_increasing_id()), ["file_", "block_", "row_"]).drop("file_", "block_", "row_")
+    """Lines with their place in the input and the file they come from. The place is the files' own order, so ids are stable between runs."""
+    rows = with_file_position(spark.read.text(path))
+    return rows.select("value", "position", file_name(F.col("file_")).alias("file"))
 
 
 def _strict(df: DataFrame, strict: bool) -> DataFrame:
@@ -91,27 +96,27 @@ def _strict(df: DataFrame, strict: bool) -> DataFrame:
 
 
 def read_jsonl_tasks(spark: SparkSession, path: str, prefix: str = "jsonl", strict: bool = False) -> DataFrame:
-    return _strict(json_to_tasks(_lines(spark, path), prefix=prefix, source=path.rstrip("/").rsplit("/", 1)[-1]), strict)
+    return _strict(json_to_tasks(_lines(spark, path), prefix=prefix, source=F.col("file")), strict)
 
 
-def rows_to_tasks(df: DataFrame, text_column: str = "text", position: str = "position", prefix: str = "csv", source: str = "uploaded.csv") -> DataFrame:
-    """Task rows from a table with a text column; blank texts are dropped, all other columns go to ``meta``."""
+def rows_to_tasks(df: DataFrame, text_column: str = "text", position: str = "position", prefix: str = "csv", source: Column | str = "uploaded.csv", drop: tuple[str, ...] = ()) -> DataFrame:
+    """Task rows from a table with a text column; blank texts are dropped, all other columns (but ``drop``) go to ``meta``."""
+    source = F.lit(source) if isinstance(source, str) else source
     if text_column not in df.columns:
         raise ValueError(f"no text column {text_column!r}")
     text = strip(F.coalesce(F.col(text_column).cast("string"), F.lit("")))
-    others = [c for c in df.columns if c not in (text_column, position)]
-    pairs = [x for c in others for x in (F.lit(c), F.col(c).cast("string"))]
+    others = [c for c in df.columns if c not in (text_column, position, *drop)]
+    pairs = [x for c in others for x in (F.lit(c), F.col(f"`{c}`").cast("string"))]
     place = F.col(position).cast("string")
-    meta = F.create_map(*pairs, F.lit("source"), F.lit(source), F.lit("source_format"), F.lit("csv"), F.lit("row_index"), place)
+    meta = F.create_map(*pairs, F.lit("source"), source, F.lit("source_format"), F.lit("csv"), F.lit("row_index"), place)
     return df.where(text != "").select(
         F.format_string(f"{prefix}-%05d", F.col(position).cast("long")).alias("id"), text.alias("text"), numbered_tokens(text).alias("tokens"), meta.alias("meta"),
     )
 
 
 def read_csv_tasks(spark: SparkSession, path: str, text_column: str = "text", prefix: str = "csv") -> DataFrame:
-    raw = spark.read.csv(path, header=True, multiLine=True, escape='"')
-    numbered = with_position(raw.withColumn("row_", F.monotonically_increasing_id()), ["row_"]).drop("row_")
-    return rows_to_tasks(numbered, text_column, prefix=prefix, source=path.rstrip("/").rsplit("/", 1)[-1])
+    rows = with_file_position(spark.read.csv(path, header=True, multiLine=True, escape='"'))
+    return rows_to_tasks(rows, text_column, prefix=prefix, source=file_name(F.col("file_")), drop=("file_",))
 
 
 def read_tasks(spark: SparkSession, path: str, text_column: str | None = None) -> DataFrame:
