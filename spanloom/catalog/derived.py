@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..schema import SPAN_DDL
+from ..session import checkpoint_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -269,3 +270,29 @@ def candidate_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         (k % 3).alias("repair_attempts"), (k >= 20).alias("memorization_passed"), (k % 4 == 0).alias("accepted"), text(k % 2 == 0, "critic ").alias("critic_diagnosis"),
         text(k % 3 == 0, "turn ").alias("controller_direction"), text(k % 5 == 0, "seg-").alias("mask_segment_id"), F.when(k % 5 == 0, F.col("value") - 50).alias("mask_loss_delta"),
     )
+
+
+def work_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Annotated tasks, predictions, decided reviews and jobs, out of one pass over the documents: spans are found once and kept.
+
+    What is kept has no texts. Routes, reviews and decisions are worked out from it.
+    """
+    from ..operators.review import apply_decisions, build_reviews, route_tasks
+
+    checkpoint_dir(spark)
+    p = predictions(spark, sf_dir).drop("text").checkpoint()
+    routed = route_tasks(p, "job-1").checkpoint()
+    r = build_reviews(routed).withColumn("hard_example", F.lit(False))
+    best = p.select(F.col("prediction_id").alias("best_prediction_id"), F.col("spans").alias("best_spans"))
+    base = routed.join(best, "best_prediction_id")
+    t = base.select(F.col("task_id").alias("id"), F.col("best_spans").alias("spans"), "source_pool")
+    a = apply_decisions(r, decisions(spark, sf_dir), t, p).checkpoint()
+    no = F.lit(False)
+    won = a.where("task_answer IS NOT NULL").select("task_id", "task_spans", "task_hard_example", "promote_to_gold")
+    tasks = base.join(won, "task_id", "left").select(
+        F.col("task_id").alias("id"), "route", "agreement", F.coalesce("task_spans", "best_spans").alias("spans"),
+        F.coalesce("task_hard_example", no).alias("hard_example"), F.coalesce("promote_to_gold", no).alias("promote_to_gold"))
+    state = a.select("review_id", F.col("status").alias("s"), F.col("manually_edited").alias("m"), "error_type")
+    reviews_ = r.join(state, "review_id", "left").select(
+        "review_id", F.coalesce("s", "status").alias("status"), F.coalesce("m", no).alias("manually_edited"), F.coalesce("error_type", F.lit("")).alias("error_type"))
+    return tasks, p, reviews_, jobs(spark, sf_dir)

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from .. import wording
 from ..functions import text as tx
 from ..functions.core import half_even
 from ..operators import runs as ru
@@ -14,7 +15,7 @@ from ..session import checkpoint_dir
 from ..sources.generations import read_state
 from ..streaming import alerts as sa
 from ..streaming import jobs as sj
-from .derived import annotated_tasks, candidate_log, decided_reviews, documents, jobs, predictions, table, versions
+from .derived import candidate_log, documents, table, versions, work_tables
 from .q_text import HEADINGS
 from .registry import cte, query, rnd, with_
 
@@ -223,15 +224,50 @@ def history_export(spark, d):
     return r.select("conv_id", "j.history_count", F.aggregate("j.history", F.lit(0).cast("long"), lambda a, x: a + F.length(x["text"])).alias("chars"))
 
 
-@query("dataset_report", with_("tfinal", "tspans", "rfinal") + """
-SELECT '标签分布' AS section, '- ' || label || ': ' || count(*) AS line FROM tspans GROUP BY label UNION ALL SELECT '路由分布', '- ' || route || ': ' || count(*) FROM tfinal GROUP BY route
-UNION ALL SELECT 'summary', '- 任务总数: ' || (SELECT count(*) FROM tfinal) UNION ALL SELECT 'summary', '- 审核任务数: ' || (SELECT count(*) FROM rfinal)""")
+_PLAIN = lambda x: f"regexp_replace(regexp_replace(CAST(CAST({x} AS DECIMAL(38,4)) AS VARCHAR), '0+$', ''), '[.]$', '.0')"
+_FIXED = lambda rows: "(VALUES " + ", ".join(f"({no}, '{section}', '{at}', '{line}')" for no, section, at, line in rows) + ") AS f(section_no, section, \"at\", line)"
+_DOWN = lambda n: f"printf('%019d', 1000000000000000000 - {n})"
+_SUMMARY = {
+    "task_count": "(SELECT count(*) FROM tfinal)", "prediction_count": "(SELECT count(*) FROM runs3)", "review_count": "(SELECT count(*) FROM rfinal)",
+    "pending_review_count": "(SELECT count(*) FROM rfinal WHERE status = 'pending')",
+    "auto_accept_rate": _PLAIN(f"(SELECT {rnd("count(*) FILTER (WHERE route = 'auto_accept')::DOUBLE / count(*)")} FROM tfinal)"),
+    "review_rate": _PLAIN(f"(SELECT {rnd("count(*) FILTER (WHERE route = 'review')::DOUBLE / count(*)")} FROM tfinal)"),
+    "hard_example_count": "(SELECT count(*) FROM tfinal WHERE hard_example)", "manual_edit_count": "(SELECT count(*) FROM rfinal WHERE manually_edited)",
+    "promoted_to_gold_count": "(SELECT count(*) FROM tfinal WHERE promote_to_gold)",
+    "avg_agreement": _PLAIN(f"(SELECT {rnd('sum(CAST(round(agreement * 10000) AS BIGINT))::DOUBLE / (count(*) * 1e4)')} FROM tfinal)"),
+    "avg_span_length": _PLAIN(f"(SELECT {rnd('sum(en - st)::DOUBLE / count(*)', 2)} FROM tspans WHERE st >= 0)"),
+}
+_DATASET_LINES = f"""
+SELECT * FROM {_FIXED([(0, 'title', ' 00', '# ' + wording.DATASET_TITLE), (0, 'title', ' 01', ''), (2, wording.LABELS_TITLE, ' 00', ''), (2, wording.LABELS_TITLE, ' 01', '## ' + wording.LABELS_TITLE),
+  (3, wording.ROUTES_TITLE, ' 00', ''), (3, wording.ROUTES_TITLE, ' 01', '## ' + wording.ROUTES_TITLE)])}
+""" + "".join(f"UNION ALL SELECT 1, 'summary', '{i:02d}', '- {name}: ' || {_SUMMARY[c]}\n" for i, (name, c) in enumerate(wording.SUMMARY_LINES)) + f"""
+UNION ALL SELECT 2, '{wording.LABELS_TITLE}', {_DOWN('count(*)')} || '|' || label, '- ' || label || ': ' || count(*) FROM tspans GROUP BY label
+UNION ALL SELECT 3, '{wording.ROUTES_TITLE}', {_DOWN('count(*)')} || '|' || route, '- ' || route || ': ' || count(*) FROM tfinal GROUP BY route"""
+
+
+@query("dataset_report", with_("tfinal", "tspans", "rfinal", "runs3") + _DATASET_LINES)
 def dataset_report(spark, d):
-    r = rep.dataset_report(annotated_tasks(spark, d), predictions(spark, d), decided_reviews(spark, d), jobs(spark, d))
-    return r.where("section IN ('标签分布', '路由分布') AND line LIKE '- %' OR line LIKE '- 任务总数%' OR line LIKE '- 审核任务数%'").select("section", "line")
-
-
-@query("method_report", with_("clog") + """
-SELECT '- ' || method || ': candidates=' || count(*) || ', accepted=' || count(*) FILTER (WHERE accepted) || ', blocked=' || count(*) FILTER (WHERE status <> 'evaluated') AS line FROM clog GROUP BY method""")
+    return rep.dataset_report(*work_tables(spark, d))
+
+
+@query("experiment_report", with_("tfinal", "tspans", "rfinal", "runs3") + _DATASET_LINES + f"""
+UNION ALL SELECT * FROM {_FIXED([(n, t, f' 0{i}', x) for n, t in ((4, wording.VERSIONS_TITLE), (5, wording.FEEDBACK_TITLE)) for i, x in enumerate(('', '## ' + t))])}
+UNION ALL SELECT 4, '{wording.VERSIONS_TITLE}', printf('%019d', event_id), '- v' || event_id || ': pass=' || k || ', failed=' || k % 4 || ', unstable=' || k % 3 || ', round=' || user_id FROM (SELECT *, (props->>'$.k')::BIGINT AS k FROM events WHERE event_type = 'signup')
+UNION ALL SELECT 5, '{wording.FEEDBACK_TITLE}', {_DOWN('count(*)')} || '|' || error_type, '- ' || error_type || ': ' || count(*) FROM rfinal WHERE error_type <> '' GROUP BY error_type""")
+def experiment_report(spark, d):
+    tasks, p, reviews, j = work_tables(spark, d)
+    reviews = reviews.checkpoint()
+    return rep.experiment_report(rep.dataset_report(tasks, p, reviews, j), versions(spark, d), reviews)
+
+
+@query("method_report", with_("clog") + f"""
+, m AS (SELECT method, count(*) FILTER (WHERE status = 'evaluated') AS n, count(*) FILTER (WHERE accepted) AS a, count(*) FILTER (WHERE status <> 'evaluated') AS b, min(loss) FILTER (WHERE status = 'evaluated') AS best, sum(k)::BIGINT AS t, sum(repair_attempts)::BIGINT AS r FROM clog GROUP BY 1),
+w AS (SELECT method, best FROM m ORDER BY best NULLS LAST, method LIMIT 1)
+SELECT * FROM {_FIXED([(0, 'title', f' {i:02d}', x) for i, x in enumerate(['# ' + wording.COMPARISON_TITLE, '', '## Summary', '', '- Experiment case: `custom`'])] + [(2, 'Summary', ' 00', wording.BEST_NOTE)]
+  + [(n, t, f' {i:02d}', x) for n, t, head in ((3, 'Method Comparison', rep.METHOD_COLUMNS), (4, 'Candidate Status', rep.CANDIDATE_COLUMNS)) for i, x in enumerate(['', '## ' + t, '', *rep.table_head(head)])])}
+UNION ALL SELECT 1, 'Summary', '1', '- Best method: `' || method || '`' FROM w UNION ALL SELECT 1, 'Summary', '2', '- Best loss: `' || {_PLAIN('best')} || '`' FROM w
+UNION ALL SELECT 3, 'Method Comparison', method, '| ' || concat_ws(' | ', method, n, a, b, {_PLAIN('best')}, t, r) || ' |' FROM m
+UNION ALL SELECT 4, 'Candidate Status', method || '|' || printf('%019d', run_id) || '|' || printf('%019d', event_id), '| ' || concat_ws(' | ', method, run_id, event_id, status, {_PLAIN('loss')}, CASE WHEN memorization_passed THEN 'clean' ELSE 'blocked' END, repair_attempts) || ' |' FROM clog""")
 def method_report(spark, d):
-    return rep.method_report(candidate_log(spark, d)).where("line LIKE '- %'").select("line")
+    log = candidate_log(spark, d).withColumns({"tokens": F.col("k"), "round": F.col("run_id"), "candidate_id": F.col("event_id")})
+    return rep.comparison_report(log)

@@ -9,7 +9,7 @@ from ..operators import agreement as ag
 from ..operators import joins as jn
 from ..operators import reflection as rf
 from ..operators import stats as st
-from .derived import annotated_tasks, candidate_log, candidates, decided_reviews, jobs, predictions, samples, table, versions
+from .derived import annotated_tasks, candidate_log, candidates, decided_reviews, jobs, predictions, samples, table, versions, work_tables
 from .registry import cte, query, rnd, with_
 
 cte("tfinal", """
@@ -41,7 +41,7 @@ SELECT (SELECT count(*) FROM tfinal) AS task_count, (SELECT count(*) FROM runs3)
   (SELECT {rnd("sum(CAST(round(agreement * 10000) AS BIGINT))::DOUBLE / (count(*) * 1e4)")} FROM tfinal) AS avg_agreement, (SELECT count(*) FROM tfinal WHERE agreement < 0.6) AS low_consistency_count,
   (SELECT {rnd("sum(en - st)::DOUBLE / count(*)", 2)} FROM tspans WHERE st >= 0) AS avg_span_length""")
 def dataset_stats(spark, d):
-    return st.dataset_stats(annotated_tasks(spark, d), predictions(spark, d), decided_reviews(spark, d), jobs(spark, d))
+    return st.dataset_stats(*work_tables(spark, d))
 
 
 @query("dataset_stats_by_project", with_("tfinal") + f"""

@@ -24,24 +24,50 @@ def _rate(cond: Column, digits: int = 4) -> Column:
     return half_even(F.when(n > 0, F.count_if(cond) / n).otherwise(0.0), digits)
 
 
-def dataset_stats(tasks: DataFrame, predictions: DataFrame, reviews: DataFrame, jobs: DataFrame) -> DataFrame:
-    """One row of counts and rates over the four tables, each scanned once."""
-    located = F.filter("spans", lambda s: (s["start"] >= 0) & (s["end"] > s["start"]))
-    t = tasks.select(
-        "route", "hard_example", "promote_to_gold", F.round(F.col("agreement") * 10000).cast("long").alias("a"), "agreement", F.size(located).alias("n_spans"),
-        F.aggregate(located, F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"]).alias("span_chars"),
-    ).agg(
-        F.count(F.lit(1)).alias("task_count"), _rate(F.col("route") == "auto_accept").alias("auto_accept_rate"), _rate(F.col("route") == "review").alias("review_rate"),
-        F.count_if("hard_example").alias("hard_example_count"), F.count_if("promote_to_gold").alias("promoted_to_gold_count"),
-        half_even(F.coalesce(F.sum("a") / (F.count("a") * F.lit(10000.0)), F.lit(0.0)), 4).alias("avg_agreement"),
-        F.count_if(F.col("agreement") < 0.6).alias("low_consistency_count"),
-        half_even(F.coalesce(F.try_divide(F.sum("span_chars"), F.sum("n_spans")), F.lit(0.0)), 2).alias("avg_span_length"),
+def dataset_figures(tasks: DataFrame, predictions: DataFrame, reviews: DataFrame, jobs: DataFrame) -> DataFrame:
+    """All figures of the dataset report in one pass over each table: a row of kind ``all``, and one per ``route`` and per ``label``.
+
+    A task is one row per span (one row without spans) of which the first stands for the task; grouping sets count the whole, the
+    routes and the labels together.
+    """
+    route = F.coalesce("route", F.lit(wording.NO_ROUTE))
+    rows = tasks.select(route.alias("route"), "hard_example", "promote_to_gold", "agreement", F.posexplode_outer("spans").alias("place", "s"))
+    rows = rows.select(
+        "route", F.when(F.col("s").isNotNull(), F.coalesce("s.label", F.lit(wording.NO_LABEL))).alias("label"), (F.coalesce("place", F.lit(0)) == 0).alias("is_task"), "s",
+        "hard_example", "promote_to_gold", "agreement")
+    # One row that is no task and has no span, so that empty tables have a whole, too; it falls into no route and no label.
+    rows = rows.unionByName(tasks.sparkSession.range(1).select(F.lit(False).alias("is_task")), allowMissingColumns=True)
+    task, located = F.col("is_task"), (F.col("s.start") >= 0) & (F.col("s.end") > F.col("s.start"))
+    n = F.count_if(task)
+    share = lambda cond: half_even(F.when(n > 0, F.count_if(task & cond) / n).otherwise(0.0), 4)
+    agreement = F.when(task, F.round(F.col("agreement") * 10000).cast("long"))
+    sets = rows.groupingSets([[], ["route"], ["label"]], "route", "label").agg(
+        F.grouping("route").alias("no_route"), F.grouping("label").alias("no_label"), F.count("s").alias("span_count"), n.alias("task_count"),
+        share(F.col("route") == "auto_accept").alias("auto_accept_rate"), share(F.col("route") == "review").alias("review_rate"),
+        F.count_if(task & F.col("hard_example")).alias("hard_example_count"), F.count_if(task & F.col("promote_to_gold")).alias("promoted_to_gold_count"),
+        half_even(F.coalesce(F.sum(agreement) / (F.count(agreement) * F.lit(10000.0)), F.lit(0.0)), 4).alias("avg_agreement"),
+        F.count_if(task & (F.col("agreement") < 0.6)).alias("low_consistency_count"),
+        half_even(F.coalesce(F.try_divide(F.sum(F.when(located, F.col("s.end") - F.col("s.start"))), F.count_if(located)), F.lit(0.0)), 2).alias("avg_span_length"),
     )
+    kind = F.when(F.col("no_route") == 0, "route").when(F.col("no_label") == 0, "label").otherwise("all")
+    figures = sets.withColumn("kind", kind).withColumn("name", F.coalesce("route", "label")).where("kind = 'all' OR name IS NOT NULL").drop("no_route", "no_label", "route", "label")
     r = reviews.agg(
         F.count(F.lit(1)).alias("review_count"), F.count_if(F.col("status") == "pending").alias("pending_review_count"),
         F.count_if(F.col("status") == "accepted").alias("accepted_review_count"), F.count_if("manually_edited").alias("manual_edit_count"),
     )
-    return one_row(t, predictions.agg(F.count(F.lit(1)).alias("prediction_count")), r, jobs.agg(F.count(F.lit(1)).alias("job_count")))
+    others = one_row(predictions.agg(F.count(F.lit(1)).alias("prediction_count")), r, jobs.agg(F.count(F.lit(1)).alias("job_count")))
+    return figures.join(F.broadcast(others))  # one-row side
+
+
+STATS = [
+    "task_count", "prediction_count", "review_count", "pending_review_count", "accepted_review_count", "job_count", "auto_accept_rate", "review_rate", "hard_example_count",
+    "manual_edit_count", "promoted_to_gold_count", "avg_agreement", "low_consistency_count", "avg_span_length",
+]
+
+
+def dataset_stats(tasks: DataFrame, predictions: DataFrame, reviews: DataFrame, jobs: DataFrame) -> DataFrame:
+    """One row of counts and rates over the four tables, each scanned once."""
+    return dataset_figures(tasks, predictions, reviews, jobs).where("kind = 'all'").select(*STATS)
 
 
 def dataset_stats_by(tasks: DataFrame, *by: str) -> DataFrame:
@@ -50,7 +76,7 @@ def dataset_stats_by(tasks: DataFrame, *by: str) -> DataFrame:
 
 
 def label_distribution(tasks: DataFrame) -> DataFrame:
-    return tasks.select(F.explode("spans").alias("s")).groupBy(F.coalesce("s.label", F.lit("未知")).alias("label")).agg(F.count(F.lit(1)).alias("span_count"))
+    return tasks.select(F.explode("spans").alias("s")).groupBy(F.coalesce("s.label", F.lit(wording.NO_LABEL)).alias("label")).agg(F.count(F.lit(1)).alias("span_count"))
 
 
 def route_distribution(tasks: DataFrame) -> DataFrame:

@@ -38,7 +38,7 @@ def analyze(samples: DataFrame, candidates: DataFrame, run_name: str) -> Bootstr
     review = human_review_queue(candidates, scores)
     contrast = contrastive_select(token_sets(samples), token_sets(pool.where(F.size("spans") > 0)))
     manifest = run_manifest(run_name, sample=samples, candidate=candidates, review_task=review.select("sample_id").distinct(), reflection_plan=items.select("id", "candidate_id").distinct())
-    return BootstrapTables(scores, review, token_stats_report(stats), items, contrast, manifest, bootstrap_report(scores, stats, items))
+    return BootstrapTables(scores, review, token_stats_report(stats), items, contrast, manifest, bootstrap_report(scores, stats, items, manifest, run_name, review))
 
 
 def run(samples: DataFrame, candidates: DataFrame, run_name: str, out: str, mode: str = "error") -> BootstrapTables:
