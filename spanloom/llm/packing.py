@@ -4,8 +4,11 @@ A document longer than a sequence is cut into full pieces and a rest; nothing el
 about ``PER_SHARD`` in each, and a shard is packed in one task: each piece, longest first, into the fullest sequence that takes
 it, then a search over the underfull sequences. It takes the emptiest one and moves its pieces elsewhere, exchanges one of them
 for one or two shorter ones, or two of them for one, each step raising the sum of squared fills, until the sequence is empty or
-no step is left. What stays underfull in up to ``MERGED`` shards is packed once more together, so that many shards cost no
-more than one rest for so many.
+no step is left. The search ends when so many sequences in a row could not be emptied (``TRIES``).
+
+The emptiest sequences of a shard, those that hold nearly all of its free room (``REST`` at most), are then taken apart again with
+those of other shards, ``MERGED`` shards at a time, round after round until all have met. So a group holds a bounded number of pieces
+whatever the number of shards, and the free room of many shards comes together in a few rounds.
 
 NULL and empty texts hold the end id only. Repeated rows are pieces of their own. An empty table gives no rows. Other columns
 are ignored. A sequence holds at most as many pieces as tokens, so no group grows with the data.
@@ -14,8 +17,10 @@ are ignored. A sequence holds at most as many pieces as tokens, so no group grow
 from __future__ import annotations
 
 import bisect
+import heapq
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -28,7 +33,9 @@ from .tokens import encoder
 
 LENGTH = 2048
 PER_SHARD = 25_000
-MERGED = 64
+MERGED = 8
+REST = 256
+TRIES = 16
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -152,55 +159,75 @@ class _Underfull:
         return None
 
 
-def improve(bins: list[list[int]], lengths: np.ndarray, size: int) -> list[list[int]]:
+def improve(bins: list[list[int]], lengths: np.ndarray, size: int, tries: int = TRIES) -> list[list[int]]:
     """Empties underfull sequences, emptiest first, by steps that each raise the sum of squared fills."""
     fill = [int(sum(lengths[i] for i in b)) for b in bins]
     done = [b for b, f in zip(bins, fill) if f == size]
     search = _Underfull([list(b) for b, f in zip(bins, fill) if f < size], lengths, size)
-    tried: set[int] = set()
-    while True:
-        live = [k for k in range(len(search.bins)) if search.bins[k] and k not in tried]
-        free = sum(int(search.rooms[k]) for k in range(len(search.bins)) if search.bins[k])
-        if not live or free < size:  # not even all free room together holds a sequence
-            break
-        b = max(live, key=lambda k: (int(search.rooms[k]), -k))
+    spare = size * len(search.bins) - int(search.n.sum())  # free room of all sequences together
+    order = [(-int(r), k) for k, r in enumerate(search.rooms)]
+    heapq.heapify(order)
+    failed = 0
+    while order and spare >= size and failed < tries:
+        room, b = heapq.heappop(order)
+        if not search.bins[b]:
+            continue
+        if -room != search.rooms[b]:  # filled up since
+            heapq.heappush(order, (-int(search.rooms[b]), b))
+            continue
         while search.bins[b] and search.step(b):
             pass
-        tried.add(b)
+        if search.bins[b]:
+            failed += 1
+        else:
+            failed, spare = 0, spare - size
     return done + [b for b in search.bins if b]
 
 
+def emptiest(bins: list[list[int]], lengths: np.ndarray, size: int, most: int = REST) -> set[int]:
+    """Places of the sequences that are packed once more: emptiest first, until what the others have free is less than half a sequence."""
+    rooms = np.array([size - int(lengths[b].sum()) for b in bins], np.int64)
+    order = np.argsort(-rooms, kind="stable")[: min(most, int((rooms > 0).sum()))]
+    behind = rooms.sum() - np.cumsum(rooms[order])
+    return set(order[: int((behind >= size // 2).sum()) + 1].tolist())
+
+
 def packed(lengths: np.ndarray, size: int = LENGTH) -> list[list[int]]:
     return improve(best_fit(lengths, size), lengths, size)
 
 
 def _group(size: int, keep_rest: bool):
-    """Packs one group; without ``keep_rest`` all sequences are final, else the underfull ones come back without a number."""
+    """Packs one group; without ``keep_rest`` all sequences are final, else the pieces of the emptiest ones come back without a number."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "doc_id", "piece", "start", "ids_crc32"], ascending=[False, True, True, True, True], ignore_index=True)
         lengths = rows["length"].to_numpy(np.int64)
         number, offset = np.full(len(rows), -1, np.int64), np.zeros(len(rows), np.int64)
-        for k, b in enumerate(packed(lengths, size)):
-            if keep_rest and lengths[b].sum() < size:
-                continue
-            number[b] = k
-            offset[b] = np.cumsum(lengths[b]) - lengths[b]
-        return rows.assign(number=number, offset=offset)
+        bins = packed(lengths, size)
+        again = emptiest(bins, lengths, size) if keep_rest else set()
+        for k, b in enumerate(bins):
+            if k not in again:
+                number[b] = k
+                offset[b] = np.cumsum(lengths[b]) - lengths[b]
+        return rows.assign(shard=key[0], number=number, offset=offset)
 
     return run
 
 
 def pack(parts: DataFrame, size: int = LENGTH, per_shard: int = PER_SHARD) -> DataFrame:
     """Pieces with sequence_id and offset. ``parts`` should be stored: it is counted first."""
-    shards = max(1, round(parts.count() / per_shard))
+    groups = max(1, round(parts.count() / per_shard))
     placed = PIECES + ", shard long, number long, offset long"
-    dealt = parts.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)))
-    first = stored(dealt.groupBy("shard").applyInPandas(_group(size, True), placed))
-    rest = first.where("number < 0").withColumn("shard", F.floor(F.col("shard") / MERGED)).groupBy("shard").applyInPandas(_group(size, False), placed)
-    number = lambda df, second: df.withColumn("sequence_id", (F.col("shard") * 2 + second) * (1 << 32) + F.col("number"))
-    both = number(first.where("number >= 0"), 0).unionByName(number(rest, 1))
-    return both.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    rows = parts.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
+    finished, level = [], 0
+    while True:
+        rows = stored(rows.groupBy("shard").applyInPandas(_group(size, groups > 1), placed))
+        finished.append(rows.where("number >= 0").withColumn("sequence_id", (F.col("shard") * 64 + level) * (1 << 32) + F.col("number")))
+        if groups == 1:
+            break
+        groups, level = -(-groups // MERGED), level + 1
+        rows = rows.where("number < 0").drop("number", "offset").withColumn("shard", F.floor(F.col("shard") / MERGED))
+    return reduce(DataFrame.unionByName, finished).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

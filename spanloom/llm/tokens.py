@@ -1,9 +1,9 @@
 """Token ids of whole texts by the tokenizers library, with repeated words encoded once per worker.
 
 The tokenizer of the queries lower-cases, splits at white space and into runs of letters, single digits and runs of signs, and
-merges inside those pieces only. So a piece has the same ids wherever it stands, and its ids are kept. That short cut is taken
-for texts of letters and signs below U+0250, where lower case and composition go character by character; every other text, and
-every tokenizer that is built otherwise, is encoded as a whole. Both ways give the ids of ``Tokenizer.encode``.
+merges inside those pieces only. So what stands between blanks has the same ids wherever it stands, and its ids are kept. That short
+cut is taken for texts of letters and signs below U+0250, where lower case and composition go character by character; every other
+text, and every tokenizer that is built otherwise, is encoded as a whole. Both ways give the ids of ``Tokenizer.encode``.
 """
 
 from __future__ import annotations
@@ -16,7 +16,8 @@ from array import array
 
 import numpy as np
 
-KEPT = 300_000  # pieces a worker remembers twice over
+KEPT = 300_000  # words a worker remembers twice over
+ENDS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # signs of one run after the letters of a word; an apostrophe may begin a piece of its own
 
 # The parts of the tokenizer file under which pieces are independent.
 NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
@@ -73,33 +74,60 @@ class Encoder:
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Takes in the ids of new pieces. When full, the known ones become the older ones, from which those still in use come back."""
+    def _piece(self, piece: str) -> bytes:
+        word = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+
+    def _word(self, word: str) -> bytes | None:
+        """Ids of what stands between blanks; None where it has a sign outside the short cut."""
+        if word.isascii():
+            core = word.rstrip(ENDS)
+            if core.isalpha() and "<|" not in word:  # letters, and after them one run of signs or none
+                ids = self.known.get(core) or self._piece(core)
+                if len(core) < len(word):
+                    end = word[len(core) :]
+                    if end not in self.known:
+                        self.known[end] = self._piece(end)
+                    ids += self.known[end]
+                return ids
+        if _OTHER.search(word):
+            return None
+        return b"".join([self._piece(p) for p in _PIECES.findall(word)])
+
+    def _short_cut(self, words: list[str]) -> bytes | None:
+        """Ids of words between blanks; None where one has a sign outside the short cut. When full, the known ones become the older ones, from which those still in use come back."""
         if len(self.known) >= KEPT:
             self.known, self.older = {}, self.known
-        known = self.known
-        for piece in [p for p in pieces if p not in known]:
-            if piece not in known:
-                ids = self.older.get(piece)
+        known, older = self.known, self.older
+        parts = list(map(known.get, words))
+        if None in parts:
+            for i, ids in enumerate(parts):
                 if ids is None:
-                    word = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
-                    ids = array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
-                known[piece] = ids
+                    word = words[i]
+                    ids = known.get(word)
+                    if ids is None:
+                        ids = older.get(word)
+                        if ids is None:
+                            ids = self._word(word)
+                            if ids is None:
+                                return None
+                        known[word] = ids
+                    parts[i] = ids
+        return b"".join(parts)
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers, without special tokens."""
         if not text:
             return b""
-        if not self.by_piece or _OTHER.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        pieces = _PIECES.findall(text.lower())
-        known = self.known
-        try:
-            return b"".join([known[p] for p in pieces])
-        except KeyError:
-            self._learn(pieces)
-            known = self.known
-            return b"".join([known[p] for p in pieces])
+        if self.by_piece:
+            low = text.lower()
+            words = low.split()
+            # Only these four blanks: where the text is cut at any other, more is gone than they count for.
+            if len(low) - sum(map(len, words)) == low.count(" ") + low.count("\n") + low.count("\t") + low.count("\r"):
+                ids = self._short_cut(words)
+                if ids is not None:
+                    return ids
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def encoder(path: str) -> Encoder:
