@@ -361,3 +361,34 @@ def test_warc_source_headers(spark):
     copied = {k: [x.removeprefix("source-http-header: ") for x in b.split("\r\n") if x.startswith("source-http-header: ")] for k, b in blocks.items()}
     assert copied == {1: ["Server: x/1", "Set-Cookie: a=1", "Set-Cookie: b=  2", "Empty: "], 2: [], 3: []}
     assert all(r["content_length"] == len((blocks[r["page_id"]] + "\r\n").encode()) or r["content_length"] == len(blocks[r["page_id"]].encode()) for r in records)
+
+
+def test_pairs_of_segments_are_settled_as_sorting_would():
+    """Pairs with the gram once, twice, at an end, or with equal letters all over, against suffix sorting."""
+    rng = random.Random(4)
+    long, gram = 50, 24
+    texts, docs, grams = [], [], []
+    for k in range(300):
+        g = bytes(rng.choice(b"ab") for _ in range(gram)) if k % 3 else bytes(rng.choice(b"abcdefgh") for _ in range(gram))
+        left, right = (bytes(rng.choice(b"ab") for _ in range(26)) for _ in range(2))
+        for side in range(2):
+            a, b = rng.randint(13, 26), rng.randint(13, 26)
+            x, y = bytearray(left[26 - a :]), bytearray(right[:b])
+            if side and rng.random() < 0.7:
+                x[rng.randrange(len(x))] = 99
+            if side and rng.random() < 0.7:
+                y[rng.randrange(len(y))] = 99
+            texts.append(bytes(x) + g + bytes(y) + (g if k % 11 == 0 else b""))
+            docs.append(rng.randint(1, 5))
+        _, start, size, _ = suffix.runs(np.frombuffer(g, np.uint8), gram, gram)
+        grams += [suffix.runs(np.frombuffer(g, np.uint8), gram, gram)[0][0]] * 2
+    docs, grams = np.array(docs), np.array(grams, np.uint64)
+    seg, place, first, ok = suffix._settled(texts, docs, grams, long, gram)
+    assert 200 < ok.sum() < 300
+    got = {(s, p): f for s, p, f in zip(seg.tolist(), place.tolist(), first.tolist()) if f < docs[s]}
+    want = {}
+    for k in np.flatnonzero(ok).tolist():
+        for s, p, f in zip(*suffix._first_holder(texts[2 * k : 2 * k + 2], docs[2 * k : 2 * k + 2], np.zeros(2, np.int64), long)):
+            if f < docs[2 * k + s] and grams[2 * k] in suffix.runs(np.frombuffer(texts[2 * k + s][p : p + long], np.uint8), gram, gram)[0]:
+                want[2 * k + s, p] = f
+    assert got == want and len(got) > 100
