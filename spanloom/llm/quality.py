@@ -1,10 +1,12 @@
 """Quality rules whose limits follow each language and source instead of fixed cutoffs.
 
-Every document gets a few whole-number measures. Their distributions are kept as mergeable quantile sketches: counts of
-rounded-down values, where a value keeps its seven leading bits, so a bucket is under 1/64 wide and two sketches merge by
-adding counts. The sketch of a (language, source) group gives its quartiles; a group of few documents takes the merged sketch
-of its language, a rare language that of all documents. A document fails a rule when a measure lies farther outside the
-quartiles of its group than ``reach`` times their distance, where distances under the rule's least spread count as that.
+Every document gets a few whole-number measures. Their distributions over the documents that pass the base rules are kept as mergeable
+quantile sketches: counts of rounded-down values, where a value keeps its seven leading bits, so a bucket is under 1/64 wide and
+two sketches merge by adding counts. A limit of a (language, source) group lies beyond the upper tail of the group's own sketch, by a
+multiple of the spread of the values above zero: most rates are zero for most documents, and what the others have says how far apart
+values usually are. A group of few documents takes the merged sketch of its language, a rare language that of all documents, and
+so it goes for the spread where few values are above zero. Only where those fall into fewer than ``KINDS`` buckets a constant stands for the
+spread; ``bounded`` tells in how many groups.
 
 Everything is DataFrame expressions or SQL; a text is read in place and never shuffled. NULL text has no words. NULL language or
 source is a group of its own. Repeated rows are judged alike. Other columns of the input are ignored or kept as they are.
@@ -21,9 +23,9 @@ from .shared import stored
 BLANK = r"\x20\x09-\x0D"
 SYMBOLS = "#*$%&|<>"
 MIN_DOCS = 100
-REACH = 4
-# Measure: (least spread, limit below, limit above).
-RULES = {"symbol_rate": (8, False, True), "dup_line_rate": (110, False, True), "repeat_rate": (80, False, True), "word_length": (40, True, True)}
+KINDS = 4
+# Measure: (quantile of the group's sketch in percent from which a limit is reckoned, spreads beyond it, spread where values are too few, limit below).
+RULES = {"symbol_rate": (95, 1, 32, False), "dup_line_rate": (95, 3, 110, False), "repeat_rate": (95, 4, 80, False), "word_length": (75, 8, 20, True)}
 
 
 def _repeated(hashes: Column) -> Column:
@@ -88,49 +90,71 @@ WITH merged AS (
   UNION ALL SELECT 2, lang, NULL, rule, bucket, sum(n) FROM {sketch} GROUP BY lang, rule, bucket
   UNION ALL SELECT 1, NULL, NULL, rule, bucket, sum(n) FROM {sketch} GROUP BY rule, bucket
 ), ranked AS (
-  SELECT *, sum(n) OVER (PARTITION BY lvl, lang, source, rule ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY lvl, lang, source, rule) AS total FROM merged
-), quartiles AS (
-  SELECT lvl, lang, source, rule, max(total) AS total, min(CASE WHEN 4 * upto >= total THEN bucket END) AS q1, min(CASE WHEN 4 * upto >= 3 * total THEN bucket END) AS q3
+  SELECT *, sum(n) OVER (PARTITION BY lvl, lang, source, rule ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY lvl, lang, source, rule) AS total,
+         sum(CASE WHEN bucket > 0 THEN n ELSE 0 END) OVER (PARTITION BY lvl, lang, source, rule ORDER BY bucket) AS upto_p,
+         sum(CASE WHEN bucket > 0 THEN n ELSE 0 END) OVER (PARTITION BY lvl, lang, source, rule) AS total_p
+  FROM merged
+), quantiles AS (
+  SELECT lvl, lang, source, rule, max(total) AS total, min(CASE WHEN 4 * upto >= total THEN bucket END) AS low, min(CASE WHEN 100 * upto >= {tail} * total THEN bucket END) AS high,
+         max(total_p) AS total_p, sum(CASE WHEN bucket > 0 THEN 1 ELSE 0 END) AS kinds,
+         coalesce(min(CASE WHEN bucket > 0 AND 4 * upto_p >= 3 * total_p THEN bucket END) - min(CASE WHEN bucket > 0 AND 4 * upto_p >= total_p THEN bucket END), 0) AS spread
   FROM ranked GROUP BY lvl, lang, source, rule
 ), chosen AS (
   SELECT g.lang, g.source, g.rule,
-         CASE WHEN g.total >= {min_docs} THEN g.q1 WHEN l.total >= {min_docs} THEN l.q1 ELSE a.q1 END AS q1,
-         CASE WHEN g.total >= {min_docs} THEN g.q3 WHEN l.total >= {min_docs} THEN l.q3 ELSE a.q3 END AS q3
-  FROM quartiles g
-  JOIN quartiles l ON l.lvl = 2 AND l.rule = g.rule AND l.lang IS NOT DISTINCT FROM g.lang
-  JOIN quartiles a ON a.lvl = 1 AND a.rule = g.rule
+         CASE WHEN g.total >= {min_docs} THEN g.low WHEN l.total >= {min_docs} THEN l.low ELSE a.low END AS low,
+         CASE WHEN g.total >= {min_docs} THEN g.high WHEN l.total >= {min_docs} THEN l.high ELSE a.high END AS high,
+         CASE WHEN g.total_p >= {min_docs} THEN g.kinds WHEN l.total_p >= {min_docs} THEN l.kinds ELSE a.kinds END AS kinds,
+         CASE WHEN g.total_p >= {min_docs} THEN g.spread WHEN l.total_p >= {min_docs} THEN l.spread ELSE a.spread END AS spread
+  FROM quantiles g
+  JOIN quantiles l ON l.lvl = 2 AND l.rule = g.rule AND l.lang IS NOT DISTINCT FROM g.lang
+  JOIN quantiles a ON a.lvl = 1 AND a.rule = g.rule
   WHERE g.lvl = 3
-)
-SELECT lang, source, {fences} FROM chosen GROUP BY lang, source
+), reckoned AS (SELECT lang, source, rule, low, high, CASE WHEN kinds >= {kinds} AND spread > 0 THEN spread ELSE {least} END AS spread, kinds < {kinds} OR spread = 0 AS bounded FROM chosen)
+SELECT lang, source, {fences} FROM reckoned GROUP BY lang, source
 """
 
 
+def _by_rule(place: int) -> str:
+    return "CASE rule " + " ".join(f"WHEN '{name}' THEN {r[place]}" for name, r in RULES.items()) + " END"
+
+
 def _fences() -> str:
-    out = []
-    for name, (least, low, high) in RULES.items():
-        spread = f"{REACH} * greatest(q3 - q1, {least})"
+    out = ["CAST(sum(CASE WHEN bounded THEN 1 ELSE 0 END) AS BIGINT) AS bounded_rules"]
+    for name, (_, reach, _, low) in RULES.items():
         if low:
-            out.append(f"CAST(max(CASE WHEN rule = '{name}' THEN q1 - {spread} END) AS BIGINT) AS {name}_min")
-        if high:
-            out.append(f"CAST(max(CASE WHEN rule = '{name}' THEN q3 + {spread} END) AS BIGINT) AS {name}_max")
+            out.append(f"CAST(max(CASE WHEN rule = '{name}' THEN low - {reach} * spread END) AS BIGINT) AS {name}_min")
+        out.append(f"CAST(max(CASE WHEN rule = '{name}' THEN high + {reach} * spread END) AS BIGINT) AS {name}_max")
     return ", ".join(out)
 
 
+def _limits(sketch: str, min_docs: int) -> str:
+    parts = {"{sketch}": sketch, "{fences}": _fences(), "{min_docs}": str(int(min_docs)), "{tail}": _by_rule(0), "{least}": _by_rule(2), "{kinds}": str(KINDS)}
+    text = _LIMITS
+    for mark, part in parts.items():
+        text = text.replace(mark, part)
+    return text
+
+
 def _failed() -> str:
-    tests = [f"m.{name} < t.{name}_min" for name, r in RULES.items() if r[1]] + [f"m.{name} > t.{name}_max" for name, r in RULES.items() if r[2]]
+    tests = [f"m.{name} < t.{name}_min" for name, r in RULES.items() if r[3]] + [f"m.{name} > t.{name}_max" for name in RULES]
     return " OR ".join(tests)
 
 
 def sketch(measures: DataFrame) -> DataFrame:
-    """Bucket counts of each measure per language and source."""
+    """Bucket counts of each measure per language and source, over the documents that pass the base rules."""
     pairs = F.array(*[F.struct(F.lit(name).alias("rule"), F.col(name).alias("v")) for name in RULES])
-    values = measures.select("lang", "source", F.explode(pairs).alias("p")).select("lang", "source", "p.rule", "p.v")
+    values = measures.where("NOT base_failed").select("lang", "source", F.explode(pairs).alias("p")).select("lang", "source", "p.rule", "p.v")
     return measures.sparkSession.sql(_SKETCH, values=values)
 
 
 def limits(sketches: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """The limits of each (language, source) group: at most one row per group."""
-    return sketches.sparkSession.sql(_LIMITS.replace("{fences}", _fences()).replace("{min_docs}", str(int(min_docs))), sketch=sketches)
+    return sketches.sparkSession.sql(_limits("{sketch}", min_docs), sketch=sketches)
+
+
+def bounded(table: DataFrame) -> DataFrame:
+    """How many groups have limits, and for how many of their rules a constant stands for the spread."""
+    return table.agg(F.count(F.lit(1)).alias("groups"), F.coalesce(F.sum("bounded_rules"), F.lit(0)).alias("bounded_rules"))
 
 
 def judge(measures: DataFrame, table: DataFrame) -> DataFrame:
@@ -185,8 +209,8 @@ measures AS (
 
 def judged_sql(docs: str = "documents") -> str:
     """DuckDB statement for the rows of ``rated`` over a table."""
-    values = " UNION ALL ".join(f"SELECT lang, source, '{name}' AS rule, {name} AS v FROM measures" for name in RULES)
-    table = _LIMITS.format(sketch=f"({_SKETCH.format(values=f'({values})')})", fences=_fences(), min_docs=MIN_DOCS)
+    values = " UNION ALL ".join(f"SELECT lang, source, '{name}' AS rule, {name} AS v FROM measures WHERE NOT base_failed" for name in RULES)
+    table = _limits(f"({_SKETCH.format(values=f'({values})')})", MIN_DOCS)
     return (
         f"WITH {MEASURES_SQL.replace('{docs}', docs)}, limits AS ({table}) SELECT m.*, NOT m.base_failed AND NOT coalesce({_failed()}, false) AS kept "
         "FROM measures m LEFT JOIN limits t ON m.lang IS NOT DISTINCT FROM t.lang AND m.source IS NOT DISTINCT FROM t.source"

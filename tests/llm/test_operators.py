@@ -10,6 +10,8 @@ import duckdb
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from spanloom.llm import binary, decontaminate, jaccard, langid, lyndon, packing, quality, secrets, suffix, toxicity, warc
 from spanloom.llm.components import components
 from spanloom.llm.shared import scratch
@@ -392,3 +394,26 @@ def test_pairs_of_segments_are_settled_as_sorting_would():
             if f < docs[2 * k + s] and grams[2 * k] in suffix.runs(np.frombuffer(texts[2 * k + s][p : p + long], np.uint8), gram, gram)[0]:
                 want[2 * k + s, p] = f
     assert got == want and len(got) > 100
+
+
+def test_quality_limits_differ_between_groups(spark):
+    """Every rule has several limits over the groups of a table, and few of them rest on a constant."""
+    from spanloom.llm.shared import stored
+
+    measures = stored(quality.measure(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")))
+    table = stored(quality.limits(stored(quality.sketch(measures))))
+    for name in quality.RULES:
+        assert table.select(f"{name}_max").distinct().count() >= 4, name
+    told = quality.bounded(table).first()
+    assert told["groups"] == 80 and told["bounded_rules"] <= 0.1 * 4 * 80
+    verdicts = quality.judge(measures, table).where("NOT base_failed").groupBy((F.col("symbol_rate") > 300).alias("junk")).agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()
+    kept = {r["junk"]: r["kept"] for r in verdicts}
+    assert kept[False] > 0.98 and kept[True] < 0.05
+
+
+def test_quality_constant_where_values_are_few(spark):
+    rng = random.Random(2)
+    rows = [(k, sentence(rng, 80), "en", "a", 0) for k in range(120)]
+    table = quality.limits(quality.sketch(quality.measure(frame(spark, rows))))
+    assert quality.bounded(table).first()["bounded_rules"] >= 2 and table.first()["symbol_rate_max"] == 32
+    assert quality.bounded(quality.limits(quality.sketch(quality.measure(frame(spark, []))))).first()["groups"] == 0
