@@ -417,3 +417,38 @@ def test_quality_constant_where_values_are_few(spark):
     table = quality.limits(quality.sketch(quality.measure(frame(spark, rows))))
     assert quality.bounded(table).first()["bounded_rules"] >= 2 and table.first()["symbol_rate_max"] == 32
     assert quality.bounded(quality.limits(quality.sketch(quality.measure(frame(spark, []))))).first()["groups"] == 0
+
+
+def test_secret_forms_held_out(spark):
+    """Precision and recall per form, none of whose values was seen in training and some of whose forms were not: other providers, other names, other words before a digest."""
+    rng = random.Random(31)
+    any_ = lambda n, kind="abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789": "".join(rng.choice(kind) for _ in range(n))
+    hex_ = lambda n: any_(n, "0123456789abcdef")
+    good = {
+        "provider, seen": lambda: f"key AKIA{any_(16, 'ABCDEFGHJKLMNPQRSTUVWXYZ234567')} here", "provider, new": lambda: f"use {rng.choice(['npm_', 'hf_', 'SG.', 'dop_v1_'])}{any_(34)}7 now",
+        "unquoted": lambda: f"password: Hunter{rng.randint(10, 99)}{any_(5)}9\n", "environment": lambda: f"export DB_PASSWORD={any_(12)}7 ", "bearer": lambda: f"authorization: bearer {any_(30)}4 ",
+        "json": lambda: f'{{"client_secret": "{any_(22)}3"}}', "address": lambda: f"amqp://guest:{any_(14)}5@queue.example/ ", "new name": lambda: f"smtp_credential = '{any_(18)}6'",
+    }
+    none = {
+        "digest": lambda: f"image sha256:{hex_(64)} ", "new digest": lambda: f"blake2b={hex_(64)} ", "commit": lambda: f"fixed in commit {hex_(40)}.", "new commit": lambda: f"parent {hex_(40)}\n",
+        "uuid": lambda: f"request {hex_(8)}-{hex_(4)}-{hex_(4)}-{hex_(4)}-{hex_(12)} ", "path": lambda: f"https://h.example/docs/guide/v{rng.randint(1, 9)}/install{rng.randint(1, 99)}.html ",
+        "number": lambda: f"card 4{any_(15, '0123456789')} ", "name": lambda: f"def parse_report_table_{rng.randint(1, 99)}(x)",
+    }
+    docs = frame(spark, [(k, f'{sentence(rng, 30)} token = "{hex_(40)}" {sentence(rng, 9)}', "en", "a", 0) for k in range(60)]
+                 + [(100 + k, f"{sentence(rng, 30)} mail user@mail{k}.example.com card 4{k:015d} {sentence(rng, 9)}", "en", "a", 0) for k in range(60)])
+    model = secrets.trained(docs, secrets.findings(docs))
+
+    def share(make):
+        hits = 0
+        for _ in range(50):
+            text = f"{sentence(rng, 8)} {make()} {sentence(rng, 4)}"
+            places = secrets.candidates(text)
+            rows = [(text[s:e], text[max(0, s - secrets.AROUND) : s], text[e : e + secrets.AROUND]) for s, e in places]
+            hits += bool((secrets.scores(model, rows) >= 0.5).any())
+        return hits / 50
+
+    found, flagged = {n: share(f) for n, f in good.items()}, {n: share(f) for n, f in none.items()}
+    print("recall", found, "flagged", flagged)
+    assert min(found.values()) >= 0.85 and sum(found.values()) / len(found) >= 0.95, found
+    assert max(flagged.values()) <= 0.1, flagged
+    assert sum(found.values()) / (sum(found.values()) + sum(flagged.values())) >= 0.95
