@@ -1,9 +1,12 @@
 """Join of texts whose word shingles overlap by a Jaccard similarity of 0.8 or more, over a MinHash LSH forest.
 
-Every tree of the forest orders texts by a signature of its own, so texts with a common prefix are neighbours in it. Matching
-starts from the whole signature of a tree and shortens the prefix, one value at a time, until a pair at the threshold shares a
-prefix in some tree with the target probability. Shorter prefixes contain the matches of longer ones, so the groups are formed
-once, at the length reached. Groups only say who is compared: similarity is then counted on the whole shingle sets.
+Every text has a signature of ``FULL`` values in each tree of the forest; a node of a tree is a prefix of signatures, and texts below a
+node meet in it. Matching starts at whole signatures and shortens the prefix one value at a time, which joins neighbouring nodes, until
+the target recall is reached in two ways: by the probability that a pair at the threshold meets in some tree, and as measured on
+real pairs. For the latter ``SAMPLE`` texts are compared exactly with all texts in the pass that makes the signatures, and of every
+pair that reaches the threshold the longest prefix shared in any tree is kept; only their counts leave the tasks. Shorter prefixes contain
+the matches of longer ones, so the groups are formed once, at the length reached. Groups only say who is compared: similarity is
+then counted on the whole shingle sets.
 
 Texts of equal words are one class and go on as one. Classes that meet in some group form neighbourhoods (components of the
 group stars, found by joins). A neighbourhood is compared in blocks of bounded count and bytes: each pair of blocks is one group
@@ -24,15 +27,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import gram_hashes, mix, powers, stored, word_hashes
+from .shared import gram_hashes, mix, sampled, stored, word_hashes
 
 SHINGLE = 5
 THRESHOLD = (4, 5)
 TREES, FULL, RECALL = 32, 12, 0.999
+SAMPLE = 256
 BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 
 
@@ -52,20 +56,15 @@ def shingles(data: bytes) -> tuple[np.ndarray, bytes | None]:
     return np.unique(gram_hashes(words, min(SHINGLE, len(words)))), hashlib.md5(words.tobytes()).digest()
 
 
-def prefixes(grams: np.ndarray, factors: np.ndarray, offsets: np.ndarray, trees: int) -> np.ndarray:
-    """One hash for each tree: its number and the matched prefix of the text's signature in it."""
+def signature(grams: np.ndarray, factors: np.ndarray, offsets: np.ndarray, trees: int) -> np.ndarray:
+    """A row of 16-bit values for each tree, from least hashes."""
     x = (grams >> np.uint64(32)).astype(np.uint32)
     least = np.full(len(factors), 0xFFFFFFFF, np.uint32)
     for at in range(0, len(x), 2048):
         h = factors[:, None] * x[None, at : at + 2048]
         h += offsets[:, None]
         np.minimum(least, h.min(axis=1), out=least)
-    signature = least.reshape(trees, -1).astype(np.uint64)
-    up, _ = powers(signature.shape[1] + 2)
-    h = np.arange(1, trees + 1, dtype=np.uint64) * up[1]
-    for j in range(signature.shape[1]):
-        h += mix(signature[:, j] + np.uint64(1)) * up[j + 2]
-    return mix(h).view(np.int64)
+    return (mix(least.astype(np.uint64) + np.uint64(1)) & np.uint64(0xFFFF)).astype(np.uint16).reshape(trees, -1)
 
 
 def _text_bytes(value) -> bytes:
@@ -73,23 +72,85 @@ def _text_bytes(value) -> bytes:
     return text.encode() if text else b""
 
 
-def signed(docs: DataFrame, trees: int, length: int) -> DataFrame:
-    """doc_id, digest of the words, number of shingles and one prefix hash per tree."""
+class Sampled:
+    """Shingles and signatures of sampled texts, to find their exact neighbours among all texts."""
+
+    def __init__(self, texts: list[bytes], sign):
+        sets = {}
+        for text in texts:
+            grams, key = shingles(text)
+            if key:
+                sets[key] = grams
+        self.keys = list(sets)
+        self.sizes = np.array([len(g) for g in sets.values()], np.int64)
+        self.signs = np.array([sign(g) for g in sets.values()])
+        flat = np.concatenate(list(sets.values())) if sets else np.empty(0, np.uint64)
+        order = np.argsort(flat, kind="stable")
+        self.grams, self.owner = flat[order], np.repeat(np.arange(len(sets)), self.sizes)[order] if sets else np.empty(0, np.int64)
+
+    def levels(self, grams: np.ndarray, key: bytes, sign: np.ndarray, threshold: tuple[int, int]) -> list[int]:
+        """For each sampled text of other words that is as similar as the threshold: the longest prefix shared in any tree."""
+        low, high = np.searchsorted(self.grams, grams, "left"), np.searchsorted(self.grams, grams, "right")
+        many = high - low
+        if not many.any():
+            return []
+        at = np.repeat(low - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
+        shared = np.bincount(self.owner[at], minlength=len(self.keys))
+        num, den = threshold
+        near = [k for k in np.flatnonzero(shared * (num + den) >= num * (self.sizes + len(grams))) if self.keys[k] != key]
+        return [int(np.logical_and.accumulate(self.signs[k] == sign, axis=1).sum(axis=1).max()) for k in near]
+
+
+def signed(docs: DataFrame, trees: int = TREES, full: int = FULL, threshold: tuple[int, int] = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
+    """doc_id, digest of the words, number of shingles, the signature in each tree, and the prefixes shared with sampled neighbours."""
     rng = np.random.default_rng(20240601)
-    factors = rng.integers(0, 1 << 32, trees * length, dtype=np.uint32) | np.uint32(1)
-    offsets = rng.integers(0, 1 << 32, trees * length, dtype=np.uint32)
+    factors = rng.integers(0, 1 << 32, trees * full, dtype=np.uint32) | np.uint32(1)
+    offsets = rng.integers(0, 1 << 32, trees * full, dtype=np.uint32)
+    some = sampled(docs.where("doc_id IS NOT NULL").select("doc_id", "text"), "doc_id", sample, docs.count()).collect() if sample else []
+    texts = sorted({(r["text"] or "").encode() for r in some})
+    known = Sampled(texts, lambda g: signature(g, factors, offsets, trees))
+    parts = (known.keys, known.sizes, known.signs, known.grams, known.owner)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near = Sampled([], None)
+        near.keys, near.sizes, near.signs, near.grams, near.owner = parts
         for batch in batches:
-            keys, counts, bands = [], [], []
+            keys, counts, signs, levels = [], [], [], []
             for value in batch.column(1):
                 grams, key = shingles(_text_bytes(value))
+                sign = signature(grams, factors, offsets, trees) if key else None
                 keys.append(key)
                 counts.append(len(grams))
-                bands.append(prefixes(grams, factors, offsets, trees) if key else None)
-            yield pa.record_batch([batch.column(0), pa.array(keys, pa.binary()), pa.array(counts, pa.int32()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "key", "n", "bands"])
+                signs.append([row.astype("<u2").tobytes() for row in sign] if key else None)
+                levels.append(near.levels(grams, key, sign, threshold) if key else [])
+            yield pa.record_batch([batch.column(0), pa.array(keys, pa.binary()), pa.array(counts, pa.int32()), pa.array(signs, pa.list_(pa.binary())), pa.array(levels, pa.list_(pa.int32()))],
+                                  names=["doc_id", "key", "n", "trees", "levels"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, key binary, n int, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, key binary, n int, trees array<binary>, levels array<int>")
+
+
+def shared_prefixes(rows: DataFrame) -> dict[int, int]:
+    """How many of the sampled pairs share a longest prefix of each length; a row per length."""
+    return {r["level"]: r["count"] for r in rows.select(F.explode("levels").alias("level")).groupBy("level").count().collect()}
+
+
+def recall_at(length: int, shared: dict[int, int]) -> float:
+    """Share of the sampled pairs that meet at a prefix length; 1 where there are none."""
+    total = sum(shared.values())
+    return sum(n for level, n in shared.items() if level >= length) / total if total else 1.0
+
+
+def reached(shared: dict[int, int], trees: int = TREES, full: int = FULL, threshold: tuple[int, int] = THRESHOLD, recall: float = RECALL) -> int:
+    """The prefix length at which shortening ends: the model's, or less where real pairs ask for it."""
+    length = matched_prefix(trees, full, threshold, recall)
+    while length > 1 and recall_at(length, shared) < recall:
+        length -= 1
+    return length
+
+
+def _nodes(length: int) -> Column:
+    """For each tree the node at a depth: a hash of the tree and the first values of the signature."""
+    return F.transform("trees", lambda x, t: F.xxhash64(t, F.substring(x, 1, 2 * length)))
 
 
 def _with_shingles(rows: DataFrame) -> DataFrame:
@@ -178,9 +239,10 @@ def _compare(num: int, den: int):
 
 def linked(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, trees: int = TREES, full: int = FULL, recall: float = RECALL) -> DataFrame:
     """One row per document row: doc_id, copy_id (least document of the same words), class_id (least document reached over links) and n_links."""
-    rows = stored(signed(docs, trees, matched_prefix(trees, full, threshold, recall)))
+    rows = stored(signed(docs, trees, full, threshold))
+    length = reached(shared_prefixes(rows), trees, full, threshold, recall)
     classes = stored(
-        rows.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands"))
+        rows.where("key IS NOT NULL AND doc_id IS NOT NULL").withColumn("bands", _nodes(length)).groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands"))
     )
     spread = classes.select("rep", F.explode("bands").alias("band"))
     groups = spread.groupBy("band").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most").select("band", "least")

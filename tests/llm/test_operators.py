@@ -452,3 +452,34 @@ def test_secret_forms_held_out(spark):
     assert min(found.values()) >= 0.85 and sum(found.values()) / len(found) >= 0.95, found
     assert max(flagged.values()) <= 0.1, flagged
     assert sum(found.values()) / (sum(found.values()) + sum(flagged.values())) >= 0.95
+
+
+def test_forest_recall_is_measured(spark):
+    """Recall on all pairs that reach the threshold, at the length where shortening ended; longer prefixes find less. Most pairs lie close above 0.8."""
+    rng = random.Random(12)
+    texts = []
+    for _ in range(60):
+        base = sentence(rng, 200).split()
+        for _ in range(6):
+            w = list(base)
+            for at in rng.sample(range(5, 195, 10), 2):  # each changes five shingles
+                w[at] = sentence(rng, 1) + "x"
+            texts.append(" ".join(w))
+    made = frame(spark, [(k, t, "en", "a", 0) for k, t in enumerate(texts)])
+    for docs, some in ((made, 300), (spark.read.parquet(f"{SF}/documents.parquet"), 10)):
+        rows = jaccard.signed(docs, sample=1000).cache()
+        shared = jaccard.shared_prefixes(rows)
+        length = jaccard.reached(shared)
+        assert sum(shared.values()) > some and jaccard.recall_at(length, shared) >= jaccard.RECALL
+        n, _ = links([(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()])
+        got = {r["doc_id"]: r["n_links"] for r in jaccard.linked(docs).collect()}
+        print("recall", sum(got.values()) / sum(n.values()), "prefix", length, "pairs", shared)
+        assert sum(got.values()) >= jaccard.RECALL * sum(n.values()) and all(got[i] <= n[i] for i in got)
+        if docs is made:
+            assert jaccard.recall_at(jaccard.FULL, shared) < 1
+
+
+def test_prefixes_are_shortened_for_real_pairs():
+    assert jaccard.reached({}) == jaccard.matched_prefix() == jaccard.reached({12: 5, 9: 3})
+    assert jaccard.reached({12: 990, 4: 10}) == 4 and jaccard.reached({1: 1}) == 1
+    assert jaccard.recall_at(5, {12: 3, 4: 1}) == 0.75
