@@ -56,7 +56,12 @@ def gold_compare(spark, d):
     return c.select("task_id", "candidate_id", "gold_score", "gold_route", F.size("missing_spans").cast("long").alias("missing_count"), F.size("extra_spans").cast("long").alias("extra_count"))
 
 
-@query("span_difference", with_("gmiss") + "SELECT task_id, run, side, st AS start, en AS \"end\", txt AS text, label FROM gmiss")
+@query("span_difference", with_("gold", "runs3", "cspans") + """
+, g AS MATERIALIZED (SELECT id, st, en, txt, label, implicit FROM gold), r AS MATERIALIZED (SELECT sample_id, run FROM runs3), c AS MATERIALIZED (SELECT sample_id, run, st, en, txt, label, implicit FROM cspans)
+SELECT x.id AS task_id, x.run, 'missing' AS side, x.st AS start, x.en AS "end", x.txt AS text, x.label FROM (SELECT g.*, r.run FROM g JOIN r ON g.id = r.sample_id) x
+  ANTI JOIN c ON c.sample_id = x.id AND c.run = x.run AND c.st = x.st AND c.en = x.en AND c.txt = x.txt AND c.label = x.label AND c.implicit = x.implicit
+UNION ALL SELECT c.sample_id, c.run, 'extra', c.st, c.en, c.txt, c.label FROM c
+  ANTI JOIN g ON g.id = c.sample_id AND c.st = g.st AND c.en = g.en AND c.txt = g.txt AND c.label = g.label AND c.implicit = g.implicit""")
 def span_difference(spark, d):
     c = _compared(spark, d)
     side = lambda name: F.transform(f"{name}_spans", lambda s: F.struct(F.lit(name).alias("side"), s["start"].cast("long").alias("start"), s["end"].cast("long").alias("end"), s["text"].alias("text"), s["label"].alias("label")))
@@ -173,9 +178,9 @@ def audit_manifest(spark, d):
 
 
 @query("candidates_with_samples", with_("runs3") + """
-SELECT r.sample_id, r.candidate_id, length(d.text)::BIGINT AS text_chars FROM runs3 r JOIN documents d ON r.doc_id = d.doc_id WHERE d.lang <> 'fr'""")
+SELECT r.sample_id, r.candidate_id, length(d.text)::BIGINT AS text_chars FROM runs3 r JOIN documents d ON r.doc_id = d.doc_id""")
 def candidates_with_samples(spark, d):
-    c = jn.candidates_with_samples(candidates(spark, d), samples(spark, d).where("lang <> 'fr'"))
+    c = jn.candidates_with_samples(candidates(spark, d), samples(spark, d))
     return c.select("sample_id", "candidate_id", F.length("text").cast("long").alias("text_chars"))
 
 
@@ -187,13 +192,12 @@ def pending_tasks(spark, d):
 
 @query("example_pool", with_("tfinal", "tspans") + """
 , n AS (SELECT task_id, count(*) AS n FROM tspans GROUP BY 1),
-g AS (SELECT DISTINCT id FROM (SELECT doc_id AS id FROM documents UNION ALL SELECT doc_id * 2 + 1 FROM documents) WHERE id % 3 = 0),
+g AS (SELECT DISTINCT id FROM (SELECT doc_id AS id FROM documents UNION ALL SELECT doc_id * 2 + 1 FROM documents)),
 o AS (SELECT t.task_id, CASE WHEN route = 'auto_accept' AND score >= 0.8e0 THEN 'high_confidence' ELSE 'gold_like' END AS source_pool FROM tfinal t JOIN n USING (task_id)
       WHERE route = 'auto_accept' AND score >= 0.8e0 OR promote_to_gold OR source_pool = 'gold_like')
 SELECT task_id AS id, source_pool FROM o UNION ALL SELECT t.task_id, 'gold' FROM tfinal t JOIN g ON t.doc_id = g.id WHERE t.task_id NOT IN (SELECT task_id FROM o)""")
 def example_pool(spark, d):
-    some = F.filter("task_ids", lambda x: F.substring(x, 2, 20).cast("long") % 3 == 0)
-    return jn.example_pool(gold_sets(spark, d).withColumn("task_ids", some), annotated_tasks(spark, d)).select("id", "source_pool")
+    return jn.example_pool(gold_sets(spark, d), annotated_tasks(spark, d)).select("id", "source_pool")
 
 
 @query("match_articles", """
@@ -315,10 +319,9 @@ def task_records(spark, d):
 
 
 @query("labelstudio_items", with_("samples", "psig") + """
-SELECT s.id, length(s.text)::BIGINT AS text_chars, count(p.prediction_id) AS prediction_count, string_agg(p.prediction_id, ',' ORDER BY p.run) AS prediction_ids FROM samples s LEFT JOIN psig p ON s.id = p.task_id AND p.run < 3 GROUP BY 1, 2""")
+SELECT s.id, length(s.text)::BIGINT AS text_chars, count(p.prediction_id) AS prediction_count, string_agg(p.prediction_id, ',' ORDER BY p.run) AS prediction_ids FROM samples s LEFT JOIN psig p ON s.id = p.task_id GROUP BY 1, 2""")
 def labelstudio_items(spark, d):
-    p = predictions(spark, d).where("run < 3")
-    r = wr.labelstudio_items(samples(spark, d), p).select("id", F.from_json("value", "data struct<text:string>, predictions array<struct<model_version:string,score:double,result:struct<id:string>>>").alias("j"))
+    r = wr.labelstudio_items(samples(spark, d), predictions(spark, d)).select("id", F.from_json("value", "data struct<text:string>, predictions array<struct<model_version:string,score:double,result:struct<id:string>>>").alias("j"))
     ids = F.transform("j.predictions", lambda x: x["result"]["id"])
     return r.select("id", F.length("j.data.text").cast("long").alias("text_chars"), F.size("j.predictions").cast("long").alias("prediction_count"), F.array_join(ids, ",").alias("prediction_ids"))
 
@@ -347,10 +350,11 @@ def merge_run_meta(spark, d):
     return m.select("run_id", "status", F.coalesce(F.unix_micros("ended_at"), F.lit(-1)).alias("ended"), F.col("meta")["attempt"].alias("attempt"), F.col("meta")["origin"].alias("origin"))
 
 
-@query("migrate_annotations", with_("cplaced") + """
-SELECT sample_id, candidate_id, '3.1' AS version, len(r.starts)::BIGINT AS span_count, len(list_filter(r.starts, lambda x: x < 0))::BIGINT AS unplaced FROM cplaced""")
+@query("migrate_annotations", with_("cplaced", "runs3") + """
+SELECT r3.sample_id, r3.candidate_id, '3.1' AS version, coalesce(len(c.r.starts), 0)::BIGINT AS span_count, coalesce(len(list_filter(c.r.starts, lambda x: x < 0)), 0)::BIGINT AS unplaced
+FROM runs3 r3 LEFT JOIN cplaced c ON c.sample_id = r3.sample_id AND c.candidate_id = r3.candidate_id""")
 def migrate_annotations(spark, d):
-    c = candidates(spark, d).where(F.size("spans") > 0)
+    c = candidates(spark, d)
     old = c.select("sample_id", "candidate_id", "run", "text", F.when(F.col("run") == 2, F.to_json(mk.annotation_doc(F.col("text"), mk.markup_to_spans(F.col("text"), mk.spans_to_markup(F.col("spans")))))).otherwise(mk.spans_to_markup(F.col("spans"))).alias("annotation"))
     new = tb.migrate_annotations(old)
     return new.select(
@@ -384,7 +388,7 @@ def catalog_issues(spark, d):
     """Catalogue entries made from the documents, most of them broken in one way, and what is found wrong with each."""
     from ..operators import validate as va
 
-    way, text = F.col("doc_id") % 9, F.substring(F.regexp_replace("text", r"[\[\]{}\\\\]", " "), 1, 40)
+    way, text = F.col("doc_id") % 9, F.regexp_replace("text", r"[\[\]{}\\\\]", " ")
     note = F.when(way == 6, F.lit('"[old](Term)"')).when(way == 7, F.lit("7")).otherwise(F.to_json(F.struct(F.concat(F.lit("[term]{Term_A} "), text).alias("a"))).substr(F.lit(6), F.length(F.to_json(F.struct(F.concat(F.lit("[term]{Term_A} "), text).alias("a")))) - 6))
     explanation = F.when(way == 4, F.lit("")).when(way == 5, F.lit(', "explanation": "  "')).otherwise(F.lit(', "explanation": "why"'))
     examples = F.when(way == 3, F.lit('"none"')).otherwise(F.concat(F.lit('[{"text": "t", "annotation": '), note, explanation, F.lit("}]")))

@@ -132,23 +132,18 @@ refl AS (SELECT sample_id AS id, candidate_id, item_type, tok AS token, st AS st
     SELECT sample_id, candidate_id, item_type, tok, st, en, min(a) AS a, min(b) AS b, min(c) AS c FROM (
       SELECT *, row_number() OVER (PARTITION BY sample_id, candidate_id, item_type, tok, st, en ORDER BY a, b, c) AS q FROM its) WHERE q = 1 GROUP BY ALL)) WHERE r <= 8)
 """
-# Statistics from the first half of each vocabulary only would hide unseen tokens, so they come from the candidates of run 1 on English texts.
-_EN_SRC = """, src AS (SELECT sample_id AS key, r.doc_id FROM runs3 r JOIN documents d ON r.doc_id = d.doc_id WHERE run = 1 AND d.lang = 'en'), src_spans AS (SELECT sample_id AS key, st, en FROM cspans WHERE run = 1 AND NOT implicit)"""
-
-
 def _reflect(spark, d):
-    s, c = samples(spark, d), candidates(spark, d)
-    known = c.where("run = 1").join(s.where("lang = 'en'").select(F.col("id").alias("sample_id")), "sample_id").select(F.col("sample_id").alias("id"), "text", "spans")
-    return rf.reflection_items(s, c, st.token_label_stats(known))
+    s, c, pool = _pool(spark, d)
+    return rf.reflection_items(s, c, st.token_label_stats(pool))
 
 
-@query("reflection_items", with_("words", "cspans", "runs3") + _EN_SRC + _token_sql("src") + _REFLECT + "SELECT * FROM refl")
+@query("reflection_items", with_("words", "gold", "samples", "consist", "cspans", "runs3") + _POOL_SRC + _token_sql("src") + _REFLECT + "SELECT * FROM refl")
 def reflection_items(spark, d):
     r = _reflect(spark, d)
     return r.select("id", "candidate_id", "item_type", "token", *[F.col(c).cast("long").alias(c) for c in ("start", "end", "rank")])
 
 
-@query("reflection_item_counts", with_("words", "cspans", "runs3") + _EN_SRC + _token_sql("src") + _REFLECT + "SELECT item_type, count(*) AS item_count FROM refl GROUP BY 1")
+@query("reflection_item_counts", with_("words", "gold", "samples", "consist", "cspans", "runs3") + _POOL_SRC + _token_sql("src") + _REFLECT + "SELECT item_type, count(*) AS item_count FROM refl GROUP BY 1")
 def reflection_item_counts(spark, d):
     return st.reflection_item_counts(_reflect(spark, d))
 

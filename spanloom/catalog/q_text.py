@@ -188,11 +188,11 @@ FROM (SELECT c.sample_id, c.run, c.candidate_id, any_value(t.text) AS text, list
 """, ["cspans"])
 
 
-@query("markup_to_spans", with_("cplaced") + """
-SELECT sample_id, candidate_id, len(r.starts)::BIGINT AS span_count, len(list_filter(r.starts, lambda x: x < 0))::BIGINT AS unplaced,
-       md5(array_to_string(r.starts, ',')) AS digest FROM cplaced""")
+@query("markup_to_spans", with_("cplaced", "runs3") + """
+SELECT r3.sample_id, r3.candidate_id, coalesce(len(c.r.starts), 0)::BIGINT AS span_count, coalesce(len(list_filter(c.r.starts, lambda x: x < 0)), 0)::BIGINT AS unplaced,
+       md5(coalesce(array_to_string(c.r.starts, ','), '')) AS digest FROM runs3 r3 LEFT JOIN cplaced c ON c.sample_id = r3.sample_id AND c.candidate_id = r3.candidate_id""")
 def markup_to_spans(spark, d):
-    c = candidates(spark, d).where(F.size("spans") > 0)
+    c = candidates(spark, d)
     m = c.select("sample_id", "candidate_id", mk.markup_to_spans(F.col("text"), mk.spans_to_markup(F.col("spans"))).alias("s"))
     starts = F.transform("s", lambda x: x["start"].cast("string"))
     return m.select(
@@ -201,12 +201,12 @@ def markup_to_spans(spark, d):
     )
 
 
-@query("relocate_spans", with_("cspans") + """
-SELECT sample_id, candidate_id, count(*) AS span_count, sum(moved)::BIGINT AS moved, sum(pos0)::BIGINT AS start_sum FROM (
+@query("relocate_spans", with_("cspans", "runs3") + """
+SELECT r3.sample_id, r3.candidate_id, count(pos0) AS span_count, coalesce(sum(moved), 0)::BIGINT AS moved, coalesce(sum(pos0), 0)::BIGINT AS start_sum FROM runs3 r3 LEFT JOIN (
   SELECT sample_id, candidate_id, CASE WHEN implicit THEN -1 ELSE instr(text, txt) - 1 END AS pos0, CASE WHEN NOT implicit AND instr(text, txt) - 1 <> st THEN 1 ELSE 0 END AS moved
-  FROM cspans JOIN documents USING (doc_id)) GROUP BY 1, 2""")
+  FROM cspans JOIN documents USING (doc_id)) x ON x.sample_id = r3.sample_id AND x.candidate_id = r3.candidate_id GROUP BY 1, 2""")
 def relocate_spans(spark, d):
-    c = candidates(spark, d).where(F.size("spans") > 0)
+    c = candidates(spark, d)
     m = c.select("sample_id", "candidate_id", "spans", mk.relocate_spans(F.col("spans"), F.col("text")).alias("s"))
     total = lambda f: F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + f(x))
     moved = F.aggregate(F.zip_with("spans", "s", lambda a, b: F.when(a["start"] != b["start"], 1).otherwise(0)), F.lit(0).cast("long"), lambda a, x: a + x)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .. import wording
 from ..functions.core import half_even, let, strip
 from ..functions.text import dedupe_keep_order, key_sentences, length_units, shorten, token_estimate
-from ..sources.positions import with_position
+from ..sources.positions import with_position, with_running_sum
 from .ranking import top_k
 
 # Characters a chunk may end on.
@@ -111,8 +111,7 @@ def plan_tasks(genres: DataFrame, foci: DataFrame, plan: str, total_samples: int
     tasks = shares.withColumn("before", F.coalesce(before, F.lit(0))).where("allocation > 0").select(
         "name", "weight", F.explode(F.expr("sequence(before + 1, before + allocation)")).alias("task_index")
     )
-    first = foci.orderBy("first_at", "first_pos").limit(n_tasks)
-    numbered = first.withColumn("focus_index", F.row_number().over(W.orderBy("first_at", "first_pos")) - 1).select("focus", "focus_index")
+    numbered = with_position(foci, ["first_at", "first_pos"], "focus_index").where(F.col("focus_index") <= n_tasks).select("focus", (F.col("focus_index") - 1).cast("int").alias("focus_index"))
     pool = numbered.agg(F.count(F.lit(1)).alias("pool_size"))
     slots = tasks.join(F.broadcast(pool)).withColumn("focus_index", F.when(F.col("pool_size") > 0, ((F.col("task_index") - 1) % F.greatest("pool_size", F.lit(1))).cast("int")))  # one-row side
     target = F.least(F.lit(samples_per_task), F.lit(total_samples) - (F.col("task_index") - 1) * samples_per_task)
@@ -176,14 +175,13 @@ def normalize_generated(items: DataFrame, plan: str, schema: str = "qa") -> Data
 def budget_pack(chunks: DataFrame, budget: int, summary: str = "", fresh: str = "", fresh_tail_chars: int = 1200, order: str = "position") -> DataFrame:
     """Chunks that fit a character budget after the summary and the fresh tail: best score first, the last one cut.
 
-    Every packed chunk takes at least one character, so no more than ``remaining`` rows can be packed and only those are ranked.
+    The characters before each chunk are summed over all tasks; what lies beyond the budget goes before anything is cut.
     """
     remaining = budget - len(summary[:budget])
     tail = fresh[-min(fresh_tail_chars, remaining):] if fresh.strip() and remaining > 0 else ""
     remaining = max(0, remaining - len(tail))
     by = [F.coalesce("score", F.lit(0.0)).desc(), F.col(order)]
-    best = chunks.where(F.length("text") > 0).orderBy(*by).limit(remaining)
-    run = best.withColumn("before", F.coalesce(F.sum(F.length("text")).over(W.orderBy(*by).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    run = with_running_sum(chunks.where(F.length("text") > 0), by, F.length("text"), "before")
     return run.where(F.col("before") < remaining).withColumn("text", F.substring("text", F.lit(1), (F.lit(remaining) - F.col("before")).cast("int"))).drop("before")
 
 

@@ -7,13 +7,18 @@ from pyspark.sql import functions as F
 
 from ..functions.core import let
 from ..functions.vectors import word_ngrams
+from ..session import checkpoint_dir
+from .ranking import top_k
 
 # Words too common to count as a trace of the corpus.
 COMMON_WORDS = [
     "about", "after", "also", "annotation", "answer", "before", "candidate", "concept", "description", "example", "examples", "format", "from", "gold", "label", "labels", "mark",
     "model", "output", "prompt", "rule", "rules", "span", "spans", "task", "term", "terms", "text", "that", "this", "with",
 ]
+# Sources whose traces are critical, and statuses of blocked candidates.
 CRITICAL_SOURCES = ["gold_span", "runtime_annotation", "model_span"]
+BLOCKED_STATUSES = ["memorization_guard_blocked", "memorization_repair_failed"]
+BITS = 1 << 24
 
 
 def leak_units(text: Column) -> Column:
@@ -48,16 +53,31 @@ def fingerprint_summary(fp: DataFrame) -> DataFrame:
     return fp.agg(F.count(F.lit(1)).alias("token_count"), F.count_if("blocked").alias("blocked_hash_count"), F.count_if(F.col("blocked") & F.col("critical")).alias("critical_count"))
 
 
+def possible_units(texts: DataFrame, blocked: DataFrame, key: str = "id") -> DataFrame:
+    """(key, hash) of those units of each text whose hash may be among the blocked ones: all that are, and few others.
+
+    The bit map is a filter of ``BITS`` bits whatever the size of the fingerprint, at most BITS / 64 rows of two numbers.
+    """
+    checkpoint_dir(texts.sparkSession)
+    bit = F.pmod(F.xxhash64("hash"), F.lit(BITS))
+    cells = blocked.select(bit.alias("h_")).groupBy(F.shiftright("h_", 6).alias("cell_")).agg(F.bit_or(F.expr("1L << CAST(h_ & 63 AS INT)")).alias("bits_"))
+    units = texts.select(key, F.explode(leak_units(F.col("text"))).alias("unit")).select(key, unit_hash(F.col("unit")).alias("hash")).withColumn("h_", bit)
+    near = units.join(F.broadcast(cells), F.shiftright("h_", 6) == F.col("cell_"))
+    return near.where(F.expr("(bits_ >> CAST(h_ & 63 AS INT)) & 1L = 1L")).select(key, "hash")
+
+
 def leak_check(texts: DataFrame, fp: DataFrame, key: str = "id", shown: int = 20) -> DataFrame:
     """Matches of each text with the blocked fingerprint: count, first hashes, severity.
 
-    A text contributes each unit once and a hash has one fingerprint row, so the join adds no rows; a unit found in
-    a large share of all texts is only a hot key on the text side, which adaptive execution splits.
+    Units that no blocked hash can have are held back by a bit map before the join. A text contributes each unit once and a hash has one
+    fingerprint row, so the join adds no rows; a unit found in a large share of all texts is only a hot key on the text side, which
+    adaptive execution splits. Of the hashes of a text only the first ``shown`` are ever brought together.
     """
-    units = texts.select(key, F.explode(leak_units(F.col("text"))).alias("unit")).select(key, unit_hash(F.col("unit")).alias("hash"))
-    hits = units.join(fp.where("blocked").select("hash", "critical"), "hash")
-    found = hits.groupBy(key).agg(F.count(F.lit(1)).alias("match_count"), F.max("critical").alias("critical"), F.slice(F.array_sort(F.collect_list("hash")), 1, shown).alias("matched_hashes"))
-    out = texts.select(key).join(found, key, "left")
+    blocked = fp.where("blocked").select("hash", "critical")
+    hits = possible_units(texts, blocked, key).join(blocked, "hash").checkpoint()
+    counts = hits.groupBy(key).agg(F.count(F.lit(1)).alias("match_count"), F.max("critical").alias("critical"))
+    some = top_k(hits.select(key, "hash"), [key], ["hash"], shown).groupBy(key).agg(F.array_sort(F.collect_list("hash")).alias("matched_hashes"))
+    out = texts.select(key).join(counts.join(some, key), key, "left")
     n = F.coalesce("match_count", F.lit(0))
     return out.select(
         key, n.alias("match_count"), (n == 0).alias("passed"), F.when(n == 0, "clean").when(F.col("critical"), "critical_leak").otherwise("soft_leak").alias("severity"),
@@ -65,9 +85,6 @@ def leak_check(texts: DataFrame, fp: DataFrame, key: str = "id", shown: int = 20
     )
 
 
-BLOCKED_STATUSES = ["memorization_guard_blocked", "memorization_repair_failed"]
-
-
 def leakage_report(candidates: DataFrame, final_check: DataFrame | None = None) -> DataFrame:
     """One row: blocked candidates, repair counts and whether the final text is clean."""
     from .stats import one_row, repair_summary

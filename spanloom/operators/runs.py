@@ -1,8 +1,8 @@
 """Run analytics: ordered computations over run events and candidate evaluations.
 
-Running values are computed in two levels. Events of a run are cut into time buckets; a bucket is a window partition, and what came
-before it is added from a small table with one row per run and bucket. A run that holds a large share of all events is thus
-spread over as many tasks as it has buckets.
+Running values are computed in two levels. Events of a run are cut into time buckets, and buckets into blocks of bounded row count by
+their place in the order of all events; a block is a window partition, and what came before it is added from a small table with one
+row per run and block. A run, or one hour of it, that holds a large share of all events is thus spread over many tasks.
 """
 
 from __future__ import annotations
@@ -12,21 +12,38 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.core import half_even
+from ..session import checkpoint_dir
+from ..sources.positions import with_position
 
 BUCKET = "hour"
+BLOCK_ROWS = 65_536
 
 
-def running(events: DataFrame, key: str, ts: str, tie: str, values: dict[str, tuple[str, Column]], bucket: str = BUCKET) -> DataFrame:
+def _blocks(rows: DataFrame, full: DataFrame, key: str, ts: str, tie: str, block_rows: int) -> DataFrame:
+    """Adds ``block_``: 0 in buckets of few rows, else the place in the order of all rows of full buckets by blocks of bounded size."""
+    if not full.limit(1).count():
+        return rows.withColumn("block_", F.lit(0).cast("long"))
+    same = (F.col(key) == F.col("k_")) & (F.col("b_") == F.col("t_"))
+    few = rows.join(full, same, "left_anti").withColumn("block_", F.lit(0).cast("long"))
+    many = with_position(rows.join(full, same, "left_semi"), [key, ts, tie], "place_")
+    return few.unionByName(many.withColumn("block_", F.floor((F.col("place_") - 1) / block_rows)).drop("place_"))
+
+
+def running(events: DataFrame, key: str, ts: str, tie: str, values: dict[str, tuple[str, Column]], bucket: str = BUCKET, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Adds running sum/max/min/count columns up to and including each event: ``{name: (kind, column)}``."""
+    checkpoint_dir(events.sparkSession)
+    # Blocks are cut where more than one would do: a (key, bucket) of few rows stays one, without a sort.
     rows = events.withColumn("b_", F.date_trunc(bucket, ts))
+    full = rows.groupBy(key, "b_").agg(F.count(F.lit(1)).alias("n_")).where(F.col("n_") > block_rows).select(F.col(key).alias("k_"), F.col("b_").alias("t_")).checkpoint()
+    rows = _blocks(rows, full, key, ts, tie, block_rows)
     fn = {"sum": F.sum, "max": F.max, "min": F.min, "count": F.count}
     merge = {"sum": F.sum, "max": F.max, "min": F.min, "count": F.sum}
-    per = rows.groupBy(key, "b_").agg(*[fn[kind](col).alias(f"{n}_p") for n, (kind, col) in values.items()])
-    before = W.partitionBy(key).orderBy("b_").rowsBetween(W.unboundedPreceding, -1)
-    carried = per.select(key, "b_", *[merge[kind](f"{n}_p").over(before).alias(f"{n}_b") for n, (kind, _) in values.items()])
-    inside = W.partitionBy(key, "b_").orderBy(ts, tie).rowsBetween(W.unboundedPreceding, W.currentRow)
+    per = rows.groupBy(key, "b_", "block_").agg(*[fn[kind](col).alias(f"{n}_p") for n, (kind, col) in values.items()])
+    before = W.partitionBy(key).orderBy("b_", "block_").rowsBetween(W.unboundedPreceding, -1)
+    carried = per.select(key, "b_", "block_", *[merge[kind](f"{n}_p").over(before).alias(f"{n}_b") for n, (kind, _) in values.items()])
+    inside = W.partitionBy(key, "b_", "block_").orderBy(ts, tie).rowsBetween(W.unboundedPreceding, W.currentRow)
     local = rows.select("*", *[fn[kind](col).over(inside).alias(f"{n}_l") for n, (kind, col) in values.items()])
-    out = local.join(carried, [key, "b_"])
+    out = local.join(carried, [key, "b_", "block_"])
     total = {
         "sum": lambda b, l: F.coalesce(b, F.lit(0)) + F.coalesce(l, F.lit(0)), "count": lambda b, l: F.coalesce(b, F.lit(0)) + l,
         "max": lambda b, l: F.greatest(b, l), "min": lambda b, l: F.least(b, l),
@@ -34,11 +51,11 @@ def running(events: DataFrame, key: str, ts: str, tie: str, values: dict[str, tu
     return out.select(*events.columns, *[total[kind](F.col(f"{n}_b"), F.col(f"{n}_l")).alias(n) for n, (kind, _) in values.items()])
 
 
-def progress_eta(events: DataFrame, totals: DataFrame, key: str = "run_id", bucket: str = BUCKET) -> DataFrame:
+def progress_eta(events: DataFrame, totals: DataFrame, key: str = "run_id", bucket: str = BUCKET, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Completed calls, failures, progress, elapsed seconds and ETA after every event. ``totals``: key, total."""
     done = (F.col("event_type") == "call_succeeded").cast("long")
     failed = (F.col("event_type") == "call_failed").cast("long")
-    rows = running(events, key, "ts", "event_id", {"completed": ("sum", done), "failed": ("sum", failed), "started_at": ("min", F.col("ts"))}, bucket)
+    rows = running(events, key, "ts", "event_id", {"completed": ("sum", done), "failed": ("sum", failed), "started_at": ("min", F.col("ts"))}, bucket, block_rows)
     rows = rows.join(totals, key)
     done, total = F.col("completed"), F.col("total")
     elapsed = F.unix_micros("ts") / 1e6 - F.unix_micros("started_at") / 1e6
@@ -47,12 +64,12 @@ def progress_eta(events: DataFrame, totals: DataFrame, key: str = "run_id", buck
     return rows.withColumns({"progress": progress, "elapsed_seconds": half_even(elapsed, 2), "eta_seconds": eta}).drop("started_at")
 
 
-def running_best(events: DataFrame, key: str = "run_id", bucket: str = BUCKET) -> DataFrame:
+def running_best(events: DataFrame, key: str = "run_id", bucket: str = BUCKET, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Best pass count, best loss, tokens and retries so far, after every event."""
     return running(events, key, "ts", "event_id", {
         "best_pass_count": ("max", F.col("pass_count")), "best_loss": ("min", F.col("loss")), "total_tokens": ("sum", F.col("tokens")),
         "retry_count": ("sum", (F.col("event_type") == "call_retried").cast("long")),
-    }, bucket)
+    }, bucket, block_rows)
 
 
 def latest_per_key(df: DataFrame, keys: list[str], at: list[str]) -> DataFrame:
