@@ -68,44 +68,86 @@ def hashed_features(text: Column) -> Column:
 _WORD = re.compile(r"[A-Za-z0-9_]+|[一-鿿]")
 
 
-def _features(text: str) -> Iterator[tuple[str, float]]:
-    low = text.lower()
-    tokens = _WORD.findall(low)
-    for n in WORD_NGRAMS:
-        for i in range(len(tokens) - n + 1):
-            yield "w:" + " ".join(tokens[i : i + n]), WORD_WEIGHT
-    packed = " ".join(low.split())
-    if packed:
-        padded = f" {packed} "
-        for n in CHAR_NGRAMS:
-            for i in range(len(padded) - n + 1):
-                yield "c:" + padded[i : i + n], CHAR_WEIGHT
+MEMO = 500_000  # features of a kind that a worker remembers
+PART = 1 << 19  # characters whose n-grams are told apart at once
+CODE = 12  # bits of a character in the number of an n-gram
+
+
+def _place(kind: str, feature: str, dimensions: int) -> int:
+    """Twice the bucket of a feature, plus one where its sign is minus."""
+    raw = int.from_bytes(hashlib.blake2b(f"{kind}:{feature}".encode(), digest_size=8).digest(), "big")
+    return raw % dimensions * 2 + (raw >> 63)
+
+
+def _places(kind: str, features: list[str], known: dict[str, int], dimensions: int) -> np.ndarray:
+    """Places of features; each is hashed when it is first met."""
+    places = list(map(known.get, features))
+    if None in places:
+        if len(known) > MEMO:
+            known.clear()
+        for i, place in enumerate(places):
+            if place is None:
+                place = known.get(features[i])
+                places[i] = known[features[i]] = _place(kind, features[i], dimensions) if place is None else place
+    return np.array(places, np.int64)
+
+
+def hash_embed(texts: list[str], known: tuple[dict[str, int], dict[str, int]], dimensions: int = DIMENSIONS) -> np.ndarray:
+    """Unit vectors of texts from signed buckets of their features: words, pairs of words, then characters by three, four and five.
+
+    Equal n-grams of characters are found as numbers, over all texts at once, and looked up once. Features of a text are added up
+    in their order, so a vector does not depend on the texts beside it.
+    """
+    owner, place, weight = [], [], []
+
+    def add(text: int | np.ndarray, at: np.ndarray, value: float) -> None:
+        owner.append(np.full(len(at), text) if isinstance(text, int) else text)
+        place.append(at)
+        weight.append(np.where(at & 1, -value, value))
+
+    padded = []
+    for k, text in enumerate(texts):
+        low = text.lower()
+        tokens = _WORD.findall(low)
+        add(k, _places("w", [*tokens, *map(" ".join, zip(tokens, tokens[1:]))], known[0], dimensions), WORD_WEIGHT)
+        packed = " ".join(low.split())
+        padded.append(f" {packed} " if packed else "")
+    codes = [np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in padded]
+    narrow = np.array([bool(len(c)) and int(c.max()) < 1 << CODE for c in codes], bool)
+    some = np.flatnonzero(narrow).tolist()
+    flat = np.concatenate([codes[k] for k in some]).astype(np.int64) if some else np.empty(0, np.int64)
+    joined, text = "".join(padded[k] for k in some), np.repeat(some, [len(codes[k]) for k in some]).astype(np.int64)
+    for n in CHAR_NGRAMS:
+        for k in np.flatnonzero(~narrow).tolist():
+            add(k, _places("c", [padded[k][i : i + n] for i in range(len(padded[k]) - n + 1)], known[1], dimensions), CHAR_WEIGHT)
+        if len(flat) >= n:
+            number = np.zeros(len(flat) - n + 1, np.int64)
+            for j in range(n):
+                number = (number << CODE) | flat[j : len(flat) - n + 1 + j]
+            inside = np.flatnonzero(text[: len(number)] == text[n - 1 :])
+            _, first, which = np.unique(number[inside], return_index=True, return_inverse=True)
+            add(text[inside], _places("c", [joined[i : i + n] for i in inside[first].tolist()], known[1], dimensions)[which], CHAR_WEIGHT)
+    at = np.concatenate(place) if place else np.empty(0, np.int64)
+    cells = np.concatenate(owner) * dimensions + (at >> 1) if place else at
+    total = np.bincount(cells, weights=np.concatenate(weight) if weight else None, minlength=len(texts) * dimensions).reshape(len(texts), dimensions).astype(np.float64)
+    lengths = np.array([np.linalg.norm(v) or 1.0 for v in total])
+    return (total / lengths[:, None]).astype(np.float32) if len(texts) else total.astype(np.float32)
 
 
 def hash_embed_udf(dimensions: int = DIMENSIONS):
     """Arrow function text -> array<float>: signed buckets from a 64-bit BLAKE2b digest, unit length. Spark has no BLAKE2b."""
 
     def embed(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        seen: dict[str, tuple[int, float]] = {}
-
-        def place(feature: str) -> tuple[int, float]:
-            hit = seen.get(feature)
-            if hit is None:
-                raw = int.from_bytes(hashlib.blake2b(feature.encode(), digest_size=8).digest(), "big")
-                hit = (raw % dimensions, -1.0 if raw >> 63 else 1.0)
-                if len(seen) < 1_000_000:
-                    seen[feature] = hit
-            return hit
-
+        known: tuple[dict[str, int], dict[str, int]] = ({}, {})
         for batch in texts:
-            out = []
-            for text in batch.fillna(""):
-                vector = np.zeros(dimensions, dtype=np.float64)
-                for feature, weight in _features(text):
-                    at, sign = place(feature)
-                    vector[at] += sign * weight
-                length = np.linalg.norm(vector)
-                out.append((vector / (length or 1.0)).astype(np.float32))
+            out, part, size = [], [], 0
+            for text in [*batch.fillna("").tolist(), None]:
+                if text is None or size > PART:
+                    out.extend(hash_embed(part, known, dimensions))
+                    part, size = [], 0
+                if text is not None:
+                    part.append(text)
+                    size += len(text)
             yield pd.Series(out)
 
     return F.pandas_udf(embed, "array<float>")
