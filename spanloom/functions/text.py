@@ -115,7 +115,8 @@ PROTOCOL_PREFIXES = [
 ]
 PROTOCOL_MARKERS = ["text / annotation / explanation", "text/annotation/explanation", "[span]{", "[原文]{标签}"]
 # Lines that report on a failed round, and openings a model puts before its answer.
-DIAGNOSTIC_LINE = r"(?i)\bgold-[0-9]+\b|失败摘要|失败样例|本轮失败|修订建议|漏标|多标|边界不稳定样例|失败/不稳定样例"
+DIAGNOSTIC_SIGNS = [r"\bgold-[0-9]+\b", "失败摘要", "失败样例", "本轮失败", "修订建议", "漏标", "多标", "边界不稳定样例", "失败/不稳定样例"]
+DIAGNOSTIC_LINE = "(?i)" + "|".join(DIAGNOSTIC_SIGNS)
 PREFACES = ["以下是", "下面是", "这里是", "已根据", "我已", "好的", "Here is", "Below is", "I have", "Explanation", "Change log"]
 DESCRIPTION_HEADS = ["概念描述：", "Concept description:", "Concept Description:"]
 SUPPORT_FIELDS = ["标签集合：", "边界规则：", "排除规则：", "输出格式：", "Labels:", "Boundary", "Negative", "Output"]
@@ -173,21 +174,34 @@ def sanitize_description(text: Column, fallback: Column) -> Column:
     return F.when(raw == "", strip(fallback)).otherwise(let(lines(raw), body))
 
 
-# Headings that open a typed segment.
-HEADING_KINDS = [
-    ("概念描述", "task_definition"), ("concept description", "task_definition"), ("标签集合", "label_schema"), ("labels", "label_schema"),
-    ("label schema", "label_schema"), ("边界规则", "boundary_rules"), ("boundary rules", "boundary_rules"), ("排除规则", "negative_rules"),
-    ("负例规则", "negative_rules"), ("negative rules", "negative_rules"), ("输出格式", "output_format"), ("output format", "output_format"),
-    ("边界补充", "boundary_rules"), ("boundary supplement", "boundary_rules"),
+# Headings that open a typed segment, as they are written; they are compared without case.
+SEGMENT_OPENERS = [
+    ("概念描述", "task_definition"),
+    ("Concept description", "task_definition"),
+    ("Concept Description", "task_definition"),
+    ("标签集合", "label_schema"),
+    ("Labels", "label_schema"),
+    ("Label schema", "label_schema"),
+    ("边界规则", "boundary_rules"),
+    ("Boundary rules", "boundary_rules"),
+    ("排除规则", "negative_rules"),
+    ("负例规则", "negative_rules"),
+    ("Negative rules", "negative_rules"),
+    ("输出格式", "output_format"),
+    ("Output format", "output_format"),
+    ("边界补充", "boundary_rules"),
+    ("Boundary supplement", "boundary_rules"),
 ]
 FROZEN_KINDS = ["output_format", "label_schema"]
 
 
-def line_kind(line: Column, headings: list[tuple[str, str]] | None = None) -> Column:
+def opened_kind(line: Column, headings: list[tuple[str, str]] | None = None) -> Column:
+    """The kind of segment a line opens, by the first heading it starts with; NULL for other lines."""
     bare = F.lower(F.regexp_replace(strip(line), "[:：]+$", ""))
+    kinds = dict(reversed([(opener.lower(), kind) for opener, kind in headings or SEGMENT_OPENERS]))
     out = F.lit(None).cast("string")
-    for prefix, kind in reversed(headings or HEADING_KINDS):
-        out = F.when(bare.startswith(prefix), kind).otherwise(out)
+    for opener, kind in kinds.items():  # the last one asked is the first of the list
+        out = F.when(bare.startswith(opener), kind).otherwise(out)
     return out
 
 
@@ -204,7 +218,7 @@ def segment_text(text: Column, headings: list[tuple[str, str]] | None = None) ->
 
     def step(acc: Column, line: Column) -> Column:
         blank = strip(line) == ""
-        kind = line_kind(line, headings)
+        kind = opened_kind(line, headings)
         cut = blank | kind.isNotNull()
         empty = F.array().cast("array<string>")
         return F.struct(

@@ -135,3 +135,9 @@ def test_segments(spark):
 
 def test_strip_protocol(spark):
     assert values(spark, ["Keep\n- Labels: A\n\n\nOutput format: x\nAlso [span]{T}\nend"], text.strip_protocol_lines) == ["Keep\n\nend"]
+
+
+def test_headings_are_compared_without_case(spark):
+    df = spark.createDataFrame([("LABELS: a\nx\nMy Part\ny",)], "t string")
+    kinds = lambda h=None: [s.kind for s in df.select(text.segment_text(F.col("t"), h).alias("s")).first().s]
+    assert kinds() == ["label_schema"] and kinds([("my part", "one"), ("My", "two")])[-1] == "one"
