@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..schema import DOC_VERSION, SPAN_DDL
+from ..schema import DOC_VERSION
 from .core import SPACE_CLASS, chunked_scan, let, strip
 
 # The markup pattern and the superseded form that is refused.
@@ -27,29 +29,35 @@ def parse_markup(markup: Column) -> Column:
 
 
 def markup_to_spans(text: Column, markup: Column) -> Column:
-    """Place each marked text left to right; the search position moves only on a hit, misses and implied spans get -1."""
+    """Place each marked text left to right; the search position moves only on a hit, misses and implied spans get -1.
+
+    A search counts its way from the front of what it searches, so each block of marks searches only the text from its own position on.
+    """
 
     def place(source: Column) -> Column:
-        def step(pos: Column, x: Column) -> Column:
-            at = x["item"]["text"]
-            found = F.when(x["item"]["implicit"], F.lit(0)).when(at == "", pos + 1).otherwise(F.position(at, source, pos + 1))
-
-            def row(f: Column) -> Column:
-                end = f - 1 + F.length(at)
-                return F.struct(
-                    F.when(f > 0, end).otherwise(pos).alias("pos"),
-                    F.struct(
-                        F.concat(F.lit("s"), x["i"].cast("string")).alias("id"),
-                        (F.when(f > 0, f - 1).otherwise(F.lit(-1))).alias("start"),
-                        (F.when(f > 0, end).otherwise(F.lit(-1))).alias("end"),
-                        at.alias("text"), x["item"]["label"].alias("label"), x["item"]["implicit"].alias("implicit"),
-                    ).alias("out"),
-                )
-
-            return let(found, row)
-
-        numbered = F.transform(parse_markup(markup), lambda m, i: F.struct(m.alias("item"), i.alias("i")))
-        return chunked_scan(numbered, F.lit(0), step, SPAN_DDL)
+        rest = lambda pos: F.struct(pos.alias("pos"), F.substring(source, pos + 1, F.lit(2147483647)).alias("text"))
+
+        def step(pos: Column, item: Column, seen: Column) -> Column:
+            at = item["text"]
+            here = let(F.position(at, seen["text"], pos - seen["pos"] + 1), lambda f: F.when(f > 0, f + seen["pos"]).otherwise(f))
+            found = F.when(item["implicit"], F.lit(0)).when(at == "", pos + 1).otherwise(here)
+            return let(found, lambda f: F.struct(F.when(f > 0, f - 1 + F.length(at)).otherwise(pos).alias("pos"), f.alias("out")))
+
+        def placed(items: Column) -> Column:
+            # The scan carries places alone: what it has so far is copied at every step.
+            found = chunked_scan(items, F.lit(0), step, "int", block=32, enter=rest)
+            return F.transform(F.zip_with(items, found, lambda m, f: F.struct(m.alias("m"), f.alias("f"))), span)
+
+        def span(x: Column, i: Column) -> Column:
+            m, f = x["m"], x["f"]
+            return F.struct(
+                F.concat(F.lit("s"), i.cast("string")).alias("id"),
+                F.when(f > 0, f - 1).otherwise(F.lit(-1)).alias("start"),
+                F.when(f > 0, f - 1 + F.length(m["text"])).otherwise(F.lit(-1)).alias("end"),
+                m["text"].alias("text"), m["label"].alias("label"), m["implicit"].alias("implicit"),
+            )
+
+        return let(parse_markup(markup), placed)
 
     return let(text, place)
 
@@ -64,11 +72,26 @@ def spans_to_markup(spans: Column) -> Column:
     )
 
 
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def first_places(text: pd.Series, words: pd.Series) -> pd.Series:
+    """Where each word first occurs in its text, from 1; 0 where it does not, NULL without a text or word. Equal words are looked for once."""
+
+    def of(source: str | None, looked_for) -> list[int | None] | None:
+        if looked_for is None:
+            return None
+        places = {w: None if w is None or source is None else source.find(w) + 1 for w in set(looked_for)}
+        return [places[w] for w in looked_for]
+
+    return pd.Series([of(t, w) for t, w in zip(text, words)], dtype=object)
+
+
 def relocate_spans(spans: Column, text: Column) -> Column:
     """First occurrence of every explicit span (no moving cursor); explicit spans that cannot be placed are dropped."""
+    places = first_places(text, F.transform(spans, lambda s: F.when(~s["implicit"], s["text"])))
 
-    def move(s: Column, i: Column) -> Column:
-        found = F.when(s["implicit"], F.lit(0)).otherwise(F.position(s["text"], text, F.lit(1)))
+    def move(x: Column, i: Column) -> Column:
+        s = x["span"]
+        found = F.when(s["implicit"], F.lit(0)).otherwise(x["at"])
         start = F.when(s["implicit"], -1).when(found > 0, found - 1).otherwise(s["start"])
         end = F.when(s["implicit"], -1).when(found > 0, found - 1 + F.length(s["text"])).otherwise(s["end"])
         return F.struct(
@@ -76,7 +99,8 @@ def relocate_spans(spans: Column, text: Column) -> Column:
             start.alias("start"), end.alias("end"), s["text"].alias("text"), s["label"].alias("label"), s["implicit"].alias("implicit"),
         )
 
-    return F.filter(F.transform(spans, move), lambda s: s["implicit"] | (s["start"] >= 0))
+    both = F.zip_with(spans, places, lambda s, at: F.struct(s.alias("span"), at.alias("at")))
+    return F.filter(F.transform(both, move), lambda s: s["implicit"] | (s["start"] >= 0))
 
 
 def annotation_doc(text: Column, spans: Column) -> Column:
