@@ -57,7 +57,8 @@ def markup_to_spans(text: Column, markup: Column) -> Column:
                 m["text"].alias("text"), m["label"].alias("label"), m["implicit"].alias("implicit"),
             )
 
-        return let(parse_markup(markup), placed)
+        none = F.array().cast("array<struct<text:string,label:string,implicit:boolean>>")
+        return let(F.coalesce(parse_markup(markup), none), placed)  # no markup: no spans
 
     return let(text, place)
 

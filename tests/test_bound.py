@@ -39,6 +39,8 @@ def test_marks_are_placed_across_blocks_without_their_texts(spark, monkeypatch):
     assert [(s.start, s.end) for s in out.first().s] == [*want, (-1, -1)]
     assert [(s.id, s.text) for s in out.first().s] == [*((f"s{i}", w) for i, w in enumerate(asked)), ("s300", "x")]
     assert kinds == ["int"]
+    none = spark.createDataFrame([("x", None), (None, "[a]{L}")], "t string, m string").select(markup.markup_to_spans(F.col("t"), F.col("m")).alias("s")).collect()
+    assert none[0].s == [] and [(s.start, s.text) for s in none[1].s] == [(-1, "a")]
 
 
 def test_spans_are_relocated_by_distinct_words(spark):
