@@ -53,7 +53,7 @@ def consistency_pairs(spark, d):
 from ..functions import spans as sp  # noqa: E402
 from ..functions.core import half_even  # noqa: E402
 from ..operators import review as rv  # noqa: E402
-from .derived import decisions, gold_sets, guidelines, jobs, predictions, reviews, routed_tasks, samples, table  # noqa: E402
+from .derived import decisions, gold_sets, guidelines, jobs, predictions, reviews, routed_predictions, routed_tasks, samples, table  # noqa: E402
 
 
 def _profile_sql(key: str, formula: str) -> str:
@@ -152,8 +152,8 @@ def route_tasks(spark, d):
 SELECT 'review-' || p.task_id AS review_id, p.run AS position, chr(64 + p.run::INT) AS option_id, opt AS text FROM psig p JOIN routed r ON p.task_id = r.task_id AND r.route = 'review'
 UNION ALL SELECT 'review-' || task_id, 6, 'manual', '以上都不对，我要手动修正' FROM routed WHERE route = 'review'""")
 def review_options(spark, d):
-    p = predictions(spark, d)
-    return rv.review_options(reviews(spark, d), p).withColumn("position", F.col("position").cast("long"))
+    p, routed = routed_predictions(spark, d)
+    return rv.review_options(rv.build_reviews(routed), p).withColumn("position", F.col("position").cast("long"))
 
 
 @query("human_review_queue", with_("consist", "cmark") + f"""
@@ -180,8 +180,9 @@ FROM psig p JOIN routed r ON p.task_id = r.task_id AND r.route = 'review' JOIN d
 JOIN (SELECT lang, max(doc_id) AS a, (SELECT max(doc_id) FROM documents) AS mx FROM documents GROUP BY 1) g ON d.lang = g.lang""")
 def review_bundle(spark, d):
     t = samples(spark, d)
-    by_lang = reviews(spark, d).join(t.select(F.col("id").alias("task_id"), "lang"), "task_id").withColumn("job_id", F.concat(F.lit("job-"), F.col("lang"))).drop("lang")
-    b = rv.review_bundle(by_lang, t, predictions(spark, d), jobs(spark, d), guidelines(spark, d), gold_sets(spark, d))
+    p, routed = routed_predictions(spark, d)
+    by_lang = rv.build_reviews(routed).join(t.select(F.col("id").alias("task_id"), "lang"), "task_id").withColumn("job_id", F.concat(F.lit("job-"), F.col("lang"))).drop("lang")
+    b = rv.review_bundle(by_lang, t, p, jobs(spark, d), guidelines(spark, d), gold_sets(spark, d))
     return b.select(
         "review_id", "prediction_id", "run", "guideline_id", F.length("text").cast("long").alias("text_chars"), F.array_join("gold_examples", ",").alias("gold_examples")
     )
@@ -209,6 +210,7 @@ SELECT 'review-' || r.task_id, NULL, NULL, NULL, NULL, false, false, NULL, false
 FROM routed r JOIN psig p ON r.task_id = p.task_id AND p.run = 1 JOIN labels l ON p.doc_id = l.doc_id WHERE r.route <> 'review'""")
 def apply_decisions(spark, d):
     t = samples(spark, d).select("id", "spans").withColumn("source_pool", F.lit("review"))
-    a = rv.apply_decisions(reviews(spark, d).withColumn("hard_example", F.lit(False)), decisions(spark, d), t, predictions(spark, d))
+    p, routed = routed_predictions(spark, d)
+    a = rv.apply_decisions(rv.build_reviews(routed).withColumn("hard_example", F.lit(False)), decisions(spark, d), t, p)
     n = F.when(F.col("status") == "accepted", F.size("task_spans")).when(F.col("status").isNotNull(), -1).otherwise(-2).cast("long")
     return a.withColumn("new_span_count", n).fillna(False, ["manually_edited", "review_hard_example", "promote_to_gold"]).drop("task_spans", "review_note", "task_hard_example")

@@ -16,7 +16,7 @@ from ..sources import readers as rd
 from ..sources import tables as tb
 from ..sources import writers as wr
 from . import q_stats  # noqa: F401  (shared expressions)
-from .derived import annotated_tasks, candidates, decided_reviews, documents, gold_sets, hex1, joined, predictions, responses, samples, table, versions
+from .derived import annotated_tasks, candidates, decided_reviews, documents, gold_sets, hex1, joined, predictions, responses, routed_predictions, samples, table, versions
 from .q_text import LE
 from .registry import cte, query, rnd, strip, with_
 
@@ -45,8 +45,8 @@ UNION ALL SELECT c.sample_id, c.run, 'extra', c.st, c.en, c.txt, c.label FROM cs
 """, ["gold", "runs3", "cspans"])
 
 
-def _compared(spark, d):
-    p = predictions(spark, d).select("task_id", F.concat(F.lit("c"), F.col("run").cast("string")).alias("candidate_id"), "run", "spans")
+def _compared(spark, d, p=None):
+    p = (predictions(spark, d) if p is None else p).select("task_id", F.concat(F.lit("c"), F.col("run").cast("string")).alias("candidate_id"), "run", "spans")
     return ev.gold_compare(samples(spark, d).select(F.col("id").alias("task_id"), "spans"), p)
 
 
@@ -124,7 +124,8 @@ SELECT (SELECT {rnd("avg(CASE WHEN route = 'review' THEN 1 ELSE 0 END)")} FROM t
  (SELECT {rnd("avg(CASE WHEN manually_edited THEN 1 ELSE 0 END)")} FROM rfinal) AS manual_rewrite_rate,
  (SELECT {rnd("avg(CASE WHEN is_audit AND status IN ('accepted', 'rejected') THEN CASE WHEN status = 'rejected' OR manually_edited THEN 1 ELSE 0 END END)")} FROM rfinal) AS high_confidence_audit_error_rate, (SELECT {rnd("avg(CASE WHEN bm THEN 1 ELSE 0 END)")} FROM b) AS boundary_exact_match, (SELECT {rnd("avg(CASE WHEN lm THEN 1 ELSE 0 END)")} FROM b) AS label_exact_match""")
 def experiment_metrics(spark, d):
-    return ev.experiment_metrics(decided_reviews(spark, d), annotated_tasks(spark, d), _compared(spark, d))
+    work = routed_predictions(spark, d)
+    return ev.experiment_metrics(decided_reviews(spark, d, work), annotated_tasks(spark, d, work), _compared(spark, d, work[0]))
 
 
 @query("export_filters", with_("tfinal") + """

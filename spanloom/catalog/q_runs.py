@@ -11,7 +11,7 @@ from ..functions import text as tx
 from ..functions.core import half_even
 from ..operators import runs as ru
 from ..plans import reports as rep
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, kept
 from ..sources.generations import read_state
 from ..streaming import alerts as sa
 from ..streaming import jobs as sj
@@ -256,7 +256,7 @@ UNION ALL SELECT 4, '{wording.VERSIONS_TITLE}', printf('%019d', event_id), '- v'
 UNION ALL SELECT 5, '{wording.FEEDBACK_TITLE}', {_DOWN('count(*)')} || '|' || error_type, '- ' || error_type || ': ' || count(*) FROM rfinal WHERE error_type <> '' GROUP BY error_type""")
 def experiment_report(spark, d):
     tasks, p, reviews, j = work_tables(spark, d)
-    reviews = reviews.checkpoint()
+    reviews = kept(reviews)
     return rep.experiment_report(rep.dataset_report(tasks, p, reviews, j), versions(spark, d), reviews)
 
 
