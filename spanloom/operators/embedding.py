@@ -1,25 +1,44 @@
-"""Hashed text vectors in plain Spark expressions."""
+"""Hashed text vectors by MD5, which SQL can state too."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.vectors import CHAR_WEIGHT, DIMENSIONS, WORD_WEIGHT, hashed_features
+from ..functions.core import collapse
+from ..functions.text import words
+from ..functions.vectors import CHAR_WEIGHT, DIMENSIONS, PART, WORD_WEIGHT, digest_buckets
 
 
 def hashed_buckets(texts: DataFrame, key: str, dimensions: int = DIMENSIONS) -> DataFrame:
     """(key, bucket, words, chars): signed feature counts per bucket, bucket and sign from an MD5 digest.
 
-    Texts are spread by key before their features are exploded, so features are counted where they arise and never shuffled.
+    Texts are spread by key, and features are counted inside their row: only buckets leave it. A feature is digested once per worker, not at
+    every place it occurs.
     """
-    rows = texts.select(key, "text").repartition(key).select(key, F.explode(hashed_features(F.col("text"))).alias("f"))
-    rows = rows.select(key, F.col("f.kind").alias("kind"), F.md5(F.concat("f.kind", F.lit(":"), "f.feature")).alias("m"))
-    signed = F.when(F.substring("m", 32, 1) < "8", 1).otherwise(-1)
-    bucket = F.conv(F.substring("m", 1, 8), 16, 10).cast("long") % dimensions
-    return rows.groupBy(key, bucket.alias("bucket")).agg(
-        F.sum(F.when(F.col("kind") == "w", signed).otherwise(0)).alias("words"), F.sum(F.when(F.col("kind") == "c", signed).otherwise(0)).alias("chars"),
-    )
+    packed = F.concat(F.lit(" "), collapse(F.lower("text")), F.lit(" "))
+    rows = texts.select(key, "text").repartition(key).where("text IS NOT NULL").select(key, words(F.col("text")).alias("tokens"), packed.alias("packed"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: tuple[dict[str, int], dict[str, int]] = ({}, {})
+        for batch in batches:
+            parts, part, at = [], [], 0
+            for i, row in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                part.append(row)
+                if i + 1 == batch.num_rows or sum(len(packed) for _, packed in part) > PART:
+                    owner, *found = digest_buckets(part, known, dimensions)
+                    parts.append((owner + at, *found))
+                    part, at = [], i + 1
+            owner, *found = [pa.array(np.concatenate(c)) for c in zip(*parts)] if parts else [pa.array([], pa.int64())] * 4
+            yield pa.record_batch([batch.column(0).take(owner), *found], names=[key, "bucket", "words", "chars"])
+
+    counted = T.StructType([texts.schema[key], *[T.StructField(c, T.LongType()) for c in ("bucket", "words", "chars")]])
+    return rows.mapInArrow(run, counted).groupBy(key, "bucket").agg(F.sum("words").alias("words"), F.sum("chars").alias("chars"))
 
 
 def bucket_weight():

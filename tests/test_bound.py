@@ -1,9 +1,13 @@
 """Work that is done once, however often a formula names it."""
 
+import hashlib
+import re
+
 from pyspark.sql import functions as F
 
+from spanloom.catalog import derived, queries
 from spanloom.functions import markup, spans, text
-from spanloom.operators import agreement
+from spanloom.operators import agreement, embedding
 
 SPAN = "array<struct<id:string,start:int,end:int,text:string,label:string,implicit:boolean>>"
 
@@ -63,3 +67,39 @@ def test_long_words_are_the_long_ones_of_all_words(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i int, t string")
     both = df.select("i", text.tokenize_words(F.col("t"), lower=False, least=8).alias("a"), F.filter(text.tokenize_words(F.col("t"), lower=False), lambda w: F.length(w["text"]) >= 8).alias("b"))
     assert all(r.a == r.b for r in both.collect())
+
+
+def test_predictions_are_made_once_for_all_that_reads_them(spark, folder, monkeypatch):
+    words = "pneumonia treatment considerations heart failure respiratory "
+    spark.createDataFrame([(i, words * (1 + i % 3), "en", "src3") for i in range(40)], "doc_id long, text string, lang string, source string").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, i % 3 // 2) for i in range(0, 40, 3)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    made, make = [], derived.predictions
+    monkeypatch.setattr(derived, "predictions", lambda *a: made.append(1) or make(*a))
+    for name in ("route_distribution", "export_filters", "example_pool", "experiment_metrics", "review_options", "failure_memory"):
+        made.clear()
+        if name == "failure_memory":
+            spark.createDataFrame([(1, "2024-01-01 00:00:00", 2, "signup", 1.0, '{"k": 10}')], "event_id long, ts string, user_id long, event_type string, value double, props string").selectExpr(
+                "event_id", "CAST(ts AS timestamp) AS ts", "user_id", "event_type", "value", "props").write.parquet(f"{folder}/events.parquet")
+        out = queries()[name](spark, folder)
+        assert len(made) == 1 and out.count() > 0, name
+    routes = {r.route: r.task_count for r in queries()["route_distribution"](spark, folder).collect()}
+    assert sum(routes.values()) == 40
+
+
+def test_hashed_buckets_equal_plain_counts_and_repeated_keys_add_up(spark):
+    rows = [(1, "The  heart 心 the"), (2, ""), (3, None), (4, "a"), (1, "café 😀 x"), (None, "no key")]
+    df = spark.createDataFrame(rows, "k long, text string")
+    out = embedding.hashed_buckets(df, "k")
+    assert "explode" not in plan(out)  # no row per feature
+    want = {}
+    for k, t in rows:
+        low = (t or "").lower()
+        tokens = re.findall("[a-z0-9_]+|[一-鿿]", low)
+        packed = f" {' '.join(low.split())} "
+        grams = [("w", w) for w in tokens] + [("w", f"{a} {b}") for a, b in zip(tokens, tokens[1:])]
+        grams += [("c", packed[i : i + n]) for n in (3, 4, 5) for i in range(len(packed) - n + 1)]
+        for kind, g in grams:
+            m = hashlib.md5(f"{kind}:{g}".encode()).hexdigest()
+            at = want.setdefault((k, int(m[:8], 16) % 384), {"w": 0, "c": 0})
+            at[kind] += 1 if m[31] < "8" else -1
+    assert {(r.k, r.bucket): {"w": r.words, "c": r.chars} for r in out.collect()} == want
