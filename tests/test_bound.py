@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spanloom.catalog import derived, queries
 from spanloom.functions import markup, spans, text
-from spanloom.operators import agreement, embedding
+from spanloom.operators import agreement, embedding, reflection, stats
 
 SPAN = "array<struct<id:string,start:int,end:int,text:string,label:string,implicit:boolean>>"
 
@@ -103,3 +103,22 @@ def test_hashed_buckets_equal_plain_counts_and_repeated_keys_add_up(spark):
             at = want.setdefault((k, int(m[:8], 16) % 384), {"w": 0, "c": 0})
             at[kind] += 1 if m[31] < "8" else -1
     assert {(r.k, r.bucket): {"w": r.words, "c": r.chars} for r in out.collect()} == want
+
+
+def test_words_and_spans_meet_inside_their_row(spark):
+    span = lambda a, b, implicit=False: ("T", a, b, "x", "L", implicit)
+    rows = [("a", "Heart failure care rises", [span(0, 13), span(None, 3, True)]), ("a", "Heart failure care rises", [span(0, 13)]), ("b", "心x care", []), ("c", None, [span(0, 1)]), ("d", "lost", None), (None, "care", [span(0, None)])]
+    s = spark.createDataFrame(rows, f"id string, text string, spans {SPAN}")
+    known = stats.token_label_stats(s, window=1)
+    assert "Window" not in plan(known)
+    assert {r.token: (r.entity_count, r.context_count, r.other_count, r.total) for r in known.collect()} == {
+        "heart": (2, 0, 0, 2), "failure": (2, 0, 0, 2), "care": (0, 1, 3, 4), "rises": (0, 0, 2, 2), "心": (0, 0, 1, 1), "x": (0, 0, 1, 1)}
+    c = spark.createDataFrame([("a", "c1", [span(6, 18)]), ("a", "c2", [span(0, 5), span(14, 18)]), ("a", "c3", None), ("b", "c1", []), (None, "c1", []), ("z", "c1", [])], f"sample_id string, candidate_id string, spans {SPAN}")
+    found = reflection.reflection_items(s.where("text IS NOT NULL"), c, known.where("token <> '心'"))
+    assert "Window" not in plan(found)
+    assert sorted((r.id, r.candidate_id, r["rank"], r.item_type, r.token, r.start, r.end) for r in found.collect()) == [
+        ("a", "c1", 1, "possible_false_negative", "heart", 0, 5), ("a", "c1", 2, "boundary_token", "care", 14, 18),
+        ("a", "c2", 1, "possible_false_negative", "failure", 6, 13), ("a", "c2", 2, "boundary_token", "care", 14, 18), ("b", "c1", 1, "unseen_token", "心", 0, 1)]
+    seen = spark.createDataFrame([("care", 0.1, 0.4), ("heart", 0.0, 0.0), ("failure", 0.0, 0.0), ("rises", 0.2, 0.3)], "token string, entity_p double, context_p double")
+    edges = reflection.reflection_items(s.where("text IS NOT NULL"), c, seen).where("id = 'a'")
+    assert sorted((r.candidate_id, r["rank"], r.item_type, r.token) for r in edges.collect()) == [("c1", 1, "boundary_token", "care"), ("c2", 1, "boundary_token", "care")]
