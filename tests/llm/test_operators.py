@@ -313,6 +313,19 @@ def test_secrets_of_other_forms_are_no_negatives(spark):
     assert not missed and not any("mail" in g or g.startswith("4000") or "readme" in g for g in got)
 
 
+def test_secrets_are_learned_from_all_rows(spark):
+    """More findings of a label and more texts than were sampled before: all count."""
+    name = lambda k: "".join("abcdefghij"[int(c)] for c in f"{k:04d}")
+    rows = [(k, f'{(name(k) + " ") * 4}card 4{k:015d} token = "{hashlib.sha1(str(k).encode()).hexdigest()}"', "en", "a", 0) for k in range(2600)]
+    docs = frame(spark, rows, extra=False)
+    found = secrets.findings(docs).cache()
+    labels = [r["label"] for r in secrets.labelled(found).collect()]
+    assert labels.count(0) == labels.count(1) == 2600
+    model = secrets.trained(docs, found)
+    assert {name(k) for k in range(2600)} <= model["known"]["words"]
+    assert len(model["trees"]) == 40 and {r["secret"] for r in secrets.judged(found, model).where("value LIKE '400%'").collect()} == {False}
+
+
 PAGES = [
     (1, "http://a.example/x y", '<html lang="fr"><head><title> A &amp; B </title><style>p{}</style></head><body><p>One<b>two</b></p><!-- no --><script>x<y</script><a href="/l?a&amp;b">link</a><br>end</body></html>'),
     (2, None, None), (3, "u", ""), (None, "u", "text < only &lt;p&gt;"), (4, "v", "<script>never closed"), (4, "v", "<script>never closed"),
