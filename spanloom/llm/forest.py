@@ -98,7 +98,7 @@ def fit(rows: DataFrame, width: int, weights: list[float], trees: int = 40, dept
     """
     rng = np.random.default_rng(seed)
     cuts, tries = limits(rows, width), max(1, round(width**0.5))
-    rows = rows.select("x", "kind", "key").coalesce(TASKS)
+    rows = rows.select("x", "kind", "key").coalesce(max(1, min(TASKS, rows.count() // 4000)))  # few rows cost less than the start of a task
     grown = [{"feature": [-1], "limit": [0.0], "left": [-1], "right": [-1], "share": [0.5]} for _ in range(trees)]
     fresh = [[0] for _ in grown]
     for _ in range(depth):
