@@ -1,7 +1,12 @@
 """Near duplicates by Jaccard similarity of word shingles, decided in order: an item goes when an accepted earlier one is as similar as the limit.
 
+Most texts have no similar one, and a part of their shingles tells so. Two sets that reach the limit share shingles among the smallest
+hashes of both, the more the longer that part is taken: with l more than needed for one, at least l. Texts that share fewer of their
+part with others are accepted, and only the sets of the rest are kept and counted.
+
 Two sets of sizes m and s that reach the limit t share a shingle among the first m - t m + 1 and s - t s + 1 of their rarest; only
-those stand in lists. Sizes and the places of the common shingle rule out most of what still meets, and sets are compared in full only then.
+those stand in lists, without the ones that no other set has. Sizes and the places of the common shingle rule out most of what still
+meets, and sets are compared in full only then.
 
 Items are decided in waves. An item that no earlier item precedes in any of its lists has no earlier neighbour at all and is accepted.
 The accepted items of a wave, and only they, are compared with the undecided ones in their lists, which rejects what is similar. So n
@@ -12,16 +17,17 @@ same rule is followed along the pairs that are similar.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import let
 from ..functions.text import words
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, kept
 
 LIMIT = 0.8
 WORDS = 5
 WAVES = 6
+SHARE = 0.1
 
 
 def shingles(text: Column, n: int = WORDS) -> Column:
@@ -35,13 +41,33 @@ def shingles(text: Column, n: int = WORDS) -> Column:
     return let(words(F.coalesce(text, F.lit(""))), runs)
 
 
+def least(size: Column, limit: float) -> Column:
+    """Shingles that a set shares at least with one that reaches the limit, which is also the least size of that one."""
+    return F.ceil(limit * size - F.lit(1e-9)).cast("int")
+
+
+def promising(items: DataFrame, limit: float, n: int) -> DataFrame:
+    """Distinct ids of the texts that may be similar to another; no other text is."""
+    more = lambda size: F.greatest(F.lit(1), F.floor(min(SHARE, limit) * size).cast("int"))
+    size = F.col("size")
+    sets = items.select("id", F.sort_array(shingles(F.col("text"), n)).alias("h")).select("id", F.size("h").alias("size"), "h")
+    # The first more(size) common shingles are among these of either set, so the smaller set says how many are in both.
+    each = sets.select("id", "size", F.explode(F.slice("h", 1, size - least(size, limit) + more(size))).alias("token"))
+    token = Window.partitionBy("token")
+    met = each.withColumn("met", F.min("id").over(token) != F.max("id").over(token)).where("met")
+    return met.groupBy("id", "size").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= more(least(size, limit))).select("id").distinct()
+
+
 def prefixes(sets: DataFrame, limit: float) -> DataFrame:
-    """(id, task, at, size, place, token) of the rarest shingles of every set, as many as similar sets must share one of."""
-    each = sets.select("id", "task", "at", F.size("h").alias("size"), F.explode("h").alias("token"))
-    counts = each.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    ordered = each.join(counts, "token").groupBy("id", "task", "at", "size").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("t"))
-    length = (F.col("size") - F.ceil(limit * F.col("size") - F.lit(1e-9)) + 1).cast("int")
-    return ordered.select("id", "task", "at", "size", F.posexplode(F.slice("t", 1, length)).alias("place", "s")).select("id", "task", "at", "size", "place", F.col("s.token").alias("token"))
+    """(id, task, at, size, place, token) of the rarest shingles of every set, as many as similar sets must share one of, without those that one set has alone."""
+    each = sets.select("id", F.explode("h").alias("token"))
+    shared = each.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("n > 1")
+    ordered = shared.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("n", "token"))).alias("t"))
+    alone = F.col("size") - F.size("t")  # they come first
+    length = F.col("size") - least(F.col("size"), limit) + 1 - F.col("alone")
+    some = ordered.join(sets.select("id", "task", "at", F.size("h").alias("size")), "id").select("*", alone.alias("alone")).select("*", length.alias("length")).where("length > 0")
+    rows = some.select("id", "task", "at", "size", "alone", F.posexplode(F.slice("t", 1, F.col("length"))).alias("place", "s"))
+    return rows.select("id", "task", "at", "size", (F.col("place") + F.col("alone")).alias("place"), F.col("s.token").alias("token"))
 
 
 def similar(candidates: DataFrame, sets: DataFrame, limit: float) -> DataFrame:
@@ -68,14 +94,16 @@ def near_duplicates(items: DataFrame, limit: float = LIMIT, n: int = WORDS, wave
     """(id, accepted, kept_id, similarity) for items (id, task, at, text), decided in the order of ``at``; tasks follow each other in it.
 
     Items of one task are not compared. Rejected items name the most similar accepted one before them, the earliest at a tie.
-    Texts without words are accepted. Repeated texts are near duplicates like others.
+    Texts without words are accepted. Repeated texts are near duplicates like others. ``items`` is read more than once and gives the same rows each time.
     """
     checkpoint_dir(items.sparkSession)
-    sets = items.select("id", "task", "at", shingles(F.col("text"), n).alias("h")).checkpoint()
-    lists = prefixes(sets.where(F.size("h") > 0), limit).checkpoint()
+    some = kept(promising(items, limit, n))
+    # Dealt out by id once: what is compared comes to them, wave by wave.
+    slots = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sets = items.join(some, "id", "left_semi").select("id", "task", "at", shingles(F.col("text"), n).alias("h")).repartition(slots, "id").persist()
+    lists = prefixes(sets, limit).checkpoint()
     kind = items.schema["id"].dataType.simpleString()
-    accepted = sets.where(F.size("h") == 0).select("id").checkpoint()
-    rejected = items.sparkSession.createDataFrame([], f"id {kind}")
+    accepted = rejected = items.sparkSession.createDataFrame([], f"id {kind}")
     left = lists
     for _ in range(waves):
         if not left.limit(1).count():
@@ -90,10 +118,11 @@ def near_duplicates(items: DataFrame, limit: float = LIMIT, n: int = WORDS, wave
     if left.limit(1).count():
         more = _along_pairs(left, sets, limit)
         accepted, rejected = accepted.union(more.where("accepted").select("id")).checkpoint(), rejected.union(more.where("NOT accepted").select("id")).checkpoint()
-    kept = similar(candidates(lists.join(rejected, "id", "left_semi"), lists.join(accepted, "id", "left_semi"), limit), sets, limit)
+    found = similar(candidates(lists.join(rejected, "id", "left_semi"), lists.join(accepted, "id", "left_semi"), limit), sets, limit)
     at = sets.select(F.col("id").alias("other"), F.col("at").alias("at_"))
-    best = kept.join(at, "other").groupBy("id").agg(F.max_by(F.struct("other", "similarity"), F.struct("similarity", -F.col("at_"))).alias("b"))
-    out = sets.select("id").join(best, "id", "left")
+    best = found.join(at, "other").groupBy("id").agg(F.max_by(F.struct("other", "similarity"), F.struct("similarity", -F.col("at_"))).alias("b")).checkpoint()
+    sets.unpersist()
+    out = items.select("id").join(best, "id", "left")
     return out.select("id", F.col("b").isNull().alias("accepted"), F.col("b.other").alias("kept_id"), F.col("b.similarity").alias("similarity"))
 
 

@@ -92,6 +92,26 @@ def test_cluster_of_near_copies_gives_rows_in_proportion(spark, monkeypatch):
     assert sizes[40] <= 2 * 40 and sizes[80] <= 2 * 80
 
 
+def test_sets_of_texts_without_a_similar_one_are_not_moved(spark, monkeypatch):
+    """A common line alone keeps no text; every pair at the limit is kept, whatever the limit."""
+    rnd = random.Random(6)
+    line = words(rnd, 12)
+    base = words(rnd, 120)
+    rows = [(k, k, k, " ".join(line + words(rnd, 120))) for k in range(60)] + [(k, k, k, " ".join(changed(rnd, base, 1))) for k in range(60, 64)]
+    seen = []
+    plain = shingles.prefixes
+    monkeypatch.setattr(shingles, "prefixes", lambda sets, limit: (seen.extend(r.id for r in sets.select("id").collect()), plain(sets, limit))[1])
+    assert got(shingles.near_duplicates(spark.createDataFrame(rows, ITEMS))) == greedy(rows)
+    assert sorted(seen) == [60, 61, 62, 63]
+    rows = items(seed=8)
+    sets = {i: runs(t) for i, _, _, t in rows}
+    df = spark.createDataFrame(rows, ITEMS)
+    for limit in (0.05, 0.4, 0.8, 1.0):
+        want = {i for i, a in sets.items() for j, b in sets.items() if i != j and a and b and len(a & b) >= limit * len(a | b)}
+        assert want and want <= {r.id for r in shingles.promising(df, limit, 5).collect()}
+        assert got(shingles.near_duplicates(df, limit)) == greedy(rows, limit)
+
+
 def test_ratio_rows_in_proportion(spark):
     """n near copies by matching blocks: one row per item and block of earlier items."""
     rnd = random.Random(3)
