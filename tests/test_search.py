@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from spanloom.catalog import queries
 from spanloom.operators import retrieval
 from spanloom.operators.blocks import round_half_even
 from spanloom.operators.setjoin import SetIndex
@@ -153,3 +154,15 @@ def test_cells_seen_follow_the_answers(spark):
         s = x @ x[i]
         s[i] = -9
         assert {j for q, j in found if q == i} <= set(np.flatnonzero(s >= np.sort(s)[-6] - 1e-4).tolist())
+
+
+@pytest.mark.parametrize("name, column", [("context_pack", "task_id")])
+def test_every_row_asks(spark, folder, name, column):
+    """No id is divisible by 100, and all rows are queries."""
+    ids, rng = range(1, 13), np.random.default_rng(5)
+    docs = [(k, f"heart failure care w{k} w{k + 1} w{k + 2}", "en", "web", 20) for k in ids]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(k, 1, k % 2) for k in ids], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(k, [float(x) for x in rng.standard_normal(4)], 0) for k in ids], "vec_id long, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
+    got = {r[0] for r in queries()[name](spark, folder).select(column).distinct().collect()}
+    assert got == {f"s{k:08d}" for k in ids}
