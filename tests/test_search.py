@@ -156,7 +156,7 @@ def test_cells_seen_follow_the_answers(spark):
         assert {j for q, j in found if q == i} <= set(np.flatnonzero(s >= np.sort(s)[-6] - 1e-4).tolist())
 
 
-@pytest.mark.parametrize("name, column", [("query_index", "query_id"), ("contrastive_examples", "query_id"), ("context_pack", "task_id")])
+@pytest.mark.parametrize("name, column", [("query_index", "query_id"), ("contrastive_examples", "query_id"), ("select_examples", "query_id"), ("context_pack", "task_id")])
 def test_every_row_asks(spark, folder, name, column):
     """No id is divisible by 100, and all rows are queries."""
     ids, rng = range(1, 13), np.random.default_rng(5)
