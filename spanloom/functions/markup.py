@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -71,11 +73,39 @@ def spans_to_markup(spans: Column) -> Column:
     )
 
 
+def first_places(text: pa.Array, words: pa.Array) -> pa.Array:
+    """Where each word first occurs in its text, from 1; 0 where it does not, NULL without a text or a word."""
+    ends, flat = words.offsets.to_pylist(), words.values.to_pylist()
+    last, places, out = None, {}, []
+    for i in range(len(words)):
+        if ends[i] == ends[i + 1]:
+            continue
+        source, asked = text[i].as_py(), flat[ends[i] : ends[i + 1]]
+        if source is None:
+            out += [None] * len(asked)
+            continue
+        if source != last:  # candidates of a sample follow each other, and most of their words are the same
+            last, places = source, {None: None}
+        for word in asked:
+            if word not in places:
+                places[word] = source.find(word) + 1
+        out += map(places.__getitem__, asked)
+    offsets = pa.array(np.array(ends, np.int32) - ends[0], mask=np.append(words.is_null().to_numpy(zero_copy_only=False), False))
+    return pa.ListArray.from_arrays(offsets, pa.array(out, pa.int32()))
+
+
 def relocate_spans(spans: Column, text: Column) -> Column:
-    """First occurrence of every explicit span (no moving cursor); explicit spans that cannot be placed are dropped."""
+    """First occurrence of every explicit span (no moving cursor); explicit spans that cannot be placed are dropped.
+
+    ``spans`` and ``text`` are columns, not variables of a lambda. The search counts as one that may not be moved or repeated: else a condition that
+    the planner derives from the result takes it along, and no Python function can stand there.
+    """
+    asked = F.transform(spans, lambda s: F.when(s["implicit"], F.lit(None)).otherwise(s["text"]))
+    places = F.arrow_udf(first_places, "array<int>").asNondeterministic()(text, asked)
 
-    def move(s: Column, i: Column) -> Column:
-        found = F.when(s["implicit"], F.lit(0)).otherwise(F.position(s["text"], text, F.lit(1)))
+    def move(x: Column, i: Column) -> Column:
+        s = x["span"]
+        found = F.when(s["implicit"], F.lit(0)).otherwise(x["at"])
         start = F.when(s["implicit"], -1).when(found > 0, found - 1).otherwise(s["start"])
         end = F.when(s["implicit"], -1).when(found > 0, found - 1 + F.length(s["text"])).otherwise(s["end"])
         return F.struct(
@@ -83,7 +113,8 @@ def relocate_spans(spans: Column, text: Column) -> Column:
             start.alias("start"), end.alias("end"), s["text"].alias("text"), s["label"].alias("label"), s["implicit"].alias("implicit"),
         )
 
-    return F.filter(F.transform(spans, move), lambda s: s["implicit"] | (s["start"] >= 0))
+    both = F.zip_with(spans, places, lambda s, at: F.struct(s.alias("span"), at.alias("at")))
+    return F.filter(F.transform(both, move), lambda s: s["implicit"] | (s["start"] >= 0))
 
 
 def annotation_doc(text: Column, spans: Column) -> Column:

@@ -55,6 +55,16 @@ def test_spans_are_relocated_to_their_first_place(spark):
     assert got == [[("T1", 2, 4), ("T2", 3, 4), ("T3", 3, 4), ("T4", -1, -1), ("T6", 4, 8)], [("T1", 9, 11)], None, []]
 
 
+def test_spans_are_looked_for_outside_the_expression(spark):
+    """A text meets its words once, not four times a span; a condition derived from the result does not take the search along."""
+    span = lambda i, w, implicit=False: (f"T{i}", 7, 8, w, "L", implicit)
+    rows = [(1, "😀 b ab", [span(0, "ab"), span(1, None), span(2, ""), span(3, "x"), span(4, "b", None)]), (2, "😀 b ab", [span(0, "b")]), (3, None, [span(0, "b")]), (4, "b", []), (5, "b", None), (6, "", [span(0, "b"), span(1, "")])]
+    df = spark.createDataFrame(rows, f"i int, t string, s {SPAN}").coalesce(1).select("i", markup.relocate_spans(F.col("s"), F.col("t")).alias("r"))
+    assert "locate(" not in plan(df) and plan(df).count("first_places") == 1
+    got = [(r.i, r.s.id, r.s.start, r.s.end) for r in df.select("i", F.explode("r").alias("s")).collect()]
+    assert got == [(1, "T0", 4, 6), (1, "T1", 7, 8), (1, "T2", 0, 0), (1, "T3", 7, 8), (1, "T4", 2, 3), (2, "T0", 2, 3), (3, "T0", 7, 8), (6, "T0", 7, 8), (6, "T1", 0, 0)]
+
+
 def test_firsts_without_case_are_found_by_sorting(spark):
     df = spark.createDataFrame([(["b ", "A", "", "a", None, "B", "c", "A"],), ([],), (None,)], "x array<string>")
     out = df.select(text.dedupe_keep_order(F.col("x"), ignore_case=True).alias("u"))
