@@ -115,6 +115,19 @@ def test_hashed_buckets_equal_plain_counts_and_repeated_keys_add_up(spark):
     assert {(r.k, r.bucket): {"w": r.words, "c": r.chars} for r in out.collect()} == want
 
 
+def test_texts_of_a_key_are_counted_together_without_a_shuffle_of_buckets(spark):
+    """More texts of a key than a worker takes at once, some without features."""
+    rows = [(k, "a heart") for k in (1, 2, None) for _ in range(300)] + [(3, ""), (3, "x"), (4, "")]
+    out = embedding.hashed_buckets(spark.createDataFrame(rows, "k long, text string"), "k", packed=True)
+    assert plan(out).count("Aggregate") == 0
+    got = {r.k: r.buckets for r in out.collect()}
+    one = embedding.hashed_buckets(spark.createDataFrame([(1, "a heart"), (3, "x")], "k long, text string"), "k").collect()
+    single = {k: sorted((r.bucket, r.words, r.chars) for r in one if r.k == k) for k in (1, 3)}
+    assert set(got) == {1, 2, 3, None} and [tuple(b) for b in got[3]] == single[3]
+    for k in (1, 2, None):
+        assert [tuple(b) for b in got[k]] == [(b, 300 * w, 300 * c) for b, w, c in single[1]]
+
+
 def test_words_and_spans_meet_inside_their_row(spark):
     span = lambda a, b, implicit=False: ("T", a, b, "x", "L", implicit)
     rows = [("a", "Heart failure care rises", [span(0, 13), span(None, 3, True)]), ("a", "Heart failure care rises", [span(0, 13)]), ("b", "心x care", []), ("c", None, [span(0, 1)]), ("d", "lost", None), (None, "care", [span(0, None)])]
