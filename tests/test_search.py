@@ -166,3 +166,14 @@ def test_every_row_asks(spark, folder, name, column):
     spark.createDataFrame([(k, [float(x) for x in rng.standard_normal(4)], 0) for k in ids], "vec_id long, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
     got = {r[0] for r in queries()[name](spark, folder).select(column).distinct().collect()}
     assert got == {f"s{k:08d}" for k in ids}
+
+
+def test_vectors_do_not_go_with_every_cell_they_see(spark):
+    """Random vectors: nearly all cells are seen, but pairs of blocks are made inside the tasks and each side is shuffled once."""
+    rng = np.random.default_rng(11)
+    df = spark.createDataFrame([(k, [float(c) for c in v]) for k, v in enumerate(rng.standard_normal((600, 8)))], "id long, v array<double>")
+    index = VectorIndex(df, pivots=40)
+    found = index.nearest(df, 5)
+    assert index.visits.count() > 600 * 20 and index.visits.columns == ["id", "block"]
+    physical = found._jdf.queryExecution().executedPlan().toString()
+    assert physical.count("CartesianProduct") == 1 and "FlatMapCoGroups" not in physical and found.count() == 3000
