@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanloom.catalog import queries
-from spanloom.operators import retrieval
+from spanloom.operators import retrieval, setjoin
 from spanloom.operators.blocks import round_half_even
 from spanloom.operators.setjoin import SetIndex
 from spanloom.operators.vectorjoin import VectorIndex
@@ -177,3 +177,14 @@ def test_vectors_do_not_go_with_every_cell_they_see(spark):
     assert index.visits.count() > 600 * 20 and index.visits.columns == ["id", "block"]
     physical = found._jdf.queryExecution().executedPlan().toString()
     assert physical.count("CartesianProduct") == 1 and "FlatMapCoGroups" not in physical and found.count() == 3000
+
+
+def test_sets_are_shuffled_for_their_first_blocks_only(spark, monkeypatch):
+    """Sets that all share a token see nearly all blocks; what is dealt out for that are the sets themselves, once."""
+    rows = token_rows(200, 4)
+    sent, meet, meet_all = [], setjoin.meet, setjoin.meet_all
+    monkeypatch.setattr(setjoin, "meet", lambda asked, *a: sent.append(asked.count()) or meet(asked, *a))
+    monkeypatch.setattr(setjoin, "meet_all", lambda asked, *a: sent.append(asked.count()) or meet_all(asked, *a))
+    index = SetIndex(t := sets(spark, rows), block_rows=8)
+    assert result(index.nearest(t, 3, [("id", True)], 4)) == expected(rows, rows, 3, lambda x: (-x[0], x[1]), 4, True)
+    assert index.visits.count() > 1000 and sent[0] <= 200 * setjoin.FIRST_BLOCKS and sent[1:] == [200]
