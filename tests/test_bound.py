@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spanloom.catalog import derived, queries
 from spanloom.functions import markup, spans, text
-from spanloom.operators import agreement, embedding, reflection, stats
+from spanloom.operators import agreement, embedding, joins, reflection, stats
 
 SPAN = "array<struct<id:string,start:int,end:int,text:string,label:string,implicit:boolean>>"
 
@@ -128,6 +128,18 @@ def test_texts_of_a_key_are_counted_together_without_a_shuffle_of_buckets(spark)
         assert [tuple(b) for b in got[k]] == [(b, 300 * w, 300 * c) for b, w, c in single[1]]
 
 
+def test_candidates_of_other_routes_are_held_back_before_the_shuffle(spark):
+    ids = lambda rows: sorted((r.sample_id or "", r.candidate_id) for r in rows.collect())
+    c = spark.createDataFrame([(f"s{k % 2000}" if k % 7 else None, f"c{k}", "a text", [("T", 0, 1, "a", "L", False)]) for k in range(6000)], f"sample_id string, candidate_id string, text string, spans {SPAN}")
+    high = spark.createDataFrame([(f"s{k}", "high" if k % 100 == 0 else "low") for k in range(2000)] + [(None, "high")], "sample_id string, route string")
+    near, sure = joins.may_be_among(c, high.where("route = 'high'"), "sample_id"), c.join(high.where("route = 'high'"), "sample_id", "left_semi")
+    assert near.columns == c.columns and set(ids(sure)) <= set(ids(near)) and near.where("sample_id IS NOT NULL").count() < 2 * sure.count()
+    s = spark.createDataFrame([(f"s{k}", "a text", [("T", 0, 1, "a", "L", False)] if k < 3 else []) for k in range(2000)], f"id string, text string, spans {SPAN}")
+    pool = joins.stats_samples(s, c, high)
+    assert "bits_" in plan(pool)
+    assert sorted(r.id for r in pool.collect()) == sorted(["s0", "s1", "s2"] + [f"{a}:{b}" for a, b in ids(sure)])
+
+
 def test_words_and_spans_meet_inside_their_row(spark):
     span = lambda a, b, implicit=False: ("T", a, b, "x", "L", implicit)
     rows = [("a", "Heart failure care rises", [span(0, 13), span(None, 3, True)]), ("a", "Heart failure care rises", [span(0, 13)]), ("b", "心x care", []), ("c", None, [span(0, 1)]), ("d", "lost", None), (None, "care", [span(0, None)])]
