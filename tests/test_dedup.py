@@ -136,3 +136,13 @@ def test_length_bands_lose_no_pair():
             b = math.floor(a * (2 - limit) / limit)  # the longest text that can reach the limit with a characters
             assert 2 * a / (a + b) >= limit - 1e-12
             assert abs(math.floor(math.log(a + 1) / math.log(wide)) - math.floor(math.log(b + 1) / math.log(wide))) <= 1
+
+
+def test_texts_are_dealt_out_once_for_all_blocks_they_meet(spark, monkeypatch):
+    """Forty texts of one length in blocks of four: every pair meets, each side goes out once."""
+    sent, meet_all = [], dedup.meet_all
+    monkeypatch.setattr(dedup, "meet_all", lambda asked, held, *a: sent.append((asked.count(), held.count())) or meet_all(asked, held, *a))
+    texts = [f"{chr(97 + k % 20) * 30} {chr(65 + k % 20) * 30} end{k // 20}" for k in range(40)]
+    items = spark.createDataFrame([(f"i{k}", f"t{k}", k, t, True) for k, t in enumerate(texts)], "id string, task string, at long, text string, accepted boolean")
+    found = dedup.similar_items(items.drop("accepted"), items, 0.92, block=4)
+    assert sorted((r.id, r.earlier_id) for r in found.collect()) == sorted((f"i{k}", f"i{k - 20}") for k in range(20, 40)) and sent == [(40, 40)]
